@@ -134,5 +134,6 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = N
     members = settled(own.select("tokens", posteriors(model).alias("p")))
     moves, _, _ = fit_rates(members, domains, weights or WEIGHTS, anchor)
     rows = features(docs.select(F.struct(*names).alias("_row"), "text"), ["_row"]).withColumn("p", posteriors(model))
-    rated = rows.select("_row", copies(_rate(moves), F.col("_row")["doc_id"]).alias("_k")).where("_k > 0")
-    return rated.select("_row", F.explode(F.sequence(F.lit(1), F.col("_k"))).alias("_c")).select("_row.*")
+    many = F.array_repeat(F.lit(1), copies(_rate(moves), F.col("_row")["doc_id"]))
+    # outer, so that no filter on the array's size moves down and scores the text twice
+    return rows.select("_row", F.explode_outer(many).alias("_c")).where("_c is not null").select("_row.*")
