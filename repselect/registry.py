@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = "summarize_profiles"
+from repselect.plans import queries_tables  # noqa: F401  registers its queries
+from repselect.plans.queries import ORACLE_SQL, QUERIES
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
+
+FLAGSHIP = "g1_summarize_profiles"
