@@ -22,7 +22,7 @@ ANCHOR = "1,0"
 #: Fixed words of abuse that the toxic label follows.
 ABUSE = "idiot|moron|clown|worthless|stupid|loser|pathetic|scum|trash|garbage"
 FEATURES = ["length", "symbols", "capitals", "marks", "spaces", "digits", "lines", "abuse"]
-STEPS, SMALLEST_VARIANCE = 60, 1e-3
+STEPS, SMALLEST_VARIANCE, REPEATS = 60, 1e-3, 1.0
 
 
 def features(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -71,28 +71,32 @@ def _rate(moves: list[list[float]]) -> Column:
     return F.aggregate(steps, F.lit(1.0), lambda r, c: F.greatest(F.lit(0.0), r - product(c)))
 
 
-def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float], anchor: str = ANCHOR, steps: int = STEPS, tolerance: float = 1e-6):
+def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float], anchor: str = ANCHOR, repeats: float = REPEATS, steps: int = STEPS, tolerance: float = 1e-6):
     """``(moves, targets, totals)`` from ``members(tokens, p)``; ``_rate(moves)`` is the rate of a row.
 
-    Targets: the anchor domain keeps its tokens, the others follow by weight; domains without a weight get
-    none. Residuals are divided by the domain's tokens, which bounds the gradient's slope by one whatever
-    the data. A step is one pass with one number a domain to the driver; it ends early within
-    ``tolerance`` of all targets.
+    Targets: the anchor domain keeps its tokens, the others follow by weight, but none beyond ``repeats``
+    times what there is; domains without a weight get none. Residuals are divided by the domain's tokens,
+    which bounds the gradient's slope by one whatever the data. A step is one pass with one number a domain
+    to the driver; rates so far are kept every few steps; it ends early within ``tolerance`` of all targets.
     """
-    sums = [F.sum(F.col("tokens") * F.col("p")[k]) for k in range(len(domains))]
-    mass = [x or 0.0 for x in members.agg(*sums).first()]
+    ks = range(len(domains))
+    rated = members.select("tokens", *[F.col("p")[k].alias(f"p{k}") for k in ks], F.lit(1.0).alias("r"))
+    mass = [x or 0.0 for x in rated.agg(*[F.sum(F.col("tokens") * F.col(f"p{k}")) for k in ks]).first()]
     weight = [weights.get(d, 0.0) for d in domains]
     scale = next((m / w for d, m, w in zip(domains, mass, weight) if d == anchor and w > 0 and m > 0), sum(mass) / (sum(weight) or 1.0))
-    targets = [w * scale for w in weight]
+    targets = [min(w * scale, repeats * m) for w, m in zip(weight, mass)]
     moves: list[list[float]] = []
     totals = mass
-    for _ in range(steps):
+    for step in range(1, steps + 1):
         off = [(s - t) / m if m > 0 else 0.0 for s, t, m in zip(totals, targets, mass)]
         if max(map(abs, off), default=0.0) <= tolerance:
             break
         moves.append(off)
-        rated = members.withColumn("r", _rate(moves))
-        totals = [x or 0.0 for x in rated.agg(*[F.sum(F.col("r") * F.col("tokens") * F.col("p")[k]) for k in range(len(domains))]).first()]
+        product = reduce(lambda a, b: a + b, [F.col(f"p{k}") * off[k] for k in ks])
+        rated = rated.withColumn("r", F.greatest(F.lit(0.0), F.col("r") - product))
+        if step % 8 == 0:
+            rated = settled(rated)
+        totals = [x or 0.0 for x in rated.agg(*[F.sum(F.col("r") * F.col("tokens") * F.col(f"p{k}")) for k in ks]).first()]
     return moves, targets, totals
 
 

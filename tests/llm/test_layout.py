@@ -96,6 +96,7 @@ def test_mixing_meets_targets(spark):
     p, n, r = np.array([x.p for x in rows]), np.array([x.tokens for x in rows]), np.array([x.rate for x in rows])
     mass = n @ p
     target = np.array([mixing.WEIGHTS[d] for d in names]) * mass[names.index(mixing.ANCHOR)] / mixing.WEIGHTS[mixing.ANCHOR]
+    target = np.minimum(target, mixing.REPEATS * mass)
     plain = np.ones(len(rows))  # the same descent on one machine
     for _ in range(mixing.STEPS):
         off = ((plain * n) @ p - target) / mass
