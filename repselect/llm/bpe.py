@@ -9,15 +9,19 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from itertools import chain
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Words that a Python worker remembers before it starts anew; longer words are never remembered.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 200_000, 64
+#: Characters whose words are held at once.
+AT_ONCE = 1 << 19
 
 
 def byte_letters() -> dict[str, int]:
@@ -68,7 +72,7 @@ class TrieBpe:
                 known = self.merged(self.bytes_of[b]) == [b]
             else:
                 known = (a, b) not in self.merges and self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
-            if len(self.pairs) > 4 * REMEMBERED:
+            if len(self.pairs) > 2 * REMEMBERED:
                 self.pairs.clear()
             self.pairs[a, b] = known
         return known
@@ -107,8 +111,19 @@ class TrieBpe:
                 found[node[-1]] = tuple(reversed(out))
         return found
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+    def encode_batch(self, texts: list[str]) -> list[array]:
         """Token ids of each whole text; a special token's own text gives its id."""
+        out, at = [], 0
+        while at < len(texts):
+            to, held = at + 1, len(texts[at])
+            while to < len(texts) and held + len(texts[to]) <= AT_ONCE:
+                held += len(texts[to])
+                to += 1
+            out += self._encode(texts[at:to])
+            at = to
+        return out
+
+    def _encode(self, texts: list[str]) -> list[array]:
         cut = [self.special.split(t) if self.special else [t] for t in texts]
         marks = [self.special.findall(t) if self.special else [] for t in texts]
         words = [[WORD.findall(piece) for piece in pieces] for pieces in cut]
@@ -126,7 +141,7 @@ class TrieBpe:
                 if k:
                     ids.append(self.added[special[k - 1]])
                 ids.extend(chain.from_iterable(map(known.__getitem__, piece)))
-            out.append(ids)
+            out.append(array("i", ids))
         return out
 
     def decode(self, ids) -> str:
@@ -151,7 +166,7 @@ def encoded(text: Column, path: str) -> Column:
 
     @F.pandas_udf("array<int>")
     def encode(texts: pd.Series) -> pd.Series:
-        return pd.Series(tokenizer(path).encode_batch(texts.fillna("").tolist()), dtype=object)
+        return pd.Series([np.frombuffer(x, np.int32) if x else np.zeros(0, np.int32) for x in tokenizer(path).encode_batch(texts.fillna("").tolist())], dtype=object)
 
     return encode(text)
 
