@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from repselect.llm.draw import smallest_hashes
+
 #: Most training documents of a language (those of the smallest hash of their id), n-gram length, slots of
 #: the filter, slots of an n-gram, and the least share of a language's n-grams that gets one in.
 SAMPLE, GRAM, SLOTS, HASHES, SHARE = 2000, 4, 1 << 18, 3, 1e-6
@@ -86,8 +88,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, gram: int = GRAM, slots: int =
         return Filters([], np.zeros(slots, np.uint64), np.zeros(0), hashes, gram)
     drawn = None
     for b, lang in enumerate(langs):
-        own = known.where(F.col("lang") == lang).select(F.lit(b).alias("b"), "text", F.xxhash64("doc_id", "text").alias("h"))
-        own = own.orderBy("h").limit(sample).select("b", "text")
+        own = smallest_hashes(known.where(F.col("lang") == lang), F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0))), sample).select(F.lit(b).alias("b"), "text")
         drawn = own if drawn is None else drawn.unionByName(own)
 
     def count(batches):

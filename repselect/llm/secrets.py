@@ -10,6 +10,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from repselect.llm.draw import smallest_hashes
+
 #: Fixed patterns of the base kinds, in their order, the group that counts and its least length.
 KINDS = {
     "assign": ("((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 6),
@@ -67,7 +69,7 @@ def samples(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     Ordinary: the words of letters of at most ``sample`` documents, those of the smallest hash. Random: the
     same ids' SHA-256 in hex and in base 64, so that as many strings of each alphabet are known.
     """
-    drawn = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(sample)
+    drawn = smallest_hashes(docs.select("doc_id", "text"), F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0))), sample)
     ordinary = drawn.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z0-9_-]{5,40}"), F.lit(0))).alias("token"))
     ordinary = ordinary.where(~F.col("token").rlike("[0-9a-f]{16}|[0-9].*[0-9]"))
     digest = F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("secret")), 256)
