@@ -49,18 +49,25 @@ class TrieBpe:
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes_of |= {i: t.encode() for t, i in self.added.items()}
         self.special = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.longest = max(map(len, self.id_of))
+        # lengths of the tokens of three bytes and more by their last three bytes, the longest first
+        ends: dict[bytes, set[int]] = {}
+        for token in self.id_of:
+            if len(token) > 2:
+                ends.setdefault(token[-3:], set()).add(len(token))
+        self.lengths = {end: (*sorted(sizes, reverse=True), 2, 1) for end, sizes in ends.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
 
     def merged(self, data: bytes) -> list[int]:
         """Plain BPE: merge the pair of the lowest rank, leftmost first, until none is left."""
-        out = [self.id_of[bytes((b,))] for b in data]
+        out = [self.id_of[data[k:k + 1]] for k in range(len(data))]
+        merges, none = self.merges.get, (1 << 60, 0)
         while len(out) > 1:
-            best = min(((self.merges[p][0], k) for k, p in enumerate(zip(out, out[1:])) if p in self.merges), default=None)
-            if best is None:
+            ranks = [merges(p, none)[0] for p in zip(out, out[1:])]
+            best = min(ranks)
+            if best == none[0]:
                 break
-            k = best[1]
+            k = ranks.index(best)
             out[k:k + 2] = [self.merges[out[k], out[k + 1]][1]]
         return out
 
@@ -78,37 +85,39 @@ class TrieBpe:
         return known
 
     def learn(self, words: list[bytes]) -> dict[bytes, tuple[int, ...]]:
-        """Encodings of distinct words."""
-        trie: dict = {}
-        for word in words:
-            node = trie
-            for b in word:
-                node = node.setdefault(b, {})
-            node[-1] = word
+        """Encodings of distinct words.
+
+        Sorted words with the lengths of their common prefixes are the trie in depth-first order: ``last``
+        holds the last token of each prefix on the path, and going on to the next word keeps what it shares.
+        """
         found: dict[bytes, tuple[int, ...]] = {}
-        last = [-1]  # last token of each prefix on the path
-        path = bytearray()
-        stack = [(0, None, trie)]
-        while stack:
-            depth, byte, node = stack.pop()
-            if depth:
-                del path[depth - 1:], last[depth:]
-                path.append(byte)
-                prefix = bytes(path[-self.longest:])
-                for size in range(len(prefix), 0, -1):
-                    token = self.id_of.get(prefix[len(prefix) - size:])
-                    if token is not None and self.follows(last[depth - size], token):
-                        last.append(token)
-                        break
-            for b, child in node.items():
-                if b >= 0:
-                    stack.append((depth + 1, b, child))
-            if -1 in node:
-                out, at = [], depth
-                while at:
-                    out.append(last[at])
-                    at -= len(self.bytes_of[last[at]])
-                found[node[-1]] = tuple(reversed(out))
+        last = [-1]
+        token_of, lengths, pairs, short = self.id_of.get, self.lengths.get, self.pairs, (2, 1)
+        sizes = self.bytes_of
+        path = b""
+        for word in sorted(words):
+            shared = 0
+            for x, y in zip(path, word):
+                if x != y:
+                    break
+                shared += 1
+            del last[shared + 1:]
+            for depth in range(shared + 1, len(word) + 1):
+                for size in lengths(word[max(0, depth - 3):depth], short):
+                    if size <= depth and (token := token_of(word[depth - size:depth])) is not None:
+                        before = last[depth - size]
+                        known = pairs.get((before, token))
+                        if known or (known is None and self.follows(before, token)):
+                            last.append(token)
+                            break
+            out, at = [], len(word)
+            while at:
+                token = last[at]
+                out.append(token)
+                at -= len(sizes[token])
+            out.reverse()
+            found[word] = tuple(out)
+            path = word
         return found
 
     def encode_batch(self, texts: list[str]) -> list[array]:
