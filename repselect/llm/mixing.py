@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from repselect.llm.quality import BLANKS, CAPITALS, SYMBOLS
+from repselect.llm.quality import BLANKS
 from repselect.session import settled
 
 #: A domain is a pair of labels: quality and toxic. Default weights: mostly good and civil text.
@@ -29,14 +29,14 @@ def features(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep``, ``tokens`` (words, long) and ``FEATURES`` (double) of whole texts; null counts as empty."""
     t = F.coalesce("text", F.lit(""))
     one = docs.select(*keep, t.alias("_t"), F.char_length(t).cast("double").alias("_n"))
-    left = lambda letters: F.col("_n") - F.char_length(F.translate("_t", letters, ""))
+    left = lambda letters: F.regexp_count("_t", F.lit(f"[{letters}]")).cast("double")
     share = lambda c: c / F.greatest(F.col("_n"), F.lit(1.0))
     words = F.size(F.split(F.btrim("_t", F.lit(BLANKS)), "[ \\t\\n\\x0B\\f\\r]+"))
     return one.select(
         *keep, F.when(F.btrim("_t", F.lit(BLANKS)) == "", 0).otherwise(words).cast("long").alias("tokens"),
-        F.ln(F.col("_n") + 1).alias("length"), share(left(SYMBOLS)).alias("symbols"), share(left(CAPITALS)).alias("capitals"),
-        share(left("!?")).alias("marks"), share(left(BLANKS)).alias("spaces"), share(left("0123456789")).alias("digits"),
-        F.ln(left("\n") + 1).alias("lines"), F.ln(F.lit(1.0) + F.regexp_count("_t", F.lit(f"\\b(?:{ABUSE})\\b"))).alias("abuse"))
+        F.ln(F.col("_n") + 1).alias("length"), share(left("#*$%&|<>")).alias("symbols"), share(left("A-Z")).alias("capitals"),
+        share(left("!?")).alias("marks"), share(left(" \\t\\n\\x0B\\f\\r")).alias("spaces"), share(left("0-9")).alias("digits"),
+        F.ln(left("\\n") + 1).alias("lines"), F.ln(F.lit(1.0) + F.regexp_count("_t", F.lit(f"\\b(?:{ABUSE})\\b"))).alias("abuse"))
 
 
 def fit_classifier(labelled: DataFrame) -> list[dict]:
