@@ -8,14 +8,18 @@ rest. Distinct words share their prefixes in a trie, so each shared prefix is en
 from __future__ import annotations
 
 import json
+import math
 import re
 from array import array
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Words that a Python worker remembers before it starts anew; longer words are never remembered.
@@ -55,6 +59,15 @@ class TrieBpe:
             if len(token) > 2:
                 ends.setdefault(token[-3:], set()).add(len(token))
         self.lengths = {end: (*sorted(sizes, reverse=True), 2, 1) for end, sizes in ends.items()}
+        # the merge behind each token; the short test of pairs needs one merge a token, later than its parts
+        self.parts: dict[int, tuple[int, int, int]] = {}
+        self.ordered = True
+        for (a, b), (rank, made) in self.merges.items():
+            earlier = max(self.parts[x][0] if x in self.parts else -1 for x in (a, b))
+            self.ordered &= made not in self.parts and earlier < rank
+            self.parts.setdefault(made, (rank, a, b))
+        self.right: dict[int, list[tuple[int, float]]] = {}
+        self.left: dict[int, list[tuple[int, float]]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
 
@@ -71,14 +84,45 @@ class TrieBpe:
             out[k:k + 2] = [self.merges[out[k], out[k + 1]][1]]
         return out
 
+    def edge(self, token: int, side: int) -> list[tuple[int, float]]:
+        """What stands at one end of ``token`` while it is merged: (part, rank of the merge that takes it),
+        from the single byte to the token itself, which nothing takes. ``side`` is 1 for left, 2 for right."""
+        kept = self.left if side == 1 else self.right
+        if token not in kept:
+            rank, path, at = math.inf, [], token
+            while at in self.parts:
+                path.append((at, rank))
+                rank, at = self.parts[at][0], self.parts[at][side]
+            kept[token] = [*path, (at, rank)][::-1]
+        return kept[token]
+
+    def apart(self, a: int, b: int) -> bool:
+        """Whether no merge crosses the border of ``a`` and ``b``: the parts at the border are followed in the
+        order of the merges that take them. Of equal ranks the leftmost merge is the first."""
+        left, right = self.edge(a, 2), self.edge(b, 1)
+        i = j = 0
+        while True:
+            (x, taken_x), (y, taken_y) = left[i], right[j]
+            across = self.merges.get((x, y))
+            if across and across[0] < taken_x and across[0] <= taken_y:
+                return False
+            if taken_x == taken_y == math.inf:
+                return True
+            if taken_x <= taken_y:
+                i += 1
+            else:
+                j += 1
+
     def follows(self, a: int, b: int) -> bool:
         """Whether token ``b`` may stand right behind token ``a``; -1 is the start of a word."""
         known = self.pairs.get((a, b))
         if known is None:
             if a < 0:
                 known = self.merged(self.bytes_of[b]) == [b]
+            elif self.ordered:
+                known = self.follows(-1, b) and self.apart(a, b)
             else:
-                known = (a, b) not in self.merges and self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+                known = self.merged(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
             if len(self.pairs) > 2 * REMEMBERED:
                 self.pairs.clear()
             self.pairs[a, b] = known
@@ -89,12 +133,26 @@ class TrieBpe:
 
         Sorted words with the lengths of their common prefixes are the trie in depth-first order: ``last``
         holds the last token of each prefix on the path, and going on to the next word keeps what it shares.
+        The state of a prefix is found when a longer one first asks for it, and found once.
         """
         found: dict[bytes, tuple[int, ...]] = {}
-        last = [-1]
+        last: list[int | None] = [-1]
         token_of, lengths, pairs, short = self.id_of.get, self.lengths.get, self.pairs, (2, 1)
         sizes = self.bytes_of
         path = b""
+
+        def state(depth: int) -> int:
+            for size in lengths(word[depth - 3:depth] if depth > 2 else word[:depth], short):
+                if size <= depth and (token := token_of(word[depth - size:depth])) is not None:
+                    before = last[depth - size]
+                    if before is None:
+                        before = state(depth - size)
+                    known = pairs.get((before, token))
+                    if known or (known is None and self.follows(before, token)):
+                        last[depth] = token
+                        return token
+            raise ValueError("no token ends here")
+
         for word in sorted(words):
             shared = 0
             for x, y in zip(path, word):
@@ -102,17 +160,16 @@ class TrieBpe:
                     break
                 shared += 1
             del last[shared + 1:]
-            for depth in range(shared + 1, len(word) + 1):
-                for size in lengths(word[max(0, depth - 3):depth], short):
-                    if size <= depth and (token := token_of(word[depth - size:depth])) is not None:
-                        before = last[depth - size]
-                        known = pairs.get((before, token))
-                        if known or (known is None and self.follows(before, token)):
-                            last.append(token)
-                            break
+            last.extend([None] * (len(word) - shared))
+            if len(word) > LONGEST:  # from the front, so that no call goes deep
+                for depth in range(1, len(word)):
+                    if last[depth] is None:
+                        state(depth)
             out, at = [], len(word)
             while at:
                 token = last[at]
+                if token is None:
+                    token = state(at)
                 out.append(token)
                 at -= len(sizes[token])
             out.reverse()
@@ -122,15 +179,7 @@ class TrieBpe:
 
     def encode_batch(self, texts: list[str]) -> list[array]:
         """Token ids of each whole text; a special token's own text gives its id."""
-        out, at = [], 0
-        while at < len(texts):
-            to, held = at + 1, len(texts[at])
-            while to < len(texts) and held + len(texts[to]) <= AT_ONCE:
-                held += len(texts[to])
-                to += 1
-            out += self._encode(texts[at:to])
-            at = to
-        return out
+        return list(chain.from_iterable(self._encode(texts[a:b]) for a, b in runs(list(map(len, texts)), AT_ONCE)))
 
     def _encode(self, texts: list[str]) -> list[array]:
         cut = [self.special.split(t) if self.special else [t] for t in texts]
@@ -167,36 +216,39 @@ def tokenizer(path: str) -> TrieBpe:
     return _LOADED[path]
 
 
-def encoded(text: Column, path: str) -> Column:
-    """``array<int>`` of the token ids of each whole text; null and empty texts give an empty array.
-
-    ``path`` names a tokenizer file that every executor has, as it has the Python packages.
-    """
-
-    @F.pandas_udf("array<int>")
-    def encode(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(x, np.int32) if x else np.zeros(0, np.int32) for x in tokenizer(path).encode_batch(texts.fillna("").tolist())], dtype=object)
+def runs(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Borders (from, to) of runs of rows with no more than ``limit`` in all, or of one row."""
+    at, held = 0, 0
+    for k, size in enumerate(sizes):
+        if k > at and held + size > limit:
+            yield at, k
+            at, held = k, 0
+        held += size
+    if at < len(sizes):
+        yield at, len(sizes)
 
-    return encode(text)
 
+def encode_decode(docs: DataFrame, path: str) -> DataFrame:
+    """``doc_id, ids, decoded``: the tokens of every whole text and the text they give back. Null texts
+    count as empty; each input row gives one row; other columns are ignored.
 
-def decoded(ids: Column, path: str) -> Column:
-    """The text of each array of ids, special tokens included; bytes that are not UTF-8 become U+FFFD.
-    Null ids give an empty text."""
+    One pass through Python: rows go back in runs of ``AT_ONCE`` characters, a longer text by itself.
+    """
 
-    @F.pandas_udf("string")
-    def decode(rows: pd.Series) -> pd.Series:
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
-        return pd.Series(["" if x is None else own.decode(x) for x in rows], dtype=object)
-
-    return decode(ids)
-
-
-def encode_decode(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id, ids, decoded``: the tokens of every whole text and the text they give back. Null texts
-    count as empty; each input row gives one row; other columns are ignored."""
-    ids = docs.select("doc_id", encoded(F.col("text"), path).alias("ids"))
-    return ids.withColumn("decoded", decoded(F.col("ids"), path))
+        for batch in batches:
+            texts = batch.column(1).fill_null("")
+            for start, end in runs(pc.utf8_length(texts).to_pylist(), AT_ONCE):
+                found = own.encode_batch(texts.slice(start, end - start).to_pylist())
+                borders = np.cumsum([0, *map(len, found)], dtype=np.int32)
+                flat = np.concatenate([np.frombuffer(x, np.int32) for x in found if x] or [np.zeros(0, np.int32)])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(start, end - start), pa.ListArray.from_arrays(borders, flat), pa.array(map(own.decode, found), pa.string())],
+                    ["doc_id", "ids", "decoded"])
+
+    rows = docs.select("doc_id", "text")
+    return rows.mapInArrow(both, StructType([rows.schema["doc_id"], StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())]))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
