@@ -23,7 +23,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Words that a Python worker remembers before it starts anew; longer words are never remembered.
-REMEMBERED, LONGEST = 200_000, 64
+REMEMBERED, LONGEST = 500_000, 64
 #: Characters whose words are held at once.
 AT_ONCE = 1 << 19
 
