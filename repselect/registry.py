@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from repselect.plans import queries_tables  # noqa: F401  registers its queries
+from repselect.plans import queries_study, queries_tables  # noqa: F401  register their queries
 from repselect.plans.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

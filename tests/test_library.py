@@ -28,7 +28,7 @@ def plain(rows):
     return [v for r in sorted(rows, key=exact) for v in r]
 
 
-@pytest.mark.parametrize("name", ["g1_summarize_profiles", "c7_stratified_subsample", "h1_best_layers_by_seed", "h25_support_audit", "i3_layerwise_correlations", "d15_gram_metrics", "e5_average_precision"])
+@pytest.mark.parametrize("name", ["g1_summarize_profiles", "c7_stratified_subsample", "h1_best_layers_by_seed", "h25_support_audit", "i3_layerwise_correlations", "d15_gram_metrics", "e5_average_precision", "g20_validity", "i16_verdict", "j9_split_alignment"])
 def test_query_matches_sql(spark, con, name):
     got = registry.QUERIES[name](spark, DATA)
     columns = sorted(got.columns)
