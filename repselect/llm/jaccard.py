@@ -1,0 +1,160 @@
+"""Near-dedup by the exact Jaccard similarity of word shingles, for the pipeline.
+
+A text is the set of hashes of its shingles; equal sets are one node. Of two sets with a similarity of at
+least ``s`` both have an element in common among their first ``n - ceil(s * n) + 1`` in any order that all
+sets share, so these prefixes are equi-join keys that miss no pair. Elements frequent in a draw of texts
+come last in the order, which only keeps buckets small. The whole sets decide on every candidate.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame, functions as F
+
+from repselect.llm.components import connected_components
+from repselect.llm.draw import smallest_hashes
+from repselect.llm.simhash import LOWER
+from repselect.session import settled
+
+#: Texts whose elements are counted for the order, and the most frequent elements that are put last.
+SAMPLE, FREQUENT = 4000, 100_000
+#: Most rounds of links between neighbours in a bucket before all its open pairs are compared.
+ROUNDS = 6
+
+
+def elements(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles; one of all words if they are fewer, none without words."""
+    words = (text or "").encode().translate(LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts, stops = [0, *ends[:-1].tolist()], (ends - 1).tolist()[min(shingle, len(words)) - 1:]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.array([digest(joined[a:b], 7) for a, b in zip(starts, stops)], np.uint64))
+
+
+def _least_common(n: int, similarity: float) -> int:
+    return math.ceil(similarity * n - 1e-9)
+
+
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    @F.pandas_udf("node long, n int, members binary")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        own = [elements(x, shingle) for x in texts]
+        nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), 11) for x in own], np.uint64).view(np.int64)
+        return pd.DataFrame({"node": nodes, "n": pd.Series([len(x) for x in own], dtype="int32"), "members": [x.tobytes() for x in own]})
+
+    return docs.select("doc_id", run("text").alias("s")).select("doc_id", "s.*")
+
+
+def _frequent(sets: DataFrame) -> np.ndarray:
+    """Elements of several drawn sets, the most frequent last."""
+    @F.pandas_udf("array<long>")
+    def listed(members: pd.Series) -> pd.Series:
+        return pd.Series([np.frombuffer(x, np.int64) for x in members])
+
+    drawn = smallest_hashes(sets, F.xxhash64("node"), SAMPLE)
+    counted = drawn.select(F.explode(listed("members")).alias("e")).groupBy("e").count().where("count > 2")
+    rows = counted.orderBy(F.desc("count"), "e").limit(FREQUENT).collect()
+    return np.array([r.e for r in reversed(rows)], np.int64).view(np.uint64)
+
+
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """``node, n, key``: a row for each element of each prefix."""
+    last = _frequent(sets)
+    by_value = np.argsort(last)
+    values = last[by_value]
+
+    @F.pandas_udf("array<long>")
+    def run(members: pd.Series) -> pd.Series:
+        out = []
+        for x in members:
+            own = np.frombuffer(x, np.uint64)
+            place = np.zeros(len(own), np.int64)
+            if len(values):
+                at = np.minimum(np.searchsorted(values, own), len(values) - 1)
+                place = np.where(values[at] == own, by_value[at] + 1, 0)
+            ordered = own[np.lexsort((own, place))]
+            out.append(ordered[:len(own) - _least_common(len(own), similarity) + 1].view(np.int64))
+        return pd.Series(out)
+
+    return sets.where("n > 0").select("node", "n", F.explode(run("members")).alias("key"))
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose whole sets are similar."""
+    @F.pandas_udf("boolean")
+    def decide(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = []
+        for x, y in zip(left, right):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both >= _least_common(len(x) + len(y) - both, similarity))
+        return pd.Series(out, dtype="bool")
+
+    own = sets.select("node", "members")
+    held = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
+    return held.where(decide("x", "y")).select("a", "b")
+
+
+def links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` that connect all of ``sets(node, n, members)``, each node once, with at least ``similarity``.
+
+    Rounds first compare neighbours of each bucket in a changing order, so that large groups become one
+    component by few comparisons; then every pair of a bucket that is still in two components is compared.
+    """
+    found = sets.sparkSession.createDataFrame([], "a long, b long")
+    shared = _prefixes(sets, similarity).groupBy("key").agg(F.collect_list(F.struct("node", "n")).alias("all")).where(F.size("all") > 1)
+    entries = settled(shared.select("key", F.explode("all").alias("e")).select("key", "e.*", F.col("e.node").alias("root")))
+    near = lambda x, y: F.least(x["n"], y["n"]) >= F.lit(similarity) * F.greatest(x["n"], y["n"]) - 1e-6
+    pair = lambda x, y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"))
+    for k in range(ROUNDS + 1):
+        by_root = entries.groupBy("key", "root").agg(F.count("*").cast("double").alias("c"))
+        by_key = by_root.groupBy("key").agg(((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("open"), F.sum("c").alias("c"))
+        still = by_key.where("open > 0").agg(F.sum("open"), F.sum("c")).first()
+        if not still[0]:
+            break
+        final = k == ROUNDS or still[0] <= 4 * still[1]
+        rows = F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "n", "root")
+        buckets = entries.groupBy("key").agg(F.sort_array(F.collect_list(rows)).alias("all"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+        if final:
+            later = lambda x, y: (y["h"] > x["h"]) & (y["root"] != x["root"]) & near(x, y)
+            pairs = F.flatten(F.transform("all", lambda x: F.transform(F.filter("all", lambda y: later(x, y)), lambda y: pair(x, y))))
+        else:
+            two = F.zip_with(F.slice("all", 1, F.size("all") - 1), F.slice("all", 2, F.size("all") - 1), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
+            pairs = F.transform(F.filter(two, lambda p: (p["x"]["root"] != p["y"]["root"]) & near(p["x"], p["y"])), lambda p: pair(p["x"], p["y"]))
+        candidates = buckets.select(F.explode(pairs).alias("p")).select("p.*").distinct()
+        found = found.unionByName(settled(_similar(candidates, sets, similarity)))
+        if final:
+            break
+        roots = connected_components(found)
+        entries = settled(entries.drop("root").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")))
+    return found
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``(doc_id, component_id)``, one row for each row of ``docs``.
+
+    ``component_id`` is the smallest ``doc_id`` reachable by texts with a Jaccard similarity of at least
+    ``similarity``. Null and wordless texts are equal to each other; a null ``doc_id`` never names a group.
+    """
+    marked = settled(_sets(docs, shingle))
+    sets = settled(marked.groupBy("node").agg(F.first("n").alias("n"), F.first("members").alias("members")))
+    roots = connected_components(links(sets, similarity))
+    rooted = settled(marked.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")))
+    return rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group: the one whose id names it.
+
+    Columns stay as they are. Of rows that repeat an id only one stays; rows without an id stay.
+    """
+    kept = similar_groups(docs, shingle, similarity).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    first = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").select(docs.columns)
+    return first.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))

@@ -1,0 +1,61 @@
+import random
+from collections import Counter
+
+from repselect.llm import jaccard
+from .conftest import odd_rows
+
+
+def brute_groups(rows, shingle=5, similarity=0.8):
+    sets = []
+    for _, text in rows:
+        words = (text or "").translate({c: c + 32 for c in range(65, 91)})
+        words = words.encode().split()
+        sets.append({tuple(words[i:i + shingle]) for i in range(max(1, len(words) - shingle + 1))} if words else set())
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or 10 * len(a & sets[j]) >= round(10 * similarity) * len(a | sets[j]) > 0:
+                root[find(i)] = find(j)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(i, least.get(find(k), i))
+    return sorted([(i, least.get(find(k))) for k, (i, _) in enumerate(rows)], key=repr)
+
+
+def test_groups_against_brute_force(spark, monkeypatch):
+    """Edited copies around the similarity of 0.8, a passage that many texts hold, and the odd rows."""
+    monkeypatch.setattr(jaccard, "SAMPLE", 40)
+    rng = random.Random(1)
+    word = lambda: f"w{rng.randrange(3000)}"
+    passage = [word() for _ in range(40)]
+    rows = [(r[0], r[1]) for r in odd_rows()]
+    for k in range(40):
+        base = [word() for _ in range(rng.choice([4, 5, 6, 30, 70, 200]))] + (passage if k % 2 else [])
+        for c in range(4):
+            own = list(base)
+            for _ in range(round(len(own) * rng.choice([0, 0.01, 0.02, 0.025, 0.03]))):
+                own[rng.randrange(len(own))] = word()
+            rows.append((1000 + 10 * k + c, " ".join(own)))
+    got = jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_groups(rows)
+
+
+def test_pipeline_stage_drops_edited_copies(spark, odd_docs, no_docs):
+    import corpus_pipeline
+
+    rng = random.Random(2)
+    base = [f"w{rng.randrange(900)}" for _ in range(100)]
+    docs = spark.createDataFrame([(k, " ".join([*base[:50], f"edit{k}", *base[51:]])) for k in range(5)], "doc_id long, text string")
+    assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()] == [0]
+    kept = jaccard.keep_one(odd_docs)
+    assert kept.columns == odd_docs.columns
+    got = Counter(r.doc_id for r in kept.collect())
+    assert got.pop(None) == 2 and set(got.values()) == {1}
+    assert jaccard.keep_one(no_docs).count() == 0
