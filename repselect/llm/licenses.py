@@ -32,7 +32,8 @@ NOTICES = {
 }
 #: The words of an identifier tag, whose expression follows in the text.
 TAG = "spdx license identifier"
-TAG_TEXT = re.compile(r"spdx-license-identifier\s*:[ \t]*([^\r\n]*)", re.I)
+TAG_TEXT = re.compile(r"spdx-license-identifier\s*:[ \t]*", re.I)
+TAIL = re.compile(r"[A-Za-z0-9.+:\-() \t]*")
 #: Licences, by the start of an identifier, under which a text may be used without asking.
 PERMISSIVE = ("mit", "apache-", "bsd-", "isc", "cc0-", "cc-by-1", "cc-by-2", "cc-by-3", "cc-by-4", "unlicense", "zlib", "0bsd", "wtfpl")
 LIFTING = ("classpath-exception-2.0", "gcc-exception-3.1", "llvm-exception", "font-exception-2.0")
@@ -105,11 +106,25 @@ def evaluate(polish: list[str]) -> tuple[bool, set[str]]:
 
 def expression_of(tail: str) -> list[str] | None:
     """The parsed expression at the start of what follows a tag: the longest run of parts that parses."""
-    parts = PART.findall(re.match(r"[A-Za-z0-9.+:\-() \t]*", tail)[0])[:200]
-    for n in range(len(parts), 0, -1):
-        if polish := parse(" ".join(parts[:n]).rstrip(".")):
-            return polish
-    return None
+    parts = PART.findall(TAIL.match(tail)[0])
+    whole, depth, operand = 0, 0, True  # parts up to the last place where all is closed
+    for n, part in enumerate(parts, 1):
+        part = part.lower()
+        if (part == "(" or part not in RANK and part != ")") != operand or part == ")" and not depth:
+            break
+        depth += (part == "(") - (part == ")")
+        operand = part == "(" or part in RANK
+        name = part.rstrip(".")
+        if not operand and not depth and name and name not in RANK:
+            whole = n
+    return parse(" ".join(parts[:whole]).rstrip(".")) if whole else None
+
+
+def tails(text: str) -> list[str]:
+    """What follows each tag, up to the end of the line or the next tag."""
+    tags = list(TAG_TEXT.finditer(text))
+    stops = [m.start() for m in tags[1:]] + [len(text)]
+    return [TAIL.match(text, m.end(), stop)[0] for m, stop in zip(tags, stops)]
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -144,7 +159,7 @@ def scan(text: str | None, own: ahocorasick.Automaton) -> tuple:
             last = word if last is None else max(last, word)
     expressions, permitted = [], None
     if tagged:
-        for tail in TAG_TEXT.findall(text):
+        for tail in tails(text):
             if polish := expression_of(tail):
                 free, ids = evaluate(polish)
                 expressions.append(" ".join(polish))
