@@ -8,6 +8,7 @@ the weighted residuals, cut off at zero.
 
 from __future__ import annotations
 
+import logging
 import math
 from functools import reduce
 
@@ -22,7 +23,9 @@ ANCHOR = "1,0"
 #: Fixed words of abuse that the toxic label follows.
 ABUSE = "idiot|moron|clown|worthless|stupid|loser|pathetic|scum|trash|garbage"
 FEATURES = ["length", "symbols", "capitals", "marks", "spaces", "digits", "lines", "abuse"]
-STEPS, SMALLEST_VARIANCE, REPEATS = 60, 1e-3, 1.0
+#: Most steps of the fit, least variance of a feature, most times that a domain's tokens are wanted.
+STEPS, SMALLEST_VARIANCE, REPEATS = 60, 1e-3, 4.0
+LOG = logging.getLogger(__name__)
 
 
 def features(docs: DataFrame, keep: list[str]) -> DataFrame:
@@ -78,13 +81,16 @@ def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float],
     times what there is; domains without a weight get none. Residuals are divided by the domain's tokens,
     which bounds the gradient's slope by one whatever the data. A step is one pass with one number a domain
     to the driver; rates so far are kept every few steps; it ends early within ``tolerance`` of all targets.
+    Tokens of each domain (there, wanted by weight, bounded by ``repeats``, reached) are logged, as a warning
+    if a bound holds or the last step ends beyond ``tolerance``.
     """
     ks = range(len(domains))
     rated = members.select("tokens", *[F.col("p")[k].alias(f"p{k}") for k in ks], F.lit(1.0).alias("r"))
     mass = [x or 0.0 for x in rated.agg(*[F.sum(F.col("tokens") * F.col(f"p{k}")) for k in ks]).first()]
     weight = [weights.get(d, 0.0) for d in domains]
     scale = next((m / w for d, m, w in zip(domains, mass, weight) if d == anchor and w > 0 and m > 0), sum(mass) / (sum(weight) or 1.0))
-    targets = [min(w * scale, repeats * m) for w, m in zip(weight, mass)]
+    wanted = [w * scale for w in weight]
+    targets = [min(w, repeats * m) for w, m in zip(wanted, mass)]
     moves: list[list[float]] = []
     totals = mass
     for step in range(1, steps + 1):
@@ -97,6 +103,11 @@ def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float],
         if step % 8 == 0:
             rated = settled(rated)
         totals = [x or 0.0 for x in rated.agg(*[F.sum(F.col("r") * F.col("tokens") * F.col(f"p{k}")) for k in ks]).first()]
+    short = max((abs(s - t) / m for s, t, m in zip(totals, targets, mass) if m > 0), default=0.0)
+    for row in zip(domains, mass, wanted, targets, totals):
+        LOG.log(logging.WARNING if row[3] < row[2] else logging.INFO, "domain %s: %.0f tokens there, %.0f wanted, %.0f bounded, %.0f reached", *row)
+    if short > tolerance:
+        LOG.warning("after %d steps a domain is off its target by %.2g of its tokens", len(moves), short)
     return moves, targets, totals
 
 
