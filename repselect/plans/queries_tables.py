@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from repselect.functions import scalars as S
 from repselect.operators import evaluators as E, ranking as H, sampling as C, statistics as I, summaries as G, validation as J
-from repselect.plans.queries import CASE, SEEDS, SPLIT, T, curves, items, metrics, query, r, rank_sql, scores
+from repselect.plans.queries import CASE, ORACLE_SQL, SEEDS, SPLIT, T, curves, items, metrics, query, r, rank_sql, scores
 from repselect.sources.fixtures import sql_with
 
 CANDIDATE = [*CASE, "layer"]
@@ -281,6 +281,11 @@ def h11_preference_accuracy(spark, sf_dir):
     return H.preference_accuracy(c, ["task", "seed", "feature"], "x", "y", "model_alias", "candidate")
 
 
+@query(ORACLE_SQL["h11_preference_accuracy"].replace(" WHERE a.feature IN ('harmonic', 'lidar')", ""))
+def h11_preference_accuracy_all_features(spark, sf_dir):
+    return H.preference_accuracy(candidates(spark, sf_dir), ["task", "seed", "feature"], "x", "y", "model_alias", "candidate")
+
+
 @query(sql(f"""SELECT model_alias, task, layer, feature, {r('CASE WHEN z > 0 AND mid > 0 THEN ln(z / mid) END AS calibrated', digits=6)} FROM (SELECT *, median(z) OVER (PARTITION BY task, feature, model_alias) AS mid FROM (
   SELECT *, x + CASE WHEN lo <= 0 THEN -lo + greatest(hi - lo, 1.0) * 1e-12 ELSE 0 END AS z FROM (SELECT model_alias, task, layer, feature, raw_value AS x, min(raw_value) OVER w AS lo, max(raw_value) OVER w AS hi FROM metrics_long WHERE raw_value > 0 WINDOW w AS (PARTITION BY task, feature, model_alias))))""", "metrics_long"), digits=6)
 def h15_model_logratio(spark, sf_dir):
