@@ -1,6 +1,6 @@
 """Near-dedup by the exact Jaccard similarity of word shingles, for the pipeline.
 
-A text is the set of hashes of its shingles; equal sets are one node. Of two sets with a similarity of at
+A text is the set of hashes of its shingles; equal texts are one node. Of two sets with a similarity of at
 least ``s`` both have an element in common among their first ``n - ceil(s * n) + 1`` in any order that all
 sets share, so these prefixes are equi-join keys that miss no pair. Elements frequent in a draw of texts
 come last in the order, which only keeps buckets small. The whole sets decide on every candidate.
@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from repselect.llm.components import connected_components
-from repselect.llm.draw import smallest_hashes
+from repselect.llm.quality import BLANKS
 from repselect.llm.simhash import LOWER
 from repselect.session import settled
 
@@ -42,74 +42,78 @@ def _least_common(n: int, similarity: float) -> int:
     return math.ceil(similarity * n - 1e-9)
 
 
-def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    @F.pandas_udf("node long, n int, members binary")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        own = [elements(x, shingle) for x in texts]
-        nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), 11) for x in own], np.uint64).view(np.int64)
-        return pd.DataFrame({"node": nodes, "n": pd.Series([len(x) for x in own], dtype="int32"), "members": [x.tobytes() for x in own]})
+def _noded(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, node``; equal texts are one node, and so are all without words."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", text.alias("text"), F.when(F.btrim(text, F.lit(BLANKS)) == "", F.lit(0)).otherwise(F.xxhash64(text)).cast("long").alias("node"))
+
 
-    return docs.select("doc_id", run("text").alias("s")).select("doc_id", "s.*")
+def _texts(noded: DataFrame) -> DataFrame:
+    return noded.groupBy("node").agg(F.first("text").alias("text"))
 
 
-def _frequent(sets: DataFrame) -> np.ndarray:
-    """Elements of several drawn sets, the most frequent last."""
+def _frequent(noded: DataFrame, shingle: int) -> np.ndarray:
+    """Elements of several drawn texts, the most frequent last."""
     @F.pandas_udf("array<long>")
-    def listed(members: pd.Series) -> pd.Series:
-        return pd.Series([np.frombuffer(x, np.int64) for x in members])
+    def listed(texts: pd.Series) -> pd.Series:
+        return pd.Series([elements(x, shingle).view(np.int64) for x in texts])
 
-    drawn = smallest_hashes(sets, F.xxhash64("node"), SAMPLE)
-    counted = drawn.select(F.explode(listed("members")).alias("e")).groupBy("e").count().where("count > 2")
+    hashed = F.xxhash64("node")
+    cut = noded.select(hashed.alias("h")).distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    if cut is None:
+        return np.zeros(0, np.uint64)
+    counted = _texts(noded.where(hashed <= cut)).select(F.explode(listed("text")).alias("e")).groupBy("e").count().where("count > 2")
     rows = counted.orderBy(F.desc("count"), "e").limit(FREQUENT).collect()
     return np.array([r.e for r in reversed(rows)], np.int64).view(np.uint64)
 
 
-def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """``node, n, key``: a row for each element of each prefix."""
-    last = _frequent(sets)
+def _prefixes(noded: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``node, n, key``: a row for each element of each text's prefix."""
+    last = _frequent(noded, shingle)
     by_value = np.argsort(last)
     values = last[by_value]
 
-    @F.pandas_udf("array<long>")
-    def run(members: pd.Series) -> pd.Series:
-        out = []
-        for x in members:
-            own = np.frombuffer(x, np.uint64)
+    @F.pandas_udf("n int, keys array<long>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        sizes, keys = [], []
+        for x in texts:
+            own = elements(x, shingle)
             place = np.zeros(len(own), np.int64)
             if len(values):
                 at = np.minimum(np.searchsorted(values, own), len(values) - 1)
                 place = np.where(values[at] == own, by_value[at] + 1, 0)
             ordered = own[np.lexsort((own, place))]
-            out.append(ordered[:len(own) - _least_common(len(own), similarity) + 1].view(np.int64))
-        return pd.Series(out)
+            sizes.append(len(own))
+            keys.append(ordered[:len(own) - _least_common(len(own), similarity) + 1].view(np.int64))
+        return pd.DataFrame({"n": pd.Series(sizes, dtype="int32"), "keys": pd.Series(keys, dtype="object")})
 
-    return sets.where("n > 0").select("node", "n", F.explode(run("members")).alias("key"))
+    return noded.select("node", run("text").alias("s")).select("node", "s.n", F.explode("s.keys").alias("key"))
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _similar(pairs: DataFrame, noded: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Those of ``pairs(a, b)`` whose whole sets are similar."""
     @F.pandas_udf("boolean")
     def decide(left: pd.Series, right: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(left, right):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            x, y = elements(x, shingle), elements(y, shingle)
             both = len(np.intersect1d(x, y, assume_unique=True))
             out.append(both >= _least_common(len(x) + len(y) - both, similarity))
         return pd.Series(out, dtype="bool")
 
-    own = sets.select("node", "members")
-    held = pairs.join(own.toDF("a", "x"), "a").join(own.toDF("b", "y"), "b")
+    texts = _texts(noded)
+    held = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
     return held.where(decide("x", "y")).select("a", "b")
 
 
-def links(sets: DataFrame, similarity: float) -> DataFrame:
-    """Links ``(a, b)`` that connect all of ``sets(node, n, members)``, each node once, with at least ``similarity``.
+def links(noded: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` that connect all texts of ``noded`` with at least ``similarity``.
 
     Rounds first compare neighbours of each bucket in a changing order, so that large groups become one
     component by few comparisons; then every pair of a bucket that is still in two components is compared.
     """
-    found = sets.sparkSession.createDataFrame([], "a long, b long")
-    shared = _prefixes(sets, similarity).groupBy("key").agg(F.collect_list(F.struct("node", "n")).alias("all")).where(F.size("all") > 1)
+    found = noded.sparkSession.createDataFrame([], "a long, b long")
+    shared = _prefixes(noded, shingle, similarity).groupBy("key").agg(F.collect_set(F.struct("node", "n")).alias("all")).where(F.size("all") > 1)
     entries = settled(shared.select("key", F.explode("all").alias("e")).select("key", "e.*", F.col("e.node").alias("root")))
     near = lambda x, y: F.least(x["n"], y["n"]) >= F.lit(similarity) * F.greatest(x["n"], y["n"]) - 1e-6
     pair = lambda x, y: F.struct(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"))
@@ -129,7 +133,7 @@ def links(sets: DataFrame, similarity: float) -> DataFrame:
             two = F.zip_with(F.slice("all", 1, F.size("all") - 1), F.slice("all", 2, F.size("all") - 1), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
             pairs = F.transform(F.filter(two, lambda p: (p["x"]["root"] != p["y"]["root"]) & near(p["x"], p["y"])), lambda p: pair(p["x"], p["y"]))
         candidates = buckets.select(F.explode(pairs).alias("p")).select("p.*").distinct()
-        found = found.unionByName(settled(_similar(candidates, sets, similarity)))
+        found = found.unionByName(settled(_similar(candidates, noded, shingle, similarity)))
         if final:
             break
         roots = connected_components(found)
@@ -143,10 +147,10 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     ``component_id`` is the smallest ``doc_id`` reachable by texts with a Jaccard similarity of at least
     ``similarity``. Null and wordless texts are equal to each other; a null ``doc_id`` never names a group.
     """
-    marked = settled(_sets(docs, shingle))
-    sets = settled(marked.groupBy("node").agg(F.first("n").alias("n"), F.first("members").alias("members")))
-    roots = connected_components(links(sets, similarity))
-    rooted = settled(marked.select("doc_id", "node").join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")))
+    noded = _noded(docs)
+    marked = settled(noded.select("doc_id", "node"))
+    roots = connected_components(links(noded, shingle, similarity))
+    rooted = settled(marked.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")))
     return rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
 
 
