@@ -34,7 +34,9 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Null ends, self links and repeated links are ignored; an empty table gives an empty one. Each round
     only shuffles the links and keeps at most one link a node once the stars have formed, so rounds grow
-    with the logarithm of a component, and no component is ever gathered in one place.
+    with the logarithm of a component. Nothing gathers the links of a node in a row; the links of a star's
+    centre meet its one smallest neighbour by a join on that node, whose larger side is split where adaptive
+    execution finds it skewed.
     """
     pairs = settled(
         links.where(F.col("a") != F.col("b"))

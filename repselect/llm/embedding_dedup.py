@@ -3,7 +3,9 @@
 Vectors are compared in tiles of bounded size. In the basis of principal components the leading dimensions
 hold most of each product; the product of the suffix norms bounds the rest, so a pair is dropped as soon
 as its bound falls below the threshold, and only the survivors are multiplied out in the given numbers.
-Tiles follow the first component: two blocks meet only if their ranges are near enough.
+Blocks are runs of vectors in a Z-order of the leading components. A block's box holds the ranges of several
+components and of the suffix norm; two blocks form a tile only if their boxes are near enough, and only those
+vectors go there that are near enough to the other block's box.
 """
 
 from __future__ import annotations
@@ -11,13 +13,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from repselect.llm.components import connected_components, local_roots
 from repselect.llm.order import with_prefix
+from repselect.llm.rows import quoted
 from repselect.session import settled
 
-#: Vectors of a block at most (about), and rows of the inner comparison.
-BLOCK, INNER = 8192, 1024
+#: Numbers in the vectors of a block (2 to 16 MB), and rows of the inner comparison.
+NUMBERS, INNER = 1 << 20, 1024
+#: Components that a block's box tells of, components of the Z-order and bits of each.
+BOX, ORDER, BITS = 8, 4, 8
 
 
 def _usable(v):
@@ -75,13 +81,41 @@ def _near(x: np.ndarray, y: np.ndarray, px: np.ndarray, py: np.ndarray, threshol
     return i[exact], j[exact]
 
 
-def _tile(threshold: float, d: int, basis: np.ndarray):
+def _basis(basis: np.ndarray, d: int) -> np.ndarray:
+    """Vectors of another length than the principal basis keep their own dimensions."""
+    return basis if len(basis) == d else np.eye(d)
+
+
+def _placed(basis: np.ndarray):
+    """Adds the place in the Z-order ``z`` and the coordinates ``p`` of the box to each vector."""
+    def run(batches):
+        for batch in batches:
+            z, p = np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
+            sizes = batch.column("d").to_numpy()
+            for d in np.unique(sizes):
+                at = np.flatnonzero(sizes == d)
+                unit = _unit(_flat(batch.column("v").take(pa.array(at))), int(d))
+                turned = unit @ _basis(basis, int(d))[:, :BOX]
+                rest = np.sqrt(np.maximum(1 - np.einsum("ij,ij->i", turned, turned), 0))
+                grid = np.clip((turned[:, :ORDER] + 1) * (1 << BITS - 1), 0, (1 << BITS) - 1).astype(np.int64)
+                for bit in range(BITS):
+                    for k in range(grid.shape[1]):
+                        z[at] |= (grid[:, k] >> bit & 1) << bit * ORDER + k
+                for k, row in zip(at, np.column_stack((turned, rest))):
+                    p[k] = row
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(z), pa.array(p, pa.list_(pa.float64()))], [*batch.schema.names, "z", "p"])
+
+    return run
+
+
+def _tile(threshold: float, basis: np.ndarray):
     def run(table: pa.Table) -> pa.Table:
         ids, side, copies = (table.column(c).to_numpy() for c in ("vec_id", "side", "copies"))
+        d = len(table.column("v")[0])
         unit = _unit(_flat(table.column("v")), d)
         order = np.argsort(ids, kind="stable")
         ids, side, copies, unit = ids[order], side[order], copies[order], unit[order]
-        turned, lead = unit @ basis, max(1, d // 4)
+        turned, lead = unit @ _basis(basis, d), max(1, d // 4)
         left = np.flatnonzero(side != 1)
         right = np.flatnonzero(side != 0) if (side == 1).any() else left
         diagonal = (side == 2).any()
@@ -103,26 +137,34 @@ def _tile(threshold: float, d: int, basis: np.ndarray):
     return run
 
 
-def _linked(vectors: DataFrame, d: int, threshold: float) -> DataFrame:
+def _linked(vectors: DataFrame, threshold: float) -> DataFrame:
     """``(vec_id, n, root)`` in any number of rows a vector, for the distinct usable vectors ``(vec_id, v,
-    copies)`` of length ``d``."""
-    basis = principal_basis(vectors, d)
-    axis = [float(x) for x in basis[:, 0]]
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    dot = F.aggregate(F.zip_with("v", F.array(*map(F.lit, axis)), lambda x, a: x.cast("double") * a), F.lit(0.0), lambda s, x: s + x)
-    placed = with_prefix(vectors.withColumn("c", dot / norm), ["c", "vec_id"], "copies")
-    placed = settled(placed.select("vec_id", "v", "copies", "c", F.expr(f"rank div {BLOCK}").alias("block")))
-    blocks = settled(placed.groupBy("block").agg(F.min("c").alias("low"), F.max("c").alias("high")))  # one row a block
-    last = blocks.count() - 1
-    # unit vectors of that cosine are at most this far apart, in every direction
-    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-9
-    ahead = blocks.select(F.col("block").alias("bx"), F.col("high").alias("to"), F.explode(F.sequence("block", F.lit(last).cast("long"))).alias("block"))
-    tiles = ahead.join(blocks, "block").where(F.col("low") - F.col("to") <= reach).select("bx", F.col("block").alias("by"))
-    one = F.array(F.struct(F.col("bx").alias("block"), F.lit(2).alias("side")))
-    two = F.array(F.struct(F.col("bx").alias("block"), F.lit(0).alias("side")), F.struct(F.col("by").alias("block"), F.lit(1).alias("side")))
-    sides = tiles.select(F.concat_ws("-", "bx", "by").alias("tile"), F.explode(F.when(F.col("bx") == F.col("by"), one).otherwise(two)).alias("s")).select("tile", "s.*")
-    dealt = placed.join(sides, "block").select("tile", "vec_id", "side", "copies", "v")
-    return dealt.groupBy("tile").applyInArrow(_tile(threshold, d, basis), "vec_id long, n long, root long")
+    copies)``. Vectors of all lengths go through together; the commonest length has the principal basis."""
+    sized = vectors.withColumn("d", F.size("v"))
+    common = sized.groupBy("d").count().orderBy(F.desc("count"), "d").first()
+    if common is None:
+        return None
+    basis = principal_basis(sized.where(F.col("d") == common.d), common.d)
+    schema = StructType([*sized.schema.fields, StructField("z", LongType()), StructField("p", ArrayType(DoubleType()))])
+    placed = with_prefix(sized.mapInArrow(_placed(basis), schema), ["d", "z", "vec_id"], "copies")
+    first = placed.groupBy("d").agg(F.min("rank").alias("first"))  # a row a length
+    placed = settled(placed.join(first, "d").select("vec_id", "v", "copies", "d", "p", F.expr(f"(rank - first) div greatest(1, {NUMBERS} div d)").alias("block")))
+    corners = placed.select("d", "block", F.posexplode("p").alias("k", "x")).groupBy("d", "block", "k").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    boxes = settled(corners.groupBy("d", "block").agg(F.sort_array(F.collect_list(F.struct("k", "lo", "hi"))).alias("box")))  # one row a block
+    ends = boxes.groupBy("d").agg(F.max("block").alias("end"))
+    # unit vectors of that cosine are at most this far apart, and so are their coordinates
+    reach = max(0.0, 2 - 2 * threshold) + 1e-9
+    square = lambda x: F.greatest(x, F.lit(0.0)) * F.greatest(x, F.lit(0.0))
+    total = lambda parts: F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
+    apart = total(F.zip_with("bx", "by", lambda x, y: square(F.greatest(x["lo"] - y["hi"], y["lo"] - x["hi"]))))
+    ahead = boxes.join(ends, "d").select("d", F.col("block").alias("x"), F.col("box").alias("bx"), F.explode(F.sequence("block", "end")).alias("block"))
+    tiles = ahead.join(boxes, ["d", "block"]).select("d", "x", F.col("block").alias("y"), "bx", F.col("box").alias("by")).where(apart <= reach)
+    side = lambda block, other, k: F.struct(F.col(block).alias("block"), F.col(other).alias("other"), F.lit(k).alias("side"))
+    sides = tiles.select("d", F.concat_ws("-", "d", "x", "y").alias("tile"), F.explode(
+        F.when(F.col("x") == F.col("y"), F.array(side("x", "by", 2))).otherwise(F.array(side("x", "by", 0), side("y", "bx", 1)))).alias("s")).select("d", "tile", "s.*")
+    far = total(F.zip_with("p", "other", lambda x, y: square(F.greatest(x - y["hi"], y["lo"] - x))))
+    dealt = placed.join(sides, ["d", "block"]).where(far <= reach).select("tile", "vec_id", "side", "copies", "v")
+    return dealt.groupBy("tile").applyInArrow(_tile(threshold, basis), "vec_id long, n long, root long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -133,15 +175,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "v
     non-finite numbers link with nothing, and so do vectors of unlike lengths. Rows that repeat an id count
     as vectors of their own; a row without an id is kept with null ``component_id`` unless it is linked.
     """
-    rows = vectors.select(F.col(vec_id).alias("vec_id"), F.col(embedding).alias("v"))
+    rows = vectors.select(F.col(quoted(vec_id)).alias("vec_id"), F.col(quoted(embedding)).alias("v"))
     usable = rows.where(_usable(F.col("v")))
     distinct = settled(usable.groupBy("v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies")))
     # vectors are named by a dense number of their own: ids may be null or repeated
     named = settled(distinct.withColumn("node", F.monotonically_increasing_id()))
-    found = None
-    for d in [r.d for r in named.select(F.size("v").alias("d")).distinct().collect()]:
-        part = _linked(named.where(F.size("v") == d).select(F.col("node").alias("vec_id"), "v", "copies"), d, threshold)
-        found = part if found is None else found.unionByName(part)
+    found = _linked(named.select(F.col("node").alias("vec_id"), "v", "copies"), threshold)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     found = settled(found)
@@ -152,9 +191,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, vec_id: str = "v
         .select("v", F.col("vec_id").alias("least"), F.coalesce("root", "node").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     named = joined.join(least, "root").select("v", "n_links", "component_id")
-    key = F.when(_usable(F.col("v")), F.col("v"))
-    out = rows.withColumn("v", key).join(named, "v", "left")
-    return out.select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    linked = usable.join(named, "v").select("vec_id", "n_links", "component_id")
+    alone = rows.where(~F.coalesce(_usable(F.col("v")), F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -13,9 +13,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from repselect.llm.draw import smallest_hashes
+from repselect.llm.draw import drawn_texts
+from repselect.llm.rows import quoted
 
-#: Most training documents of a language (those of the smallest hash of their id), n-gram length, slots of
+#: Most training texts of a language (those of the smallest hash), n-gram length, slots of
 #: the filter, slots of an n-gram, and the least share of a language's n-grams that gets one in.
 SAMPLE, GRAM, SLOTS, HASHES, SHARE = 2000, 4, 1 << 18, 3, 1e-6
 
@@ -53,7 +54,8 @@ def places(hashes: np.ndarray, slots: int, k: int) -> np.ndarray:
 
 @dataclass
 class Filters:
-    """``masks[slot]`` has bit l set if an n-gram of ``langs[l]`` falls there; ``false_rate`` by language."""
+    """Bit ``l % 64`` of ``masks[l // 64, slot]`` is set if an n-gram of ``langs[l]`` falls there; ``false_rate``
+    by language."""
 
     langs: list[str]
     masks: np.ndarray
@@ -65,10 +67,12 @@ class Filters:
         found = grams(text, self.gram)
         if not len(found) or not self.langs:
             return "und", 0.0
-        mask = self.masks[places(found, len(self.masks), 0)]
-        for k in range(1, self.hashes):
-            mask &= self.masks[places(found, len(self.masks), k)]
-        hits = np.array([np.count_nonzero(mask & np.uint64(1 << b)) for b in range(len(self.langs))])
+        slots = [places(found, self.masks.shape[1], k) for k in range(self.hashes)]
+        hits = np.zeros(len(self.langs))
+        for word, row in enumerate(self.masks):
+            mask = np.bitwise_and.reduce([row[at] for at in slots])
+            for b in range(64 * word, min(64 * word + 64, len(self.langs))):
+                hits[b] = np.count_nonzero(mask & np.uint64(1 << b % 64))
         true = np.clip((hits / len(found) - self.false_rate) / np.maximum(1 - self.false_rate, 1e-9), 0, 1)
         best = int(np.argmax(true))
         return self.langs[best], float(true[best])
@@ -77,19 +81,16 @@ class Filters:
 def train(docs: DataFrame, sample: int = SAMPLE, gram: int = GRAM, slots: int = SLOTS, hashes: int = HASHES, share: float = SHARE) -> Filters:
     """Filters from the ``text`` and non-null ``lang`` of ``docs``.
 
-    The fit takes at most ``sample`` documents of each language, those of the smallest hash of id and text.
-    The driver receives one mask a slot at most, a size fixed by ``slots``; up to 64 languages.
+    The fit takes at most ``sample`` distinct texts of each language, those of the smallest hash, in one pass
+    for all languages. The driver receives at most a mask a slot for each 64 languages.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    langs = sorted(r.lang for r in known.select("lang").distinct().collect())
-    if len(langs) > 64:
-        raise ValueError("at most 64 languages")
+    drawn = drawn_texts(docs.where(F.col("lang").isNotNull()), sample, ("lang",))
+    langs = sorted(r.lang for r in docs.where("lang is not null and text is not null").select("lang").distinct().collect())  # their names
+    words = max(1, -(-len(langs) // 64))
     if not langs:
-        return Filters([], np.zeros(slots, np.uint64), np.zeros(0), hashes, gram)
-    drawn = None
-    for b, lang in enumerate(langs):
-        own = smallest_hashes(known.where(F.col("lang") == lang), F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0))), sample).select(F.lit(b).alias("b"), "text")
-        drawn = own if drawn is None else drawn.unionByName(own)
+        return Filters([], np.zeros((words, slots), np.uint64), np.zeros(0), hashes, gram)
+    number = drawn.sparkSession.createDataFrame(list(enumerate(langs)), "b int, lang string")
+    drawn = drawn.join(number, "lang").select("b", "text")
 
     def count(batches):
         for pdf in batches:
@@ -105,12 +106,12 @@ def train(docs: DataFrame, sample: int = SAMPLE, gram: int = GRAM, slots: int =
         for pdf in batches:
             hs = pdf.h.to_numpy().view(np.uint64)
             for k in range(hashes):
-                yield pd.DataFrame({"slot": places(hs, slots, k).astype(np.int64), "mask": np.int64(1) << pdf.b.to_numpy(np.int64)})
+                yield pd.DataFrame({"word": pdf.b // 64, "slot": places(hs, slots, k).astype(np.int64), "mask": np.int64(1) << pdf.b.to_numpy(np.int64) % 64})
 
-    filled = frequent.select("b", "h").mapInPandas(slot, "slot long, mask long").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toPandas()
-    masks = np.zeros(slots, np.uint64)
-    masks[filled.slot.to_numpy(np.int64)] = filled["mask"].to_numpy(np.int64).view(np.uint64)
-    fill = np.array([np.count_nonzero(masks & np.uint64(1 << b)) / slots for b in range(len(langs))])
+    filled = frequent.select("b", "h").mapInPandas(slot, "word int, slot long, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toPandas()
+    masks = np.zeros((words, slots), np.uint64)
+    masks[filled.word.to_numpy(np.int64), filled.slot.to_numpy(np.int64)] = filled["mask"].to_numpy(np.int64).view(np.uint64)
+    fill = np.array([np.count_nonzero(masks[b // 64] & np.uint64(1 << b % 64)) / slots for b in range(len(langs))])
     return Filters(langs, masks, fill ** hashes, hashes, gram)
 
 
@@ -120,7 +121,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def identify(docs: DataFrame, model: Filters) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (both replaced if they exist).
+    """``docs`` with ``lang_pred`` and ``score`` (both replaced if they exist; ``_found`` is left out).
 
     Only the text is looked at. ``und`` with score 0 if it is null or has no letter, or if nothing was
     learnt. The score is the corrected share of the text's n-grams that the language contains; ties go to
@@ -133,5 +134,5 @@ def identify(docs: DataFrame, model: Filters) -> DataFrame:
         own = sent.value
         return pd.DataFrame([own.predict(x) for x in texts], columns=["lang_pred", "score"])
 
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [quoted(c) for c in docs.columns if c not in ("lang_pred", "score", "_found")]
     return docs.select(*kept, run("text").alias("_found")).select(*kept, "_found.lang_pred", "_found.score")

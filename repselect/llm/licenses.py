@@ -34,9 +34,20 @@ NOTICES = {
 TAG = "spdx license identifier"
 TAG_TEXT = re.compile(r"spdx-license-identifier\s*:[ \t]*", re.I)
 TAIL = re.compile(r"[A-Za-z0-9.+:\-() \t]*")
-#: Licences, by the start of an identifier, under which a text may be used without asking.
-PERMISSIVE = ("mit", "apache-", "bsd-", "isc", "cc0-", "cc-by-1", "cc-by-2", "cc-by-3", "cc-by-4", "unlicense", "zlib", "0bsd", "wtfpl")
-LIFTING = ("classpath-exception-2.0", "gcc-exception-3.1", "llvm-exception", "font-exception-2.0")
+#: Stems of licence identifiers, as the public list of them has: the part ahead of the first ``-``. Other words
+#: are no licences, but for identifiers that a document defines itself.
+STEMS = {
+    "0bsd", "afl", "agpl", "apache", "artistic", "beerware", "blueoak", "bsd", "bsl", "busl", "cc", "cc0", "cddl", "cecill", "cpl", "ecl", "efl", "elastic", "epl", "eupl", "gfdl", "gpl",
+    "hpnd", "ijg", "ipl", "isc", "lgpl", "lppl", "mit", "mpl", "ms", "ncsa", "odbl", "odc", "ofl", "ogl", "openssl", "osl", "pddl", "php", "postgresql", "psf", "python", "qpl", "ruby",
+    "sissl", "sleepycat", "sspl", "tcl", "unicode", "unlicense", "upl", "vim", "w3c", "wtfpl", "x11", "zlib", "zpl"}
+OWN = ("licenseref-", "documentref-")
+#: Stems under which a text may be used without asking, and starts of identifiers of the others that allow it.
+PERMISSIVE = {"0bsd", "afl", "apache", "beerware", "blueoak", "bsd", "bsl", "cc0", "ecl", "hpnd", "ijg", "isc", "mit", "ncsa", "odc", "ofl", "openssl", "pddl", "php", "postgresql", "psf", "python", "tcl", "unicode",
+              "unlicense", "upl", "vim", "w3c", "wtfpl", "x11", "zlib", "zpl"}
+PERMISSIVE_STARTS = ("cc-by-1", "cc-by-2", "cc-by-3", "cc-by-4", "cc-pddc", "ms-pl")
+#: What makes an identifier behind ``with`` an exception, and those that lift the licence's conditions.
+EXCEPTION = "exception"
+LIFTING = ("classpath-exception-2.0", "gcc-exception-3.1", "llvm-exception", "font-exception-2.0", "autoconf-exception-", "bison-exception-", "linux-syscall-note")
 
 # A-Z lowered; every other ASCII character that is no letter or digit becomes a blank.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -44,6 +55,21 @@ PART = re.compile(r"\(|\)|[A-Za-z0-9.+:-]+")
 RANK = {"or": 1, "and": 2, "with": 3}
 
 
+def stem(identifier: str) -> str:
+    return identifier.partition("-")[0].rstrip("+")
+
+
+def is_identifier(part: str, exception: bool = False) -> bool:
+    """Whether a lower-case word is a licence identifier, or behind ``with`` an exception."""
+    if exception:
+        return EXCEPTION in part or part in LIFTING or part.startswith(OWN)
+    return stem(part) in STEMS or part.startswith(OWN)
+
+
+def is_permissive(identifier: str) -> bool:
+    return stem(identifier) in PERMISSIVE or identifier.startswith(PERMISSIVE_STARTS)
+
+
 def parse(expression: str) -> list[str] | None:
     """Reverse Polish form of a licence expression by the shunting-yard algorithm; None if malformed.
 
@@ -92,24 +118,27 @@ def evaluate(polish: list[str]) -> tuple[bool, set[str]]:
     exceptions: set[str] = set()
     for part in polish:
         if part not in RANK:
-            stack.append((part.startswith(PERMISSIVE), part))
+            stack.append((is_permissive(part), part))
             licences.add(part)
             continue
         (right, name), (left, own) = stack.pop(), stack.pop()
         if part == "with":
             exceptions.add(name)
-            stack.append((left or name in LIFTING, own))
+            stack.append((left or name.startswith(LIFTING), own))
         else:
             stack.append((left and right if part == "and" else left or right, ""))
     return stack[0][0], licences - exceptions
 
 
 def expression_of(tail: str) -> list[str] | None:
-    """The parsed expression at the start of what follows a tag: the longest run of parts that parses."""
+    """The parsed expression at the start of what follows a tag: the longest run of parts that parses and
+    whose words are all identifiers."""
     parts = PART.findall(TAIL.match(tail)[0])
-    whole, depth, operand = 0, 0, True  # parts up to the last place where all is closed
+    whole, depth, operand, before = 0, 0, True, ""  # parts up to the last place where all is closed
     for n, part in enumerate(parts, 1):
-        part = part.lower()
+        part, before, last = part.lower(), part.lower(), before
+        if part not in RANK and part not in "()" and not is_identifier(part.rstrip("."), last == "with"):
+            break
         if (part == "(" or part not in RANK and part != ")") != operand or part == ")" and not depth:
             break
         depth += (part == "(") - (part == ")")

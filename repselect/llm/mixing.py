@@ -1,6 +1,7 @@
 """Soft-membership mixing of documents to target weights, with DataFrame functions only.
 
-A naive Bayes classifier fitted on the labelled table gives each document posteriors over domains. Rates
+A naive Bayes classifier fitted on the labelled table gives each document posteriors over domains; its features
+are shares of characters and the evidence of words that the labels tell apart. Rates
 ``r >= 0`` of documents, ``x`` tokens long, then fit ``sum_i r_i x_i p_id`` to the target of each domain by
 projected gradient descent: every step sums all documents to one number a domain and moves each rate by
 the weighted residuals, cut off at zero.
@@ -14,32 +15,75 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from repselect.llm.quality import BLANKS
+from repselect.llm.rows import whole_row
 from repselect.session import settled
 
 #: A domain is a pair of labels: quality and toxic. Default weights: mostly good and civil text.
 WEIGHTS = {"1,0": 0.85, "1,1": 0.02, "0,0": 0.12, "0,1": 0.01}
 ANCHOR = "1,0"
-#: Fixed words of abuse that the toxic label follows.
-ABUSE = "idiot|moron|clown|worthless|stupid|loser|pathetic|scum|trash|garbage"
-FEATURES = ["length", "symbols", "capitals", "marks", "spaces", "digits", "lines", "abuse"]
+#: Labels whose telling words are learnt, each for a feature of its own.
+TOLD = ["toxic"]
+FEATURES = ["length", "symbols", "capitals", "marks", "variety", *[f"told_{x}" for x in TOLD]]
+#: Most words learnt of a label, and the least deviations by which a word's log odds must differ from even.
+WORDS, SURE = 1000, 4.0
 #: Most steps of the fit, least variance of a feature, most times that a domain's tokens are wanted.
-STEPS, SMALLEST_VARIANCE, REPEATS = 60, 1e-3, 4.0
+STEPS, SMALLEST_VARIANCE, REPEATS = 200, 1e-3, 4.0
 LOG = logging.getLogger(__name__)
 
 
-def features(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep``, ``tokens`` (words, long) and ``FEATURES`` (double) of whole texts; null counts as empty."""
+def _words(text: Column) -> Column:
+    """Distinct words of letters and digits, lower case."""
+    return F.array_distinct(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"))
+
+
+def learn_words(labelled: DataFrame, label: str) -> dict[str, float]:
+    """Log odds of the words that tell ``label`` 1 from 0, by the documents that hold them.
+
+    ``labelled`` has the text and the label; rows without the label are left out. Half a document is added to each
+    count; words within ``SURE`` deviations of even odds are dropped, and of the others the ``WORDS`` surest
+    kept, which bounds what the driver receives.
+    """
+    rows = labelled.where(F.col(label).isNotNull()).select(_words(F.coalesce("text", F.lit(""))).alias("w"), F.col(label).cast("int").alias("y"))
+    n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if not 0 < ones < n:
+        return {}
+    counts = rows.select(F.explode("w").alias("word"), "y").where("word <> ''").groupBy("word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    odds = lambda k, of: (F.col(k) + 0.5) / (of - F.col(k) + 0.5)
+    spread = F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5) + 1 / (ones - F.col("a") + 0.5) + 1 / (n - ones - F.col("b") + 0.5))
+    weight = F.ln(odds("a", ones) / odds("b", n - ones))
+    sure = counts.select("word", weight.alias("x"), (F.abs(weight) / spread).alias("z")).where(F.col("z") >= SURE)
+    return {r.word: r.x for r in sure.orderBy(F.desc("z"), "word").limit(WORDS).collect()}
+
+
+def features(docs: DataFrame, keep: list[str], told: dict[str, dict[str, float]]) -> DataFrame:
+    """``keep``, ``tokens`` (words, long) and ``FEATURES`` (double) of whole texts; null counts as empty.
+    ``told``: the learnt words of each label."""
     t = F.coalesce("text", F.lit(""))
-    one = docs.select(*keep, t.alias("_t"), F.char_length(t).cast("double").alias("_n"))
+    held = _words(F.col("_t"))
+    one = docs.select(*keep, t.alias("_t")).select(*keep, "_t", F.char_length("_t").cast("double").alias("_n"), held.alias("_w"))
     left = lambda letters: F.regexp_count("_t", F.lit(f"[{letters}]")).cast("double")
     share = lambda c: c / F.greatest(F.col("_n"), F.lit(1.0))
-    words = F.size(F.split(F.btrim("_t", F.lit(BLANKS)), "[ \\t\\n\\x0B\\f\\r]+"))
+    words = F.regexp_count("_t", F.lit("[^ \\t\\n\\x0B\\f\\r]+"))
+
+    def evidence(own: dict[str, float]) -> Column:
+        if not own:
+            return F.lit(0.0)
+        names = F.array(*map(F.lit, own))
+        weights = F.create_map(*[F.lit(x) for kv in own.items() for x in kv])
+        return F.aggregate(F.array_intersect("_w", names), F.lit(0.0), lambda s, w: s + F.element_at(weights, w))
+
     return one.select(
-        *keep, F.when(F.btrim("_t", F.lit(BLANKS)) == "", 0).otherwise(words).cast("long").alias("tokens"),
+        *keep, words.cast("long").alias("tokens"),
         F.ln(F.col("_n") + 1).alias("length"), share(left("#*$%&|<>")).alias("symbols"), share(left("A-Z")).alias("capitals"),
-        share(left("!?")).alias("marks"), share(left(" \\t\\n\\x0B\\f\\r")).alias("spaces"), share(left("0-9")).alias("digits"),
-        F.ln(left("\\n") + 1).alias("lines"), F.ln(F.lit(1.0) + F.regexp_count("_t", F.lit(f"\\b(?:{ABUSE})\\b"))).alias("abuse"))
+        share(left("!?")).alias("marks"),
+        (F.size("_w") / F.greatest(words, F.lit(1))).cast("double").alias("variety"),
+        *[evidence(told.get(x, {})).alias(f"told_{x}") for x in TOLD])
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> dict[str, dict[str, float]]:
+    """The telling words of each label in ``TOLD``, from the labelled documents."""
+    labelled = settled(docs.select("doc_id", "text").join(labels.select("doc_id", *TOLD), "doc_id"))
+    return {x: learn_words(labelled, x) for x in TOLD}
 
 
 def fit_classifier(labelled: DataFrame) -> list[dict]:
@@ -77,20 +121,22 @@ def _rate(moves: list[list[float]]) -> Column:
 def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float], anchor: str = ANCHOR, repeats: float = REPEATS, steps: int = STEPS, tolerance: float = 1e-6):
     """``(moves, targets, totals)`` from ``members(tokens, p)``; ``_rate(moves)`` is the rate of a row.
 
-    Targets: the anchor domain keeps its tokens, the others follow by weight, but none beyond ``repeats``
-    times what there is; domains without a weight get none. Residuals are divided by the domain's tokens,
-    which bounds the gradient's slope by one whatever the data. A step is one pass with one number a domain
-    to the driver; rates so far are kept every few steps; it ends early within ``tolerance`` of all targets.
-    Tokens of each domain (there, wanted by weight, bounded by ``repeats``, reached) are logged, as a warning
-    if a bound holds or the last step ends beyond ``tolerance``.
+    Targets stand in the proportion of the weights. The anchor domain keeps its tokens, unless another would
+    then be wanted more than ``repeats`` times over: the whole is scaled down until none is. Domains without a
+    weight get none; one that is weighted but has no tokens can't be had and is told in the log. Residuals are
+    divided by the domain's tokens, which bounds the gradient's slope by one whatever the data. A step is one
+    pass with one number a domain to the driver; rates so far are kept every few steps; it ends early within
+    ``tolerance`` of all targets. Tokens of each domain (there, wanted, reached) are logged, as a warning if the
+    whole was scaled down, a domain is missing or the last step ends beyond ``tolerance``.
     """
     ks = range(len(domains))
     rated = members.select("tokens", *[F.col("p")[k].alias(f"p{k}") for k in ks], F.lit(1.0).alias("r"))
     mass = [x or 0.0 for x in rated.agg(*[F.sum(F.col("tokens") * F.col(f"p{k}")) for k in ks]).first()]
     weight = [weights.get(d, 0.0) for d in domains]
     scale = next((m / w for d, m, w in zip(domains, mass, weight) if d == anchor and w > 0 and m > 0), sum(mass) / (sum(weight) or 1.0))
-    wanted = [w * scale for w in weight]
-    targets = [min(w, repeats * m) for w, m in zip(wanted, mass)]
+    held = min([scale, *[repeats * m / w for w, m in zip(weight, mass) if w > 0 and m > 0]])
+    targets = [w * held if m > 0 else 0.0 for w, m in zip(weight, mass)]
+    missing = [d for d, w, m in zip(domains, weight, mass) if w > 0 and not m > 0] + sorted(set(d for d in weights if weights[d] > 0) - set(domains))
     moves: list[list[float]] = []
     totals = mass
     for step in range(1, steps + 1):
@@ -104,51 +150,57 @@ def fit_rates(members: DataFrame, domains: list[str], weights: dict[str, float],
             rated = settled(rated)
         totals = [x or 0.0 for x in rated.agg(*[F.sum(F.col("r") * F.col("tokens") * F.col(f"p{k}")) for k in ks]).first()]
     short = max((abs(s - t) / m for s, t, m in zip(totals, targets, mass) if m > 0), default=0.0)
-    for row in zip(domains, mass, wanted, targets, totals):
-        LOG.log(logging.WARNING if row[3] < row[2] else logging.INFO, "domain %s: %.0f tokens there, %.0f wanted, %.0f bounded, %.0f reached", *row)
+    for row in zip(domains, mass, targets, totals):
+        LOG.info("domain %s: %.0f tokens there, %.0f wanted, %.0f reached", *row)
+    if held < scale:
+        LOG.warning("the mixture is scaled down to %.2g of the anchor's tokens, so that no domain is repeated more than %g times", held / scale, repeats)
+    if missing:
+        LOG.warning("no tokens of the weighted domains %s", ", ".join(missing))
     if short > tolerance:
         LOG.warning("after %d steps a domain is off its target by %.2g of its tokens", len(moves), short)
     return moves, targets, totals
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, anchor: str = ANCHOR) -> DataFrame:
-    """``doc_id, source, tokens, domain, p, rate``: one row for each row of ``docs``.
+    """``doc_id, source, tokens, domain, p, rate, wanted, reached``: one row for each row of ``docs``.
 
-    ``domain`` is the likeliest one. A document labelled more than once is learnt from once a label row.
-    Null texts have no tokens; null ids and sources keep their rows. Without labels every rate is 1 and
-    ``domain`` null. Other columns are ignored.
+    ``domain`` is the likeliest one, ``wanted`` and ``reached`` its tokens by the targets and by all rates. A
+    document labelled more than once is learnt from once a label row. Null texts have no tokens; null ids and
+    sources keep their rows. Without labels every rate is 1 and ``domain`` null. Other columns are ignored.
     """
-    own = settled(features(docs, ["doc_id", "source"]))
+    own = settled(features(docs, ["doc_id", "source"], learn(docs, labels)))
     labelled = own.join(labels.select("doc_id", "quality", "toxic"), "doc_id")
     model = fit_classifier(labelled)
     if not model:
-        return own.select("doc_id", "source", "tokens", F.lit(None).cast("string").alias("domain"), F.array().cast("array<double>").alias("p"), F.lit(1.0).alias("rate"))
-    domains = [d["domain"] for d in model]
+        none = F.lit(None).cast("double")
+        return own.select("doc_id", "source", "tokens", F.lit(None).cast("string").alias("domain"), F.array().cast("array<double>").alias("p"), F.lit(1.0).alias("rate"), none.alias("wanted"), none.alias("reached"))
     members = settled(own.select("doc_id", "source", "tokens", posteriors(model).alias("p")))
-    moves, _, _ = fit_rates(members, domains, weights or WEIGHTS, anchor)
+    moves, targets, totals = fit_rates(members, [d["domain"] for d in model], weights or WEIGHTS, anchor)
     best = F.array_position("p", F.array_max("p")).cast("int") - 1
-    return members.select("doc_id", "source", "tokens", F.get(F.array(*map(F.lit, domains)), best).alias("domain"), "p", _rate(moves).alias("rate"))
+    of = lambda values: F.get(F.array(*map(F.lit, values)), best)
+    return members.select("doc_id", "source", "tokens", of([d["domain"] for d in model]).alias("domain"), "p", _rate(moves).alias("rate"), of(targets).alias("wanted"), of(totals).alias("reached"))
 
 
-def copies(rate: Column, key: Column) -> Column:
-    """Whole copies of a rate: the part behind the point is decided by a hash of ``key``, uniform over ids."""
-    return F.floor(rate + F.pmod(F.xxhash64(key, F.lit("mixing")), F.lit(1 << 30)) / float(1 << 30)).cast("int")
+def copies(rate: Column, *key: Column) -> Column:
+    """Whole copies of a rate: the part behind the point is decided by a hash of ``key``."""
+    return F.floor(rate + F.pmod(F.xxhash64(*key, F.lit("mixing")), F.lit(1 << 30)) / float(1 << 30)).cast("int")
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, anchor: str = ANCHOR) -> DataFrame:
     """``docs`` with each row repeated by its rate (none, once or more); columns as they are.
 
-    The rate is worked out from the row itself, so no text is shuffled. Labels are joined by narrow rows.
+    The rate is worked out from the row itself, so no text is shuffled. Labels are joined by narrow rows. Whole
+    copies are decided by id and text, so that rows that repeat an id or have none don't share one fate; rows
+    equal in both do.
     """
-    names = docs.columns
-    own = settled(features(docs, ["doc_id"]))
+    told = learn(docs, labels)
+    own = settled(features(docs, ["doc_id"], told))
     model = fit_classifier(own.join(labels.select("doc_id", "quality", "toxic"), "doc_id"))
     if not model:
         return docs
-    domains = [d["domain"] for d in model]
     members = settled(own.select("tokens", posteriors(model).alias("p")))
-    moves, _, _ = fit_rates(members, domains, weights or WEIGHTS, anchor)
-    rows = features(docs.select(F.struct(*names).alias("_row"), "text"), ["_row"]).withColumn("p", posteriors(model))
-    many = F.array_repeat(F.lit(1), copies(_rate(moves), F.col("_row")["doc_id"]))
+    moves, _, _ = fit_rates(members, [d["domain"] for d in model], weights or WEIGHTS, anchor)
+    rows = features(docs.select(whole_row(docs).alias("_row"), "text"), ["_row"], told).withColumn("p", posteriors(model))
+    many = F.array_repeat(F.lit(1), copies(_rate(moves), F.col("_row")["doc_id"], F.col("_row")["text"]))
     # outer, so that no filter on the array's size moves down and scores the text twice
     return rows.select("_row", F.explode_outer(many).alias("_c")).where("_c is not null").select("_row.*")

@@ -2,23 +2,36 @@
 
 Each measure of a text is kept by language and source in a mergeable quantile sketch: counts of buckets
 whose bounds grow by a fixed factor, so that a quantile is right to that factor and sketches merge by
-adding counts. A group's fence lies at its median plus a multiple of its own lower spread.
+adding counts. Texts that fail the base rules are left out of the sketches. A group's fence follows from its
+own median and upper quartile alone: it lies where an exponential tail through these two leaves the share
+``TAIL`` of texts beyond. No measure has a cutoff of its own.
+
+A few texts tell little of their group, so its fence is the mean of its own, weighted by its texts, and of
+its language's, weighted by ``PRIOR`` texts; a language leans on all texts likewise.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from repselect.llm.rows import whole_row
 from repselect.session import settled
 
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-#: Growth of the buckets, the least value told from zero, the fence in spreads above the median, and the
-#: fewest texts of a group that has fences of its own; smaller groups use their language's, then everyone's.
-GROWTH, LEAST, SPREADS, OWN_FENCE = 1.02, 1e-4, 8, 200
-#: Measures and the least spread that each is granted.
-MEASURES = {"symbols": 0.01, "capitals": 0.05, "dup_lines": 0.05, "repeats": 0.06, "word_length": 0.6, "marks": 0.02}
+#: Growth of the buckets, the least value told from zero, the share of texts beyond a fence, and the texts
+#: that a group's language (and all texts, for a language) counts for in its fence.
+GROWTH, LEAST, TAIL, PRIOR = 1.02, 1e-4, 1e-4, 200
+#: Spreads between median and upper quartile from that quartile to the fence.
+REACH = math.log(0.25 / TAIL) / math.log(2)
+#: Measures that every text shows, and those that most texts don't; the latter's sketches hold only the texts
+#: that show them.
+COMMON = ["symbols", "capitals", "word_length"]
+RARE = ["dup_lines", "repeats", "marks"]
+MEASURES = [*COMMON, *RARE]
 
 
 def words_of(text: Column) -> Column:
@@ -30,8 +43,6 @@ def _without(text: Column, letters: str) -> Column:
     return F.char_length(F.translate(text, letters, ""))
 
 
-
-
 def base_measures(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep``, then ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` (long), ``base_failed``
     and one double for each of ``MEASURES``, over whole texts.
@@ -72,40 +83,46 @@ def base_measures(docs: DataFrame, keep: list[str]) -> DataFrame:
 def sketch(measured: DataFrame) -> DataFrame:
     """``lang, source, measure, bucket, n``: the quantile sketches, one row a filled bucket. They merge by
     adding ``n``; a sketch holds a few hundred buckets however many texts it tells of."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("x")) for m in MEASURES]))
+    pairs = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("x")) for m in COMMON],
+                    *[F.struct(F.lit(m).alias("measure"), F.when(F.col(m) >= LEAST, F.col(m)).alias("x")) for m in RARE])
+    # outer, so that no filter on the array moves down and measures the text again
+    rows = measured.select("lang", "source", F.explode_outer(F.when(~F.col("base_failed"), pairs)).alias("p")).select("lang", "source", "p.measure", "p.x").where("x is not null")
     bucket = F.when(F.col("x") < LEAST, 0).otherwise(F.floor(F.ln(F.col("x") / LEAST) / F.ln(F.lit(GROWTH))) + 1).cast("int")
-    return measured.select("lang", "source", pairs.alias("p")).select("lang", "source", "p.measure", F.col("p.x").alias("x")).groupBy("lang", "source", "measure", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    return rows.groupBy("lang", "source", "measure", bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def fences(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys, texts`` and ``fence_<measure>`` for each group of merged sketches."""
+    """``keys``, and for each measure ``texts_<measure>`` and ``fence_<measure>`` of each group of merged
+    sketches. Where median and upper quartile are equal, a bucket's width stands for their spread."""
     merged = sketches.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "measure")
     ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("texts", F.sum("n").over(group))
     at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(F.col("texts") * q), F.col("bucket")))
     value = lambda b: F.when(b == 0, 0.0).otherwise(LEAST * F.pow(F.lit(GROWTH), b - 0.5))
-    cut = ranked.groupBy(*keys, "measure", "texts").agg(at(0.5).alias("mid"), at(0.1).alias("low"))
-    least = F.element_at(F.create_map(*[F.lit(x) for kv in MEASURES.items() for x in kv]), F.col("measure"))
-    fence = value(F.col("mid")) + SPREADS * F.greatest(value(F.col("mid")) - value(F.col("low")), least)
-    wide = cut.withColumn("fence", fence)
-    return wide.groupBy(*keys).agg(F.max("texts").alias("texts"), *[F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(f"fence_{m}") for m in MEASURES])
+    cut = ranked.groupBy(*keys, "measure", "texts").agg(at(0.5).alias("mid"), at(0.75).alias("high"))
+    cut = cut.withColumn("mid", value(F.col("mid"))).withColumn("high", value(F.col("high")))
+    wide = cut.withColumn("fence", F.col("high") + REACH * F.greatest(F.col("high") - F.col("mid"), F.col("mid") * (GROWTH - 1), F.lit(LEAST)))
+    own = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c))).alias(f"{c}_{m}")
+    return wide.groupBy(*keys).agg(*[own(m, c) for m in MEASURES for c in ("texts", "fence")])
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
-    """``lang, source`` and the fences that hold there: of the group itself if it has ``OWN_FENCE`` texts,
-    else of its language, else of all texts. Null languages and sources are groups of their own."""
+    """``_fl, _fs`` (language and source) and the fences that hold there: the group's own and its language's,
+    itself mixed with that of all texts, in one mean. Null languages and sources are groups of their own."""
     sketches = settled(sketch(measured))
-    named = [f"fence_{m}" for m in MEASURES]
+    renamed = lambda df, mark: df.select(*[F.col(c).alias(f"{mark}{c}") for c in df.columns])
     own = fences(sketches, ["lang", "source"])
-    lang = fences(sketches, ["lang"]).select(F.col("lang").alias("_lang"), F.col("texts").alias("_lt"), *[F.col(c).alias(f"_l_{c}") for c in named])
-    every = fences(sketches.withColumn("_all", F.lit(1)), ["_all"]).select("_all", *[F.col(c).alias(f"_a_{c}") for c in named])
-    joined = own.withColumn("_all", F.lit(1)).join(lang, F.col("lang").eqNullSafe(F.col("_lang"))).join(every, "_all")
-    pick = lambda c: F.when(F.col("texts") >= OWN_FENCE, F.col(c)).when(F.col("_lt") >= OWN_FENCE, F.col(f"_l_{c}")).otherwise(F.col(f"_a_{c}"))
-    return joined.select(F.col("lang").alias("_fl"), F.col("source").alias("_fs"), *[pick(c).alias(c) for c in named])
+    lang = renamed(fences(sketches, ["lang"]), "_l_")
+    every = renamed(fences(sketches.withColumn("all", F.lit(1)), ["all"]), "_a_")  # one row
+    joined = own.join(lang, F.col("lang").eqNullSafe(F.col("_l_lang"))).join(F.broadcast(every))
+    mixed = lambda n, own, other: (n * own + PRIOR * other) / (n + PRIOR)
+    fence = lambda m: mixed(F.col(f"texts_{m}"), F.col(f"fence_{m}"), mixed(F.col(f"_l_texts_{m}"), F.col(f"_l_fence_{m}"), F.col(f"_a_fence_{m}")))
+    return joined.select(F.col("lang").alias("_fl"), F.col("source").alias("_fs"), *[fence(m).alias(f"fence_{m}") for m in MEASURES])
 
 
 def judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
-    """``measured`` with ``kept``: not ``base_failed``, and no measure beyond its group's fence."""
+    """``measured`` with ``kept``: not ``base_failed``, and no measure beyond its group's fence. A measure that
+    no text of the group shows has no fence."""
     here = measured.join(limits, F.col("lang").eqNullSafe(F.col("_fl")) & F.col("source").eqNullSafe(F.col("_fs")), "left")
     # one array rather than conjuncts: a conjunct would move below the join and measure the text again
     holds = F.array(~F.col("base_failed"), *[F.coalesce(F.col(m) <= F.col(f"fence_{m}"), F.lit(True)) for m in MEASURES])
@@ -128,6 +145,6 @@ def keep_good(docs: DataFrame) -> DataFrame:
     Texts are measured twice instead of being shuffled: once for the sketches, once behind their verdict.
     """
     limits = settled(thresholds(base_measures(docs, ["lang", "source"])))
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), "text", "lang", "source")
+    whole = docs.select(whole_row(docs).alias("_row"), "text", "lang", "source")
     out = judged(base_measures(whole, ["_row", "lang", "source"]), limits)
     return out.where("kept").select("_row.*")

@@ -41,8 +41,10 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rates = mixing.mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return rates.select("doc_id", "source", "tokens", "domain", F.round("rate", 6).alias("rate"), mixing.copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+    docs = table(spark, sf_dir, "documents")
+    rates = mixing.mixing_rates(docs, table(spark, sf_dir, "labels"))
+    whole = mixing.copies(F.col("rate"), F.col("doc_id"))
+    return rates.select("doc_id", "source", "tokens", "domain", F.round("rate", 6).alias("rate"), whole.alias("copies"), F.round("wanted", 3).alias("wanted"), F.round("reached", 3).alias("reached"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +63,8 @@ QUERIES = {f.__name__: f for f in (
     op9_language_id, op10_warc_fixity)}
 
 WORDS = r"[^\x20\x09-\x0D]+"
+LONG = " UNION ALL\n  ".join(
+    f"SELECT r, lang, source, '{m}' AS m, {m} AS x FROM shares WHERE NOT base_failed" + (f" AND {m} >= {quality.LEAST}" if m in quality.RARE else "") for m in quality.MEASURES)
 
 OP3_SQL = rf"""
 WITH docs AS (
@@ -92,33 +96,28 @@ shares AS (
          CASE WHEN word_chars > 0 THEN marks_n::DOUBLE / word_chars ELSE 0 END AS marks
   FROM base),
 long AS (
-  SELECT r, lang, source, 'symbols' AS m, symbols AS x, {quality.MEASURES['symbols']} AS s FROM shares UNION ALL
-  SELECT r, lang, source, 'capitals', capitals, {quality.MEASURES['capitals']} FROM shares UNION ALL
-  SELECT r, lang, source, 'dup_lines', dup_lines, {quality.MEASURES['dup_lines']} FROM shares UNION ALL
-  SELECT r, lang, source, 'repeats', repeats, {quality.MEASURES['repeats']} FROM shares UNION ALL
-  SELECT r, lang, source, 'word_length', word_length, {quality.MEASURES['word_length']} FROM shares UNION ALL
-  SELECT r, lang, source, 'marks', marks, {quality.MEASURES['marks']} FROM shares),
+  {LONG}),
 bucketed AS (
   SELECT *, CASE WHEN x < {quality.LEAST} THEN 0 ELSE floor(ln(x / {quality.LEAST}) / ln({quality.GROWTH}::DOUBLE)) + 1 END AS b FROM long),
 levels AS (
-  SELECT 1 AS level, lang, source, m, s, b FROM bucketed UNION ALL
-  SELECT 2, lang, NULL, m, s, b FROM bucketed UNION ALL
-  SELECT 3, NULL, NULL, m, s, b FROM bucketed),
+  SELECT 1 AS level, lang, source, m, b FROM bucketed UNION ALL
+  SELECT 2, lang, NULL, m, b FROM bucketed UNION ALL
+  SELECT 3, NULL, NULL, m, b FROM bucketed),
 cumulated AS (
   SELECT *, count(*) OVER (PARTITION BY level, lang, source, m ORDER BY b) AS upto, count(*) OVER (PARTITION BY level, lang, source, m) AS texts FROM levels),
 cuts AS (
-  SELECT level, lang, source, m, s, texts, min(CASE WHEN upto >= ceil(texts * 0.5::DOUBLE) THEN b END) AS mid, min(CASE WHEN upto >= ceil(texts * 0.1::DOUBLE) THEN b END) AS low
+  SELECT level, lang, source, m, texts, min(CASE WHEN upto >= ceil(texts * 0.5::DOUBLE) THEN b END) AS mid, min(CASE WHEN upto >= ceil(texts * 0.75::DOUBLE) THEN b END) AS high
   FROM cumulated GROUP BY ALL),
 valued AS (
   SELECT *, CASE WHEN mid = 0 THEN 0 ELSE {quality.LEAST} * pow({quality.GROWTH}::DOUBLE, mid - 0.5) END AS vm,
-         CASE WHEN low = 0 THEN 0 ELSE {quality.LEAST} * pow({quality.GROWTH}::DOUBLE, low - 0.5) END AS vl FROM cuts),
-fences AS (SELECT level, lang, source, m, texts, vm + {quality.SPREADS} * greatest(vm - vl, s) AS fence FROM valued),
+         CASE WHEN high = 0 THEN 0 ELSE {quality.LEAST} * pow({quality.GROWTH}::DOUBLE, high - 0.5) END AS vh FROM cuts),
+fences AS (SELECT level, lang, source, m, texts, vh + {quality.REACH}::DOUBLE * greatest(vh - vm, vm * {quality.GROWTH - 1}::DOUBLE, {quality.LEAST}) AS fence FROM valued),
 beyond AS (
   SELECT DISTINCT x.r FROM long x
   JOIN fences a ON a.level = 1 AND a.m = x.m AND a.lang IS NOT DISTINCT FROM x.lang AND a.source IS NOT DISTINCT FROM x.source
   JOIN fences b ON b.level = 2 AND b.m = x.m AND b.lang IS NOT DISTINCT FROM x.lang
   JOIN fences c ON c.level = 3 AND c.m = x.m
-  WHERE x.x > CASE WHEN a.texts >= {quality.OWN_FENCE} THEN a.fence WHEN b.texts >= {quality.OWN_FENCE} THEN b.fence ELSE c.fence END)
+  WHERE x.x > (a.texts * a.fence + {quality.PRIOR} * ((b.texts * b.fence + {quality.PRIOR} * c.fence) / (b.texts + {quality.PRIOR}))) / (a.texts + {quality.PRIOR}))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND b.r IS NULL AS kept
 FROM shares LEFT JOIN beyond b ON b.r = shares.r
 """
@@ -140,9 +139,9 @@ WITH p AS (
   SELECT page_id, url, coalesce(html, '') AS h, coalesce(page_id::VARCHAR, 'none') AS k FROM pages),
 r AS (
   SELECT page_id, url, k, h, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || k || '>' || chr(13) || chr(10)
-    || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(h) || chr(13) || chr(10) || chr(13) || chr(10) || h AS rec
+    || 'WARC-Date: {warc.DATE}' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(h) || chr(13) || chr(10) || chr(13) || chr(10) || h AS rec
   FROM p),
-o AS (SELECT *, strlen(rec) + 4 AS record_length, row_number() OVER (ORDER BY page_id NULLS FIRST, url NULLS FIRST) - 1 AS rank FROM r)
+o AS (SELECT *, strlen(rec) + 4 AS record_length, row_number() OVER (ORDER BY page_id NULLS FIRST, url NULLS FIRST, sha256(rec)) - 1 AS rank FROM r)
 SELECT page_id, rank // {warc.PER_FILE} AS warc_file,
   coalesce(sum(record_length) OVER (PARTITION BY rank // {warc.PER_FILE} ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS record_offset,
   record_length, sha256(rec) AS record_sha256,

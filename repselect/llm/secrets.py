@@ -14,7 +14,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from repselect.llm.draw import smallest_hashes
+from repselect.llm.draw import drawn_texts
+from repselect.llm.rows import whole_row
 
 #: Fixed patterns of the base kinds, in their order, the group that counts and its least length.
 KINDS = {
@@ -26,7 +27,7 @@ MARKOV = "markov"
 TOKEN = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 STATES = len(ALPHABET) + 1
-#: Most documents whose tokens are labelled samples (those of the smallest hash), and the least mean
+#: Most texts whose tokens are labelled samples (those of the smallest hash), and the least mean
 #: log-likelihood ratio of a transition.
 SAMPLE, MARGIN = 4000, 1.0
 
@@ -79,14 +80,14 @@ def alphabets(digest: Column) -> dict[str, Column]:
 def samples(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Labelled tokens ``(token, random)``.
 
-    Ordinary: the words of letters of at most ``sample`` documents, those of the smallest hash. Random: the
-    same ids' SHA-256 in hex, base 32 and letters with digits of either case, and in base 64, so that as many
-    strings of each alphabet are known.
+    Ordinary: the words of letters of at most ``sample`` distinct texts, those of the smallest hash. Random:
+    the same texts' SHA-256 in hex, base 32 and letters with digits of either case, and in base 64, so that as
+    many strings of each alphabet are known.
     """
-    drawn = smallest_hashes(docs.select("doc_id", "text"), F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0))), sample)
+    drawn = drawn_texts(docs, sample)
     ordinary = drawn.select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z][A-Za-z0-9_-]{5,40}"), F.lit(0))).alias("token"))
     ordinary = ordinary.where(~F.col("token").rlike("[0-9a-f]{16}|[0-9].*[0-9]"))
-    digest = F.sha2(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("secret")), 256)
+    digest = F.sha2(F.concat_ws(":", F.lit("secret"), "text"), 256)
     random = drawn.select(F.explode(F.array(*alphabets(digest).values())).alias("token"))
     return ordinary.withColumn("random", F.lit(False)).unionByName(random.withColumn("random", F.lit(True)))
 
@@ -167,7 +168,7 @@ def redact(docs: DataFrame, margin: float = MARGIN) -> DataFrame:
     Spans that overlap are replaced together. Texts without secrets, nulls among them, and all other
     columns stay as they are.
     """
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    whole = docs.select(whole_row(docs).alias("_row"), "text")
     found = with_spans(whole, ["_row"], train(samples(docs)), margin)
     text = F.col("_row")["text"]
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

@@ -15,6 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from repselect.llm.components import connected_components, local_roots
+from repselect.llm.rows import all_columns
 from repselect.session import settled
 
 SEGMENTS = 7
@@ -168,5 +169,5 @@ def keep_one(docs: DataFrame, distance: int = 2) -> DataFrame:
     """
     groups = near_duplicates(docs, distance=distance)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    first = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").select(docs.columns)
+    first = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").select(all_columns(docs))
     return first.dropDuplicates(["doc_id"]).unionByName(docs.where(F.col("doc_id").isNull()))

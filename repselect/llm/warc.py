@@ -7,6 +7,8 @@ otherwise only the children of nodes that differ are looked at, level by level,
 
 from __future__ import annotations
 
+import gzip
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from repselect.llm.order import with_prefix
@@ -15,6 +17,8 @@ from repselect.session import settled
 FANOUT = 8
 #: Records of a file: a whole number of levels of the tree.
 PER_FILE = FANOUT ** 3
+#: Date of the records where the pages don't tell when they were fetched.
+DATE = "1970-01-01T00:00:00Z"
 
 
 def record(url: Column, html: Column, page_id: Column) -> Column:
@@ -22,7 +26,7 @@ def record(url: Column, html: Column, page_id: Column) -> Column:
     body = F.coalesce(html, F.lit(""))
     return F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"), F.coalesce(page_id.cast("string"), F.lit("none")),
-        F.lit(">\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")), F.lit("\r\nContent-Type: text/html\r\nContent-Length: "),
+        F.lit(f">\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "), F.coalesce(url, F.lit("")), F.lit("\r\nContent-Type: text/html\r\nContent-Length: "),
         F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body)
 
 
@@ -36,34 +40,48 @@ def write_warc(pages: DataFrame, path: str) -> None:
     records(pages).select("record").write.option("lineSep", "\r\n\r\n").text(path)
 
 
+def _head(data: bytes) -> tuple[int | None, str]:
+    """(Content-Length, target) of a record's head; the length is None if it is missing or no number."""
+    fields = {}
+    for line in data.split(b"\r\n")[1:]:
+        name, _, value = line.partition(b":")
+        fields[name.strip().lower()] = value.strip()
+    length = fields.get(b"content-length", b"")
+    return int(length) if length.isdigit() else None, fields.get(b"warc-target-uri", b"").decode("utf-8", "replace")
+
+
 def read_warc(spark, path: str) -> DataFrame:
-    """``file, record_offset, url, content`` of every record below ``path``; content is binary.
+    """``file, record_offset, url, content, intact`` of every record below ``path``; content is binary.
 
-    A file is read by one task; records are found by their Content-Length. A file that ends within a record
-    gives what it has of it.
+    A file is read by one task, as the format's files are made of about a gigabyte; names that end in ``.gz``
+    are inflated, and their offsets count inflated bytes. Records are found by their Content-Length. Where that
+    is missing or no number, the record ends ahead of the next one's first line; such a record and one that the
+    file cuts short are not ``intact``.
     """
     import pandas as pd
 
     def parse(batches):
         for pdf in batches:
             for name, data in zip(pdf.path, pdf.content):
-                at, out = 0, []
+                data, at, out = gzip.decompress(data) if name.endswith(".gz") else data, 0, []
                 while at < len(data) and (end := data.find(b"\r\n\r\n", at)) >= 0:
-                    head = dict(x.split(b": ", 1) for x in data[at:end].split(b"\r\n")[1:] if b": " in x)
-                    stop = end + 4 + int(head.get(b"Content-Length", 0))
-                    out.append((name, at, head.get(b"WARC-Target-URI", b"").decode("utf-8", "replace"), data[end + 4:stop]))
+                    length, url = _head(data[at:end])
+                    following = data.find(b"\r\n\r\nWARC/1.", end)
+                    stop = end + 4 + length if length is not None else following if following >= 0 else len(data)
+                    out.append((name, at, url, data[end + 4:stop], length is not None and stop <= len(data)))
                     at = stop + 4
-                yield pd.DataFrame(out, columns=["file", "record_offset", "url", "content"])
+                yield pd.DataFrame(out, columns=["file", "record_offset", "url", "content", "intact"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "file string, record_offset long, url string, content binary")
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "file string, record_offset long, url string, content binary, intact boolean")
 
 
 def laid_out(pages: DataFrame) -> DataFrame:
     """``page_id, rank, warc_file, record_offset, record_length, record_sha256`` in the order of
-    ``page_id`` and url (ties in input order): ``PER_FILE`` records a file, offsets in bytes."""
+    ``page_id``, url and record hash: ``PER_FILE`` records a file, offsets in bytes. Rows equal in all three are
+    equal records, so the layout does not hang on the order of the input."""
     one = record(F.col("url"), F.col("html"), F.col("page_id"))
     rows = pages.select("page_id", "url", (F.octet_length(one) + 4).cast("long").alias("record_length"), F.sha2(one, 256).alias("record_sha256"))
-    placed = with_prefix(rows, ["page_id", "url"], "record_length")
+    placed = with_prefix(rows, ["page_id", "url", "record_sha256"], "record_length")
     placed = placed.withColumn("warc_file", F.expr(f"rank div {PER_FILE}"))
     ahead = Window.partitionBy("warc_file").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)  # bounded by PER_FILE
     return placed.select(

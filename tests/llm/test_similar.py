@@ -1,7 +1,7 @@
 import random
 from collections import Counter
 
-from repselect.llm import jaccard
+from repselect.llm import similar
 from .conftest import odd_rows
 
 
@@ -31,7 +31,7 @@ def brute_groups(rows, shingle=5, similarity=0.8):
 
 def test_groups_against_brute_force(spark, monkeypatch):
     """Edited copies around the similarity of 0.8, a passage that many texts hold, and the odd rows."""
-    monkeypatch.setattr(jaccard, "SAMPLE", 40)
+    monkeypatch.setattr(similar, "BUCKET", 8)
     rng = random.Random(1)
     word = lambda: f"w{rng.randrange(3000)}"
     passage = [word() for _ in range(40)]
@@ -43,7 +43,7 @@ def test_groups_against_brute_force(spark, monkeypatch):
             for _ in range(round(len(own) * rng.choice([0, 0.01, 0.02, 0.025, 0.03]))):
                 own[rng.randrange(len(own))] = word()
             rows.append((1000 + 10 * k + c, " ".join(own)))
-    got = jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(tuple, got.collect()), key=repr) == brute_groups(rows)
 
 
@@ -54,8 +54,8 @@ def test_pipeline_stage_drops_edited_copies(spark, odd_docs, no_docs):
     base = [f"w{rng.randrange(900)}" for _ in range(100)]
     docs = spark.createDataFrame([(k, " ".join([*base[:50], f"edit{k}", *base[51:]])) for k in range(5)], "doc_id long, text string")
     assert [r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()] == [0]
-    kept = jaccard.keep_one(odd_docs)
+    kept = similar.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
     got = Counter(r.doc_id for r in kept.collect())
     assert got.pop(None) == 2 and set(got.values()) == {1}
-    assert jaccard.keep_one(no_docs).count() == 0
+    assert similar.keep_one(no_docs).count() == 0

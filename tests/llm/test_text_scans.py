@@ -7,6 +7,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from repselect.llm import langid, licenses, quality, secrets
 from repselect.llm.queries import OP3_SQL
@@ -71,6 +72,22 @@ def test_quality_leaves_good_documents(spark, documents):
     assert share[1] > 0.98 and share.get(0, 0) < 0.5
 
 
+def test_quality_fences_follow_their_group(spark):
+    """Two sources of unlike spread get unlike fences; a text is judged by its own source's."""
+    rows = []
+    for k in range(600):
+        for source, wide in (("even", 0), ("mixed", 4)):
+            words = ["x" * (4 + (k * 7 + j) % (1 + wide) + (k % 5) * wide // 4) for j in range(60)]
+            rows.append((len(rows), " ".join(f"{w}{j}" for j, w in enumerate(words)), "en", source))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    fence = {r["_fs"]: r.fence_word_length for r in quality.thresholds(quality.base_measures(docs, ["lang", "source"])).collect()}
+    assert fence["mixed"] > 1.5 * fence["even"]
+    long = " ".join("y" * int((fence["mixed"] + fence["even"]) / 2 - 2) + str(j) for j in range(10, 70))
+    docs = docs.unionByName(spark.createDataFrame([(-1, long, "en", "even"), (-2, long, "en", "mixed")], docs.schema))
+    kept = {r.doc_id: r.kept for r in quality.quality_report(docs).collect()}
+    assert not kept[-1] and kept[-2] and sum(kept.values()) >= 1200
+
+
 # licenses
 
 
@@ -162,9 +179,51 @@ def test_markov_adds_and_redacts(spark, documents, odd_docs, no_docs):
     assert secrets.redact(no_docs).count() == secrets.scan_secrets(no_docs).count() == 0
 
 
+def test_markov_spans_against_plain_scoring(spark, documents, odd_docs):
+    """All added spans, by the same ratios worked out character by character."""
+    docs = documents.limit(60).select("doc_id", "text").unionByName(odd_docs.where("doc_id = 19").selectExpr("-doc_id doc_id", "text"))
+    docs = docs.unionByName(spark.createDataFrame([(-5, "k: zq8Xv2Lm9TrB4wNc7YkH1d, word international-conference-2 and 0123456789abcdef0123456789ABCDEF x")], "doc_id long, text string"))
+    model = secrets.train(secrets.samples(docs))
+    place = {c: k + 1 for k, c in enumerate(secrets.ALPHABET)}
+
+    def score(token):
+        s = [0, *[place.get(c, 0) for c in token]]
+        return sum(model[a * secrets.STATES + b] for a, b in zip(s, s[1:])) / len(token)
+
+    for r in secrets.scan_secrets(docs).join(docs, "doc_id").collect():
+        base = brute_spans(r.text)
+        more = [(m.start(), 3, m.end(), "markov") for m in re.finditer(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}", r.text)
+                if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and score(m[0]) >= secrets.MARGIN and not any(a < m.end() and b > m.start() for a, _, b, _ in base)]
+        assert r.spans == ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(base + more))
+
+
 # language ID
 
 
+def test_languages_against_exact_sets(spark, documents):
+    """Bloom filters against the exact n-gram sets of the same training texts; 130 languages take three words."""
+    train = documents.where(~langid.held_out())
+    model = langid.train(train)
+    sets = {}
+    for lang in model.langs:
+        n = Counter()
+        for r in train.where(F.col("lang") == lang).select("text").distinct().collect():
+            n.update(langid.grams(r.text).tolist())
+        sets[lang] = {g for g, c in n.items() if c >= 2}
+    same, rows = 0, documents.select("text").collect()
+    for r in rows:
+        found = langid.grams(r.text).tolist()
+        share = {lang: sum(g in own for g in found) / max(len(found), 1) for lang, own in sets.items()}
+        lang, score = model.predict(r.text)
+        best = max(share.values(), default=0)
+        same += share.get(lang) == best
+        assert not found or abs(score - best) < 0.02
+    assert same >= 0.99 * len(rows)
+    many = spark.createDataFrame([(k, f"abcd{chr(0x3400 + k)}wxyz " * 3, f"l{k:03}") for k in range(130)], "doc_id long, text string, lang string")
+    own = langid.train(many)
+    assert own.masks.shape[0] == 3 and [r.lang_pred for r in langid.identify(many, own).orderBy("doc_id").collect()] == own.langs
+
+
 def test_languages(documents, odd_docs, no_docs):
     model = langid.train(documents.where(~langid.held_out()))
     got = langid.identify(documents.withColumn("score", documents.doc_id), model).withColumn("held_out", langid.held_out()).collect()
