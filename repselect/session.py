@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +17,15 @@ def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared checkpoint folder.
 
     Cuts the lineage with a reliable checkpoint, so that rows used by several branches are the same
-    rows after an executor is lost. The folder is the cluster's ``spark.checkpoint.dir``; a temporary
-    one is made only where that is unset, as in tests.
+    rows after an executor is lost. The folder is the cluster's ``spark.checkpoint.dir``. Where that is unset, a
+    temporary one is made if driver and executors are one process, as in tests; on a cluster it is an error.
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark removes the files of a checkpoint once
+    nothing refers to it.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
