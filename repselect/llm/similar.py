@@ -32,12 +32,15 @@ from repselect.session import settled
 
 #: Bits within which fingerprints link at once, bits within which those of a bucket are candidates.
 NEAR, FAR = 2, 22
-#: Members of a bucket that are compared at once. Elements in more early places than that go to the end of the
-#: order, those in most places first, up to a number that may be broadcast (8 bytes each).
+#: Members of a bucket that are compared at once. Elements found early in more texts than that go to the end of
+#: the order, those of most texts first, up to a number that may be broadcast (8 bytes each).
 BUCKET, LAST = 1024, 1 << 20
+#: Words of 64 bits of a bitmap of hashes (2 MB), which is broadcast. It only spares rows that would find no
+#: partner; when it is too full for that, nothing else changes.
+WORDS = 1 << 18
 #: Most rounds in which a member only meets its nearest, before all that is still apart is compared; they end
-#: when no more than ``FEW`` pairs a member are apart.
-ROUNDS, FEW = 4, 8
+#: when less than the share ``FRUITFUL`` of these pairs is similar.
+ROUNDS, FRUITFUL = 12, 0.1
 
 
 def elements(text: str | None, shingle: int) -> np.ndarray:
@@ -90,27 +93,80 @@ def _noded(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", text.alias("text"), F.when(F.btrim(text, F.lit(BLANKS)) == "", F.lit(0)).otherwise(F.xxhash64(text)).cast("long").alias("node"))
 
 
-def _sets(noded: DataFrame, shingle: int) -> DataFrame:
-    """``node, n, fp, own``: one row a node, its set, size and fingerprint."""
+def _bitmap(rows: DataFrame, column: str) -> np.ndarray:
+    """Bits of the hashes in ``column``; the driver receives one number a word at most."""
+    h = F.col(column)
+    bits = rows.select(F.shiftrightunsigned(h, 20).bitwiseAND(F.lit(WORDS - 1)).cast("int").alias("word"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bit"))
+    found = bits.groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
+    out = np.zeros(WORDS, np.uint64)
+    out[found.word.to_numpy()] = found.bit.to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def _in(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    h = hashes.view(np.uint64)
+    return (bitmap[(h >> np.uint64(20)) & np.uint64(WORDS - 1)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _sets(batch: pa.RecordBatch, shingle: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(nodes, sets) of a batch, a node once; only those in the bitmap ``wanted``, if given."""
+    node, at = np.unique(batch.column("node").to_numpy(), return_index=True)
+    if wanted is not None:
+        on = _in(wanted, node)
+        node, at = node[on], at[on]
+    return node, [elements(t, shingle) for t in batch.column("text").take(pa.array(at)).to_pylist()]
+
+
+def _often(noded: DataFrame, shingle: int, similarity: float) -> np.ndarray:
+    """Elements that stand early in more than ``BUCKET`` texts, as far as batches tell: those that only one text
+    of a batch has are not counted. This decides the order only, so nothing hangs on what is missed."""
+    def run(batches):
+        for batch in batches:
+            found = [early(x, np.zeros(0, np.uint64), similarity, 2) for x in _sets(batch, shingle)[1]]
+            keys, n = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["key", "n"])
+
+    counted = noded.select("node", "text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > BUCKET)
+    rows = counted.orderBy(F.desc("n"), "key").limit(LAST).collect()
+    return np.sort(np.array([r.key for r in rows], np.int64).view(np.uint64))
+
+
+def _prefixes(noded: DataFrame, shingle: int, similarity: float, last) -> DataFrame:
+    """``node, n, fp, keys``: one row a node, size and fingerprint of its set and the early elements."""
     def run(batches):
         for batch in batches:
-            found = [elements(t, shingle) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array(map(len, found), pa.int32()), pa.array(map(fingerprint, found), pa.int64()), _listed(found)], ["node", "n", "fp", "own"])
+            node, found = _sets(batch, shingle)
+            keys = [early(x, last.value, similarity) for x in found]
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(map(len, found), pa.int32()), pa.array(map(fingerprint, found), pa.int64()), _listed(keys)], ["node", "n", "fp", "keys"])
 
-    return noded.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(run, "node long, n int, fp long, own array<long>")
+    rows = noded.select("node", "text").mapInArrow(run, "node long, n int, fp long, keys array<long>")
+    return rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "fp", "keys")])
 
 
-def _early(sets: DataFrame, last, similarity: float, times: int) -> DataFrame:
-    """``key, node, n, fp``: a row for each early element of each set."""
+def _held(noded: DataFrame, shingle: int, wanted) -> DataFrame:
+    """``node, own``: the whole sets of the nodes in the bitmap ``wanted``, one row a node."""
     def run(batches):
         for batch in batches:
-            keys = [early(x, last.value, similarity, times) for x in _sets_of(batch.column("own"))]
-            many = np.array([len(k) for k in keys])
+            node, found = _sets(batch, shingle, wanted.value)
+            yield pa.RecordBatch.from_arrays([pa.array(node), _listed(found)], ["node", "own"])
+
+    return noded.select("node", "text").mapInArrow(run, "node long, own array<long>").groupBy("node").agg(F.first("own").alias("own"))
+
+
+def _entries(prefixes: DataFrame) -> DataFrame:
+    """``key, node, n, fp, many``: a row for each early element that other nodes have early, too."""
+    keys = prefixes.select(F.explode("keys").alias("key"))
+    shared = settled(keys.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"))
+    bitmap = prefixes.sparkSession.sparkContext.broadcast(_bitmap(shared, "key"))
+
+    def run(batches):
+        for batch in batches:
+            keys = [x[_in(bitmap.value, x)] for x in _sets_of(batch.column("keys"))]
+            many = np.array([len(k) for k in keys], np.int64)
             again = lambda c: pa.array(np.repeat(batch.column(c).to_numpy(), many))
             yield pa.RecordBatch.from_arrays([_listed(keys).values, again("node"), again("n"), again("fp")], ["key", "node", "n", "fp"])
 
-    return sets.mapInArrow(run, "key long, node long, n int, fp long")
+    return settled(prefixes.mapInArrow(run, "key long, node long, n int, fp long").join(shared, "key"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -182,36 +238,30 @@ def links(noded: DataFrame, shingle: int, similarity: float) -> DataFrame:
     Rounds first compare each member of a bucket with the one nearest to it, so that large groups become one
     component by few comparisons; then every candidate that is still in two components is compared.
     """
-    session = noded.sparkSession
-    sets = settled(_sets(noded, shingle))
-    none = session.sparkContext.broadcast(np.zeros(0, np.uint64))
-    often = _early(sets, none, similarity, 2).groupBy("key").count().where(F.col("count") > BUCKET).orderBy(F.desc("count"), "key").limit(LAST)
-    last = session.sparkContext.broadcast(np.sort(np.array([r.key for r in often.collect()], np.int64).view(np.uint64)))
-    entries = _early(sets, last, similarity, 1)
-    shared = entries.groupBy("key").agg(F.count("*").alias("many")).where("many > 1")
-    entries = settled(entries.join(shared, "key"))
+    context = noded.sparkSession.sparkContext
+    last = context.broadcast(_often(noded, shingle, similarity))
+    entries = _entries(settled(_prefixes(noded, shingle, similarity, last)))
     # from here on only nodes that share a key matter
-    held = settled(sets.join(entries.select("node").distinct(), "node", "left_semi"))
-    names = held.groupBy("fp").agg(F.min("node").alias("node"))  # nodes of one fingerprint meet in a star
-    stars = held.select("node", "fp").join(names.withColumnRenamed("node", "first"), "fp").where("node <> first").select(F.col("node").alias("x"), F.col("first").alias("y"))
+    nodes = settled(entries.select("node", "fp").distinct())
+    held = settled(_held(noded, shingle, context.broadcast(_bitmap(nodes, "node"))))
+    names = nodes.groupBy("fp").agg(F.min("node").alias("node"))  # nodes of one fingerprint meet in a star
+    stars = nodes.join(names.withColumnRenamed("node", "first"), "fp").where("node <> first").select(F.col("node").alias("x"), F.col("first").alias("y"))
     ring = simhash.links(names.select("fp"), NEAR)
     ring = ring.join(names.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(names.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select("x", "y")
     proposed = stars.unionByName(ring)
     told = settled(_verified(proposed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), held, similarity))
+    final = False
     for turn in range(ROUNDS + 1):
         roots = connected_components(told.where("near").select("a", "b"))
         placed = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        by_root = placed.groupBy("key", "root").agg(F.count("*").cast("double").alias("c"))
-        apart = settled(by_root.groupBy("key").agg(F.sum("c").alias("c"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")).where("pairs > 0"))
-        still = apart.agg(F.sum("pairs"), F.sum("c")).first()
-        if not still[0]:
-            break
-        final = turn == ROUNDS or still[0] <= FEW * still[1]
+        apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
         found = _buckets(placed.join(apart, "key", "left_semi"), turn, final).mapInArrow(_candidates(similarity, not final), "a long, b long").distinct()
-        fresh = settled(found.join(told, ["a", "b"], "left_anti"))
-        told = settled(told.unionByName(_verified(fresh, held, similarity)))
+        fresh = settled(_verified(found.join(told, ["a", "b"], "left_anti"), held, similarity))
+        told = settled(told.unionByName(fresh))
         if final:
             break
+        near, proposed = fresh.agg(F.coalesce(F.sum(F.col("near").cast("long")), F.lit(0)), F.count("*")).first()
+        final = turn + 1 == ROUNDS or near <= FRUITFUL * proposed
     return told.where("near").select("a", "b")
 
 
