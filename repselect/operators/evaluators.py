@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from repselect.functions.scalars import average_rank, correlation
 from repselect.operators.vectors import CANDIDATE, _matrix
 
+#: Fixed words that stand for a positive label.
 POSITIVE = ["1", "true", "yes", "positive", "duplicate", "entailment", "match"]
 SEED_FREE = ("PairClassification", "STS")
 
@@ -30,10 +31,9 @@ def v_measure(clusters: DataFrame, keys: list[str], label: str = "label", cluste
 def positive_label(df: DataFrame, keys: list[str], label: str) -> DataFrame:
     """``is_positive`` by known words; if all or none is such a word, the largest label is positive."""
     word = F.lower(F.trim(F.col(label).cast("string"))).isin(POSITIVE)
-    w = Window.partitionBy(*keys)
-    told = df.withColumn("_w", word)
-    mixed = F.max("_w").over(w) & ~F.min("_w").over(w)
-    return told.withColumn("_mixed", mixed).withColumn("_top", F.max(label).over(w)).withColumn("is_positive", F.when(F.col("_mixed"), F.col("_w")).otherwise(F.col(label) == F.col("_top"))).drop("_w", "_mixed", "_top")
+    ends = df.groupBy(*keys).agg(F.max(word).alias("_any"), F.min(word).alias("_all"), F.max(label).alias("_top"))  # one row a key
+    told = df.join(ends, keys).withColumn("is_positive", F.when(F.col("_any") & ~F.col("_all"), word).otherwise(F.col(label) == F.col("_top")))
+    return told.select(*df.columns, "is_positive")
 
 
 def average_precision(df: DataFrame, keys: list[str], score: str, positive: str) -> DataFrame:

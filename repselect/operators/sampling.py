@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from repselect.functions.scalars import uniform
+from repselect.functions.scalars import content_hash, uniform
+
+
+BLANKS = " \t\n\x0b\f\r"
+#: Fixed order in which splits and subsets of a dataset are taken.
+SPLIT_ORDER = ["test", "validation", "dev", "train"]
+SUBSET_ORDER = ["default", "en", "eng", "en-en"]
 
 
 def _place(keys: list[str], seed: int, item: str) -> Column:
@@ -60,10 +66,10 @@ def stratified_split(items: DataFrame, keys: list[str], label: str, test_size: f
 
 
 def split_metadata(split: DataFrame, keys: list[str], label: str, item: str = "item_id") -> DataFrame:
-    """Counts, test share and content hash of each split; rows are hashed one by one, then together."""
+    """Counts, test share and content hash of each split; no list of items is gathered."""
     test = (F.col("part") == "test").cast("long")
-    ids = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.col("part"), F.col(item)))), lambda s: F.concat_ws(":", s["part"], s[item])), ","), 256)
-    return split.groupBy(*keys).agg(F.sum(1 - test).alias("n_train"), F.sum(test).alias("n_test"), F.avg(test.cast("double")).alias("test_share"), F.count_distinct(label).alias("n_classes"), ids.alias("split_hash"))
+    own = split.groupBy(*keys).agg(F.sum(1 - test).alias("n_train"), F.sum(test).alias("n_test"), F.avg(test.cast("double")).alias("test_share"), content_hash(F.col("part"), F.col(item)).alias("split_hash"))
+    return own.join(split.groupBy(*keys).agg(F.count_distinct(label).alias("n_classes")), keys).select(*keys, "n_train", "n_test", "test_share", "n_classes", "split_hash")
 
 
 def view_indices(items: DataFrame, keys: list[str], roles: list[str], views: int, fraction: float, least: int, seed: int, item: str = "item_id") -> DataFrame:
@@ -78,12 +84,24 @@ def view_indices(items: DataFrame, keys: list[str], roles: list[str], views: int
 
 def text_views(docs: DataFrame, views: int, p: float, seed: int, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``view_id, view_text``: view 0 as it is; others drop each word with probability ``p``. Texts of three
-    words or fewer stay, and one that would lose all words keeps its first."""
-    words = F.split(F.col(text), " ")
+    words or fewer stay, and one that would lose all words keeps one of them, drawn at random.
+
+    One MD5 decides on four words, eight hex digits on each, compared as text with the digits of ``p``.
+    """
+    words = F.split(F.btrim(F.col(text), F.lit(BLANKS)), "[ \\t\\n\\x0B\\f\\r]+")
+    own = [F.lit(seed), F.col(doc), F.col("view_id")]
+    digest = lambda *more: F.md5(F.concat_ws("|", *[c.cast("string") for c in (*own, *more)]))
     one = docs.select(doc, text, words.alias("_w"), F.explode(F.sequence(F.lit(0), F.lit(views - 1))).alias("view_id"))
-    kept = F.filter("_w", lambda w, i: uniform(F.lit(seed), F.col(doc), F.col("view_id"), i) > p)
-    thinned = F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(F.get(F.col("_w"), F.lit(0)))
-    return one.select(doc, "view_id", F.when((F.col("view_id") == 0) | (F.size("_w") <= 3), F.col(text)).otherwise(thinned).alias("view_text"))
+    drawn = (F.col("view_id") > 0) & (F.size("_w") > 3)
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("_w") - 1) / 4).cast("int")), lambda b: digest(b))
+    least = f"{round(p * (1 << 32)):08x}"
+    # bound in a lambda, so that the digests are made once a text and not once a word
+    held = F.transform(F.array(F.struct(F.col("_w").alias("w"), blocks.alias("h"))), lambda s: F.filter(
+        s["w"], lambda w, i: F.substring(F.get(s["h"], F.floor(i / 4).cast("int")), i % 4 * 8 + 1, F.lit(8)) > least))
+    three = one.withColumn("_k", F.when(drawn, F.get(held, F.lit(0))))
+    any_word = F.get("_w", F.floor(uniform(*own, F.lit("one")) * F.size("_w")).cast("int"))
+    thinned = F.when(F.size("_k") > 0, F.array_join("_k", " ")).otherwise(any_word)
+    return three.select(doc, "view_id", F.when(drawn, thinned).otherwise(F.col(text)).alias("view_text"))
 
 
 def pool_tokens(tokens: DataFrame, keys: list[str]) -> DataFrame:
@@ -98,5 +116,5 @@ def resolve_split(catalog: DataFrame) -> DataFrame:
     """First available split of each dataset: subsets ``default, en, eng, en-en``, then by name; splits
     ``test, validation, dev, train``, then by name."""
     at = lambda names, c: F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, names)), F.col(c)), F.lit(0)), F.lit(99))
-    order = Window.partitionBy("dataset").orderBy(at(["test", "validation", "dev", "train"], "split"), at(["default", "en", "eng", "en-en"], "subset"), "subset", "split")
+    order = Window.partitionBy("dataset").orderBy(at(SPLIT_ORDER, "split"), at(SUBSET_ORDER, "subset"), "subset", "split")
     return catalog.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from math import comb
+import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from repselect.functions.scalars import EPS, average_rank, correlation, finite, number, uniform
 
@@ -60,18 +60,23 @@ def bootstrap_mean(df: DataFrame, keys: list[str], value: str, draws: int = 1000
     return means.groupBy(*keys).agg(F.percentile("m", 0.025).alias("ci_low"), F.percentile("m", 0.975).alias("ci_high")).join(sizes, keys)
 
 
-def sign_flip(df: DataFrame, keys: list[str], value: str, drop_zeros: bool = False, tol: float = 1e-12, max_exact: int = 20, draws: int = 200_000) -> DataFrame:
+def sign_flip(df: DataFrame, keys: list[str], value: str, drop_zeros: bool = False, tol: float = 1e-12, max_exact: int = 20, draws: int | None = 200_000) -> DataFrame:
     """Sign-flip p of the mean: over all sign vectors up to ``max_exact`` values, else over random ones with
-    one added to hits and draws. With ``drop_zeros`` differences within 1e-12 go first."""
+    one added to hits and draws. Without ``draws`` the test is exact or an error: larger groups raise one.
+    With ``drop_zeros`` differences within 1e-12 go first."""
     rows = df.where(finite(value))
     rows = rows.where(F.abs(value) > 1e-12) if drop_zeros else rows
     g = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("d")).withColumn("n", F.size("d"))
+    if draws is None:
+        g = g.withColumn("n", F.when(F.col("n") <= max_exact, F.col("n")).otherwise(F.raise_error(F.lit("too many values for all sign vectors"))))
     total = lambda sign: F.aggregate(F.transform("d", lambda x, i: x * sign(i)), F.lit(0.0), lambda a, b: a + b)
     # one row a sign vector: the work spreads over the cluster
     exact = g.where(F.col("n") <= max_exact).select(*keys, "d", "n", F.explode(F.expr("sequence(0, shiftleft(1, n) - 1)")).alias("mask"))
     bit = lambda i: F.when(F.expr("mask").bitwiseAND(F.pow(F.lit(2), i).cast("int")) == 0, 1.0).otherwise(-1.0)
     hit = lambda s: (F.abs(s / F.col("n")) >= F.abs(total(lambda i: F.lit(1.0)) / F.col("n")) - tol).cast("double")
     exact = exact.groupBy(*keys).agg(F.avg(hit(total(bit))).alias("p"), F.first("n").alias("n"))
+    if draws is None:
+        return exact
     sampled = g.where(F.col("n") > max_exact).select(*keys, "d", "n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("mask"))
     coin = lambda i: F.when(uniform(F.expr("mask"), i) < 0.5, 1.0).otherwise(-1.0)
     sampled = sampled.groupBy(*keys).agg(((F.sum(hit(total(coin))) + 1) / (F.count("*") + 1)).alias("p"), F.first("n").alias("n"))
@@ -95,12 +100,21 @@ def holm(df: DataFrame, family: list[str], p: str = "p") -> DataFrame:
     return out.unionByName(df.where(~finite(p)).withColumn("p_holm", F.lit(None).cast("double")))
 
 
-def binomial_two_sided(n: int) -> list[float]:
-    """Exact two-sided sign-test p for 0 to ``n`` wins of ``n``."""
-    return [min(1.0, sum(comb(n, k) for k in range(n + 1) if comb(n, k) <= comb(n, w)) / 2 ** n) for w in range(n + 1)]
+def sign_test(wins: Column, losses: Column) -> Column:
+    """Exact two-sided sign-test p of any number of decided units; null without any.
+
+    Both tails are as heavy, so the lighter one's binomial terms are summed and doubled; a term follows from the
+    one before in logarithms, which no number of units lets vanish.
+    """
+    n = wins + losses
+    log_term = lambda k, x: x + F.ln((n - k + 1).cast("double")) - F.ln(k.cast("double"))
+    start = F.struct((-n * math.log(2)).alias("x"), F.exp(-n * math.log(2)).alias("p"))
+    steps = F.slice(F.sequence(F.lit(0).cast("long"), F.least(wins, losses)), 2, 1 << 30)
+    tail = F.aggregate(steps, start, lambda a, k: F.struct(log_term(k, a["x"]).alias("x"), (a["p"] + F.exp(log_term(k, a["x"]))).alias("p")), lambda a: a["p"])
+    return F.when(n > 0, F.least(F.lit(1.0), 2 * tail))
 
 
-def paired_tests(df: DataFrame, keys: list[str], unit: str, method: str, base: str, other: str, value: str, higher: bool = True) -> DataFrame:
+def paired_tests(df: DataFrame, keys: list[str], unit: str, method: str, base: str, other: str, value: str, higher: bool = True, draws: int = 200_000) -> DataFrame:
     """Differences of two methods by unit: mean and median advantage, wins, losses, ties, sign-flip p,
     sign-test p, rank-biserial and Holm-adjusted p over all keys."""
     wide = df.groupBy(*keys, unit).pivot(method, [base, other]).agg(F.avg(number(value)))
@@ -108,9 +122,8 @@ def paired_tests(df: DataFrame, keys: list[str], unit: str, method: str, base: s
     win, loss = F.sum((F.col("d") > 1e-12).cast("long")), F.sum((F.col("d") < -1e-12).cast("long"))
     out = d.groupBy(*keys).agg(F.count("*").alias("n_units"), F.avg("d").alias("mean_advantage"), F.median("d").alias("median_advantage"), win.alias("wins"), loss.alias("losses"))
     out = out.withColumn("ties", F.col("n_units") - F.col("wins") - F.col("losses"))
-    table = F.array(*[F.array(*map(F.lit, binomial_two_sided(n))) for n in range(41)])
-    out = out.withColumn("p_sign", F.get(F.get(table, (F.col("wins") + F.col("losses")).cast("int")), F.col("wins").cast("int")))
-    out = out.join(sign_flip(d, keys, "d").select(*keys, "p"), keys).join(rank_biserial(d, keys, "d"), keys)
+    out = out.withColumn("p_sign", sign_test(F.col("wins"), F.col("losses")))
+    out = out.join(sign_flip(d, keys, "d", draws=draws).select(*keys, "p"), keys).join(rank_biserial(d, keys, "d"), keys)
     return holm(out.withColumn("_f", F.lit(1)), ["_f"]).drop("_f")
 
 

@@ -121,14 +121,29 @@ def laplacian(w: np.ndarray) -> np.ndarray:
     return np.eye(len(w)) - s[:, None] * w * s[None, :]
 
 
+_LAST: list = [None, None]
+
+
+def spectrum(x: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """(eigenvalues, modes) of the Laplacian of the centred items; None if there is no graph. The last
+    candidate's is remembered, so that several metrics of one matrix solve it once."""
+    if _LAST[0] is not x:
+        w = affinity(x - x.mean(0)) if len(x) > 1 else np.zeros((len(x), len(x)))
+        _LAST[:] = x, np.linalg.eigh(laplacian(w)) if w.sum() > EPS else None
+    return _LAST[1]
+
+
 def harmonic_modes(x: np.ndarray, scale: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(eigenvalues, energies) of the non-constant modes in ascending order; empty if there is no graph."""
+    if len(x) < 3:
+        return np.zeros(0), np.zeros(0)
     z = x - x.mean(0)
     if scale:
         z = z / (z.std(0, ddof=1) + EPS)
-    if len(z) < 3 or (w := affinity(z)).sum() <= EPS:
+    found = spectrum(z) if scale else spectrum(x)
+    if found is None:
         return np.zeros(0), np.zeros(0)
-    values, modes = np.linalg.eigh(laplacian(w))
+    values, modes = found
     return np.maximum(values, 0)[1:], ((z.T @ modes[:, 1:]) ** 2).sum(0) / z.shape[1]
 
 
@@ -143,8 +158,10 @@ def harmonic_score(x: np.ndarray, k: int = 10, sigma2: float = 1.0) -> dict[str,
 
 
 def spectral_gap(x: np.ndarray) -> dict[str, float]:
-    z = x - x.mean(0)
-    values = np.maximum(np.linalg.eigvalsh(laplacian(affinity(z))), 0)
+    found = spectrum(x)
+    if found is None:
+        return {"lambda2": np.nan, "lambda3": np.nan, "n_components": float(len(x)), "spectral_entropy": np.nan}
+    values = np.maximum(found[0], 0)
     rest = values[1:] / max(values[1:].sum(), EPS)
     return {"lambda2": float(values[1]) if len(values) > 1 else np.nan, "lambda3": float(values[2]) if len(values) > 2 else np.nan, "n_components": float((values <= 1e-6).sum()),
             "spectral_entropy": float(-(rest[rest > EPS] * np.log(rest[rest > EPS])).sum())}
@@ -229,6 +246,22 @@ def partial_spectrum(x: np.ndarray, k: int = 10, rounds: int = 200) -> np.ndarra
     return np.sort(np.linalg.eigvalsh(basis.T @ lap @ basis))[:m]
 
 
+def partial_validation(reps: DataFrame, k: int = 10, rounds: int = 200, keys: list[str] = CANDIDATE) -> DataFrame:
+    """The partial solver against the full one: largest eigenvalue error, relative error of the score's
+    ``1 / sigma2 + lambda`` sum, and the gap behind the last eigenvalue kept, which decides how fast it converges."""
+    def run(key, pdf):
+        x = _matrix(pdf)
+        found = spectrum(x)
+        if found is None or len(x) < k + 3:
+            return pd.DataFrame([(*key, np.nan, np.nan, np.nan)], columns=[*keys, "eigenvalue_error", "precision_error", "boundary_gap"])
+        part, full = partial_spectrum(x, k, rounds), found[0]
+        own, true = (np.sum(1 + v[1:k + 1]) for v in (part, full))
+        return pd.DataFrame([(*key, np.abs(part - full[:k + 2]).max(), abs(own - true) / true, full[k + 2] - full[k + 1])], columns=[*keys, "eigenvalue_error", "precision_error", "boundary_gap"])
+
+    kinds = ", ".join(f"{c} {t}" for c, t in reps.select(*keys).dtypes)
+    return reps.select(*keys, "item_id", "vec").groupBy(*keys).applyInPandas(run, f"{kinds}, eigenvalue_error double, precision_error double, boundary_gap double")
+
+
 #: Metrics of a single view by name; ``register`` adds others.
 REGISTRY: dict[str, Callable[[np.ndarray], dict[str, float]]] = {
     "harmonic": harmonic_score, "spectral_gap": spectral_gap, "matrix_entropy": matrix_entropy, "two_nn": two_nn, "abs_cosine": abs_cosine}

@@ -5,18 +5,20 @@ Each query applies one operator to whole tables; doubles are rounded to nine dig
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from repselect.functions import scalars as S
 from repselect.operators import evaluators as E, ranking as H, sampling as C, statistics as I, summaries as G, validation as J, vectors as D
 from repselect.sources import tables as A
-from repselect.sources.fixtures import REPS_SQL, sql_with, view, reps
+from repselect.sources.fixtures import COHORT, COHORT_SQL, REPS_SQL, cohort, reps, sql_with, view
 from repselect.session import table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
 CASE = ["model_alias", "task"]
 SEEDS = [11, 22, 33, 44]
+#: The t quantile beyond the table's degrees of freedom, by the series.
+T_FAR = "(" + " + ".join([str(S.Z_975), *[f"{c} * pow(1.0::DOUBLE / ({{n}} - 1), {k})" for k, c in enumerate(S.T_SERIES, 1)]]) + ")"
 T = "[" + ", ".join(str(S.T_TABLE[k]) for k in sorted(S.T_TABLE)) + "]"
 
 
@@ -30,6 +32,10 @@ def query(sql: str | None = None, digits: int = 9):
     return add
 
 
+#: The hash of ``content_hash`` over rows whose MD5 is ``h``.
+HASH = "md5(concat_ws(':', count(*), sum(('0x' || left(h, 12))::BIGINT)::VARCHAR, sum(('0x' || substr(h, 13, 12))::BIGINT)::VARCHAR))"
+
+
 def r(*columns: str, digits: int = 9) -> str:
     """Select items that round ``name`` or ``expression AS name``."""
     out = []
@@ -100,6 +106,14 @@ def a9_remaining_work(spark, sf_dir):
     return A.remaining_work(s, s.where("seed = 11 and layer < 4"), [*CASE, "seed", "layer"], "fingerprint").drop("fingerprint")
 
 
+@query(f"""WITH {REPS_SQL}, n AS (SELECT model_alias, task, count(DISTINCT layer) AS num_layers FROM reps GROUP BY ALL),
+  i AS (SELECT model_alias, task, count(*) AS n_items, {HASH} AS sample_hash FROM (SELECT DISTINCT model_alias, task, md5(concat_ws(':', '', item_id)) AS h FROM reps) GROUP BY ALL),
+  e AS (SELECT model_alias, task, {HASH} AS embedding_hash FROM (SELECT model_alias, task, md5(concat_ws(':', layer, '', item_id, array_to_string(list_transform(vec, lambda x: round(x::DOUBLE * 1e6)::BIGINT), ','))) AS h FROM reps) GROUP BY ALL)
+  SELECT model_alias, task, num_layers, n_items, sample_hash, embedding_hash, md5('pooling=mean') AS fingerprint FROM n JOIN i USING (model_alias, task) JOIN e USING (model_alias, task)""")
+def a5_cache_meta(spark, sf_dir):
+    return A.cache_meta(reps(spark, sf_dir), "pooling=mean")
+
+
 # scalar functions
 
 
@@ -139,7 +153,6 @@ def b8_orientation(spark, sf_dir):
 
 @query(sql_with("SELECT DISTINCT model_alias, task, layer, dense_rank() OVER (PARTITION BY model_alias, task ORDER BY layer) - 1 AS position FROM scores_long", "scores_long"))
 def b9_layer_positions(spark, sf_dir):
-    from pyspark.sql import Window
     return scores(spark, sf_dir).select(*CASE, "layer").distinct().withColumn("position", F.dense_rank().over(Window.partitionBy(*CASE).orderBy("layer")).cast("long") - 1)
 
 
@@ -159,15 +172,14 @@ def b16_stable_seed(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.stable_seed(F.lit(7), F.col("doc_id")).alias("seed"))
 
 
-@query(sql_with("SELECT model_alias, task, sha256(string_agg(sha256(layer || ':' || seed), ',' ORDER BY sha256(layer || ':' || seed))) AS hash FROM scores_long GROUP BY ALL", "scores_long"))
+@query(sql_with(f"SELECT model_alias, task, {HASH} AS hash FROM (SELECT model_alias, task, md5(concat_ws(':', row_number() OVER (PARTITION BY model_alias, task ORDER BY seed, layer) - 1, layer, seed)) AS h FROM scores_long) GROUP BY ALL", "scores_long"))
 def b17_array_hash(spark, sf_dir):
-    row = F.sha2(F.concat_ws(":", "layer", "seed"), 256)
-    return scores(spark, sf_dir).groupBy(*CASE).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(row)), ","), 256).alias("hash"))
+    place = F.row_number().over(Window.partitionBy(*CASE).orderBy("seed", "layer")) - 1
+    return scores(spark, sf_dir).withColumn("place", place).groupBy(*CASE).agg(S.content_hash(F.col("place"), F.col("layer"), F.col("seed")).alias("hash"))
 
 
 @query("SELECT DISTINCT lang, dense_rank() OVER (ORDER BY lang) - 1 AS code FROM documents")
 def b18_label_codes(spark, sf_dir):
-    from pyspark.sql import Window
     return table(spark, sf_dir, "documents").select("lang").distinct().withColumn("code", F.dense_rank().over(Window.orderBy("lang")).cast("long") - 1)
 
 
@@ -218,7 +230,7 @@ def c4_stratified_split(spark, sf_dir):
 
 
 @query(sql_with("X", "items").replace(" X", f""", {SPLIT} SELECT task, count(*) FILTER (part = 'train') AS n_train, count(*) FILTER (part = 'test') AS n_test, {r("avg(CASE WHEN part = 'test' THEN 1.0::DOUBLE ELSE 0.0 END) AS test_share")},
-  count(DISTINCT label) AS n_classes, sha256(string_agg(part || ':' || item_id, ',' ORDER BY part, item_id)) AS split_hash FROM split GROUP BY task"""))
+  count(DISTINCT label) AS n_classes, {HASH} AS split_hash FROM (SELECT *, md5(concat_ws(':', part, item_id)) AS h FROM split) GROUP BY task"""))
 def c5_split_metadata(spark, sf_dir):
     return C.split_metadata(C.stratified_split(items(spark, sf_dir), ["task"], "label", 0.3, 11), ["task"], "label")
 
@@ -230,10 +242,14 @@ def c8_view_indices(spark, sf_dir):
     return C.view_indices(items(spark, sf_dir), ["task"], ["uncertainty", "selection", "evaluation"], 3, 0.25, 10, 5).select("task", "role", "view_id", "item_id")
 
 
-@query(f"""WITH w AS (SELECT doc_id, text, string_split(text, ' ') AS w FROM documents),
+BLANK = r"[ \t\n\x0B\f\r]"
+
+
+@query(rf"""WITH w AS (SELECT doc_id, text, string_split_regex(regexp_replace(text, '^{BLANK}+|{BLANK}+$', '', 'g'), '{BLANK}+') AS w FROM documents),
   v AS (SELECT *, unnest([0, 1, 2]) AS view_id FROM w),
-  k AS (SELECT doc_id, view_id, string_agg(word, ' ' ORDER BY i) AS t FROM (SELECT doc_id, view_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM v) WHERE {U.format('9, doc_id, view_id, i')} > 0.12 GROUP BY ALL)
-  SELECT v.doc_id, v.view_id, md5(CASE WHEN v.view_id = 0 OR len(v.w) <= 3 THEN v.text ELSE coalesce(k.t, v.w[1]) END) AS view_md5 FROM v LEFT JOIN k ON k.doc_id = v.doc_id AND k.view_id = v.view_id""")
+  k AS (SELECT doc_id, view_id, string_agg(word, ' ' ORDER BY i) AS t FROM (SELECT doc_id, view_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM v WHERE view_id > 0 AND len(w) > 3)
+    WHERE substr(md5(concat_ws('|', 9, doc_id, view_id, i // 4)), (i % 4 * 8 + 1)::INT, 8) > '1eb851ec' GROUP BY ALL)
+  SELECT v.doc_id, v.view_id, md5(CASE WHEN v.view_id = 0 OR len(v.w) <= 3 THEN v.text ELSE coalesce(k.t, v.w[floor({U.format("9, v.doc_id, v.view_id, 'one'")} * len(v.w))::INT + 1]) END) AS view_md5 FROM v LEFT JOIN k ON k.doc_id = v.doc_id AND k.view_id = v.view_id""")
 def c9_text_views(spark, sf_dir):
     return C.text_views(table(spark, sf_dir, "documents"), 3, 0.12, 9).select("doc_id", "view_id", F.md5("view_text").alias("view_md5"))
 
@@ -283,30 +299,47 @@ def d4_cosine_pairs(spark, sf_dir):
     return pairs(spark, sf_dir).select("vec_id", "cosine")
 
 
-DIST = f"""WITH {REPS_SQL}, d2 AS (SELECT a.model_alias, a.layer, a.item_id AS i, b.item_id AS j, list_sum(list_transform(list_zip(a.vec, b.vec), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)) AS d2
+DIST = f"""WITH {COHORT_SQL}, d2 AS (SELECT a.model_alias, a.layer, a.item_id AS i, b.item_id AS j, list_sum(list_transform(list_zip(a.vec, b.vec), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)) AS d2
   FROM reps a JOIN reps b ON a.model_alias = b.model_alias AND a.layer = b.layer AND a.item_id < b.item_id)"""
 
 
 @query(f"{DIST} SELECT model_alias, layer, {r('0.5 * quantile_disc(d2, 0.5) AS tau2', digits=6)} FROM d2 WHERE d2 > 0 GROUP BY ALL", digits=6)
 def d5_bandwidth(spark, sf_dir):
-    return D.bandwidth(reps(spark, sf_dir)).drop("task")
+    return D.bandwidth(cohort(spark, sf_dir)).drop("task")
 
 
 @query(digits=6)
 def d9_harmonic_score(spark, sf_dir):
-    return D.score_candidates(reps(spark, sf_dir), ["harmonic", "spectral_gap", "matrix_entropy", "abs_cosine"]).drop("error")
+    return D.score_candidates(cohort(spark, sf_dir), ["harmonic", "spectral_gap", "matrix_entropy", "abs_cosine"]).drop("error")
 
 
 @query(digits=6)
 def d10_harmonic_curves(spark, sf_dir):
-    return D.harmonic_curves(reps(spark, sf_dir), 40)
-
-
-@query("WITH d AS (SELECT DISTINCT m AS model_alias, layer FROM (SELECT unnest(['m0', 'm1']) AS m), (SELECT unnest([1, 4, 8]) AS layer)) SELECT model_alias, layer, true AS consistent FROM d")
+    return D.harmonic_curves(cohort(spark, sf_dir), 40)
+
+
+# With all modes the score needs no spectrum: energies sum to what the constant mode (the roots of the degrees)
+# leaves of the centred items, and eigenvalues times energies to the trace of Z'LZ.
+FULL = f"""WITH {COHORT_SQL}, long AS (SELECT model_alias, layer, item_id, unnest(vec)::DOUBLE AS x, unnest(range(len(vec))) AS d FROM reps),
+  centred AS (SELECT model_alias, layer, item_id, d, x - avg(x) OVER (PARTITION BY model_alias, layer, d) AS z FROM long),
+  zs AS (SELECT model_alias, layer, item_id, list(z ORDER BY d) AS z, sum(z * z) AS zz, count(*) AS dims FROM centred GROUP BY ALL),
+  pairs AS (SELECT a.model_alias, a.layer, a.item_id AS i, b.item_id AS j, a.zz + b.zz - 2 * list_inner_product(a.z, b.z) AS d2, list_inner_product(a.z, b.z) AS dot
+    FROM zs a JOIN zs b ON a.model_alias = b.model_alias AND a.layer = b.layer AND a.item_id <> b.item_id),
+  tau AS (SELECT model_alias, layer, 0.5 * quantile_disc(d2, 0.5) AS tau2 FROM pairs WHERE i < j AND d2 > 0 GROUP BY ALL),
+  w AS (SELECT model_alias, layer, i, j, dot, exp(-d2 / (2 * tau2 + 1e-12)) AS w FROM pairs JOIN tau USING (model_alias, layer)),
+  deg AS (SELECT model_alias, layer, i AS item_id, sum(w) AS g FROM w GROUP BY ALL),
+  first AS (SELECT model_alias, layer, sum(s * s) AS lost FROM (SELECT model_alias, layer, d, sum(z * sqrt(g)) / sqrt(sum(g)) AS s FROM centred JOIN deg USING (model_alias, layer, item_id) GROUP BY ALL) GROUP BY ALL),
+  total AS (SELECT model_alias, layer, sum(zz) AS zz, max(dims) AS dims FROM zs GROUP BY ALL),
+  cross_terms AS (SELECT w.model_alias, w.layer, sum(w * dot / sqrt(a.g * b.g)) AS c FROM w JOIN deg a ON a.model_alias = w.model_alias AND a.layer = w.layer AND a.item_id = w.i
+    JOIN deg b ON b.model_alias = w.model_alias AND b.layer = w.layer AND b.item_id = w.j GROUP BY ALL)
+  SELECT model_alias, layer, true AS consistent, {r('ln(1 + (zz - lost) / dims + (zz - c) / dims) AS full_score', digits=5)} FROM total JOIN first USING (model_alias, layer) JOIN cross_terms USING (model_alias, layer)"""
+
+
+@query(FULL, digits=5)
 def d11_curve_consistency(spark, sf_dir):
-    own = D.score_candidates(reps(spark, sf_dir), ["harmonic"]).where("field = 'score'").select("model_alias", "layer", "value")
-    at = D.harmonic_curves(reps(spark, sf_dir), 10).groupBy("model_alias", "layer").agg(F.max_by("h_k", "k").alias("h"))
-    return own.join(at, ["model_alias", "layer"]).select("model_alias", "layer", (F.abs(F.col("value") - F.col("h")) < 1e-8).alias("consistent"))
+    own = D.score_candidates(cohort(spark, sf_dir), ["harmonic"]).where("field = 'score'").select("model_alias", "layer", "value")
+    at = D.harmonic_curves(cohort(spark, sf_dir), COHORT).groupBy("model_alias", "layer").agg(F.max(F.when(F.col("k") == 10, F.col("h_k"))).alias("h"), F.max_by("h_k", "k").alias("full_score"))
+    return own.join(at, ["model_alias", "layer"]).select("model_alias", "layer", (F.abs(F.col("value") - F.col("h")) < 1e-8).alias("consistent"), "full_score")
 
 
 GRAM = f"""{V}, c AS (SELECT *, x - avg(x) OVER (PARTITION BY model_alias, layer, d) AS z FROM long),
@@ -321,6 +354,16 @@ def d15_gram_metrics(spark, sf_dir):
     return D.gram_metrics(reps(spark, sf_dir)).drop("task", "concentration")
 
 
+@query(digits=7)
+def d17_concentration(spark, sf_dir):
+    return D.gram_metrics(reps(spark, sf_dir)).select("model_alias", "layer", "concentration", (1 - F.col("concentration")).alias("isotropy"))
+
+
+@query(digits=5)
+def d25_partial_validation(spark, sf_dir):
+    return D.partial_validation(cohort(spark, sf_dir)).drop("task")
+
+
 @query(f"""WITH {REPS_SQL}, s AS (SELECT model_alias, layer, len(vec) AS d, list_transform(list_zip(vec, lag(vec) OVER w), lambda p: p[1]::DOUBLE - p[2]::DOUBLE) AS a, list_transform(list_zip(lead(vec) OVER w, vec), lambda p: p[1]::DOUBLE - p[2]::DOUBLE) AS b,
     lag(vec) OVER w IS NOT NULL AND lead(vec) OVER w IS NOT NULL AS ok FROM reps WINDOW w AS (PARTITION BY model_alias, layer ORDER BY item_id)),
   a AS (SELECT model_alias, layer, max(d) AS d, avg(acos(greatest(-1, least(1, list_cosine_similarity(a, b))))) AS c FROM s WHERE ok GROUP BY ALL) SELECT model_alias, layer, {r('c AS curvature', 'c / ln(greatest(d, 2)) AS curvature_norm', digits=7)} FROM a""", digits=7)
@@ -332,16 +375,16 @@ def d19_curvature(spark, sf_dir):
   two AS (SELECT model_alias, layer, i, sqrt(min(d2)) AS r1, sqrt(max(d2)) AS r2 FROM (SELECT *, row_number() OVER (PARTITION BY model_alias, layer, i ORDER BY d2) AS rn FROM n) WHERE rn <= 2 GROUP BY ALL)
   SELECT model_alias, layer, {r("1 / (avg(ln(r2 / r1 + 1e-12)) + 1e-12) AS dimension", digits=4)} FROM two WHERE r1 > 1e-12 GROUP BY ALL""", digits=4)
 def d18_two_nn(spark, sf_dir):
-    return D.score_candidates(reps(spark, sf_dir), ["two_nn"]).select("model_alias", "layer", F.col("value").alias("dimension"))
+    return D.score_candidates(cohort(spark, sf_dir), ["two_nn"]).select("model_alias", "layer", F.col("value").alias("dimension"))
 
 
 def two_views(spark, sf_dir):
-    r0 = reps(spark, sf_dir)
+    r0 = cohort(spark, sf_dir)
     thin = F.transform("vec", lambda x, i: F.when(S.uniform(F.lit(4), F.col("item_id"), i) > 0.12, x.cast("double")).otherwise(0.0))
     return r0.withColumn("vec", F.col("vec").cast("array<double>")).withColumn("view_id", F.lit(0)).unionByName(r0.withColumn("vec", thin).withColumn("view_id", F.lit(1)))
 
 
-@query(f"""WITH {REPS_SQL}, u AS (SELECT model_alias, layer, item_id, list_transform(vec, lambda x: x::DOUBLE) AS a, list_transform(list_zip(vec, range(len(vec))), lambda p: CASE WHEN {U.format('4, item_id, p[2]')} > 0.12 THEN p[1]::DOUBLE ELSE 0.0 END) AS b FROM reps),
+@query(f"""WITH {COHORT_SQL}, u AS (SELECT model_alias, layer, item_id, list_transform(vec, lambda x: x::DOUBLE) AS a, list_transform(list_zip(vec, range(len(vec))), lambda p: CASE WHEN {U.format('4, item_id, p[2]')} > 0.12 THEN p[1]::DOUBLE ELSE 0.0 END) AS b FROM reps),
   n AS (SELECT model_alias, layer, item_id, list_transform(a, lambda x: x / (sqrt(list_sum(list_transform(a, lambda y: y * y))) + 1e-12)) AS a, list_transform(b, lambda x: x / (sqrt(list_sum(list_transform(b, lambda y: y * y))) + 1e-12)) AS b FROM u),
   l AS (SELECT x.model_alias, x.layer, x.item_id AS i, y.item_id AS j, list_inner_product(x.a, y.b) / 0.1 AS l FROM n x JOIN n y ON x.model_alias = y.model_alias AND x.layer = y.layer),
   e AS (SELECT model_alias, layer, i, ln(sum(exp(l))) - sum(l) FILTER (i = j) AS loss, count(*) AS n FROM l GROUP BY ALL)
@@ -363,7 +406,7 @@ def d22_lidar(spark, sf_dir):
 
 @query(digits=6)
 def d24_components(spark, sf_dir):
-    return D.components(reps(spark, sf_dir))
+    return D.components(cohort(spark, sf_dir))
 
 
 # evaluators
@@ -373,13 +416,13 @@ def d24_components(spark, sf_dir):
 def e1_classification(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").where("embedding is not null").selectExpr("vec_id AS item_id", "label", "'all' AS task")
     split = C.stratified_split(v, ["task"], "label", 0.3, 11).withColumn("seed", F.lit(11))
-    return E.classification_profile(reps(spark, sf_dir, (1, 8)).drop("label"), split)
+    return E.classification_profile(cohort(spark, sf_dir, (1, 8)).drop("label"), split)
 
 
 @query(digits=6)
 def e2_clustering(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").where("embedding is not null").selectExpr("vec_id AS item_id", "label")
-    return E.clustering_profile(reps(spark, sf_dir, (1, 8)).drop("label"), v, [11, 22], n_init=2)
+    return E.clustering_profile(cohort(spark, sf_dir, (1, 8)).drop("label"), v, [11, 22], n_init=2)
 
 
 @query(f"""WITH t AS (SELECT lang AS label, source AS cluster, count(*)::DOUBLE AS c FROM documents GROUP BY ALL),

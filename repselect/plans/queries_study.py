@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from repselect.functions.scalars import rounded
 from repselect.operators import ranking as H, sampling as C, statistics as I, study as K, vectors as D
-from repselect.plans.queries import CASE, T, U, V, curves, items, metrics, query, r, rank_sql, reps, scores
+from repselect.plans.queries import CASE, T, T_FAR, U, V, curves, items, metrics, query, r, rank_sql, reps, scores
 from repselect.plans.queries_tables import CANDIDATE, DEPTH, DIFF, JOINED, PLACED, _metric_sql, candidates, deep, diffs, sql
 
 # inputs
@@ -82,7 +82,7 @@ def detail(spark, sf_dir):
 
 def _interval(m: str) -> str:
     sem = f"sqrt(v) / sqrt(n_tasks_{m})"
-    half = f"coalesce({T}[n_tasks_{m} - 1] * {sem}, CASE WHEN n_tasks_{m} > 1 THEN 1.959963985 * {sem} ELSE 0 END)"
+    half = f"coalesce({T}[n_tasks_{m} - 1] * {sem}, CASE WHEN n_tasks_{m} > 1 THEN {T_FAR.format(n='n_tasks_' + m)} * {sem} ELSE 0 END)"
     return f"SELECT feature, n_tasks_{m}, {r(f'm AS mean_{m}', f'sqrt(v) AS std_{m}', f'v AS variance_{m}', f'm - {half} AS ci_low_{m}', f'm + {half} AS ci_high_{m}', f's AS mean_seed_std_{m}', digits=7)} FROM (SELECT feature, count(m) AS n_tasks_{m}, avg(m) AS m, coalesce(var_samp(m), 0) AS v, avg(s) AS s FROM (SELECT feature, task, avg({m}) AS m, coalesce(stddev_samp({m}), 0) AS s FROM detail GROUP BY ALL) GROUP BY feature)"
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from repselect.functions import scalars as S
 from repselect.operators import evaluators as E, ranking as H, sampling as C, statistics as I, summaries as G, validation as J
-from repselect.plans.queries import CASE, ORACLE_SQL, SEEDS, SPLIT, T, curves, items, metrics, query, r, rank_sql, scores
+from repselect.plans.queries import CASE, ORACLE_SQL, SEEDS, SPLIT, T, T_FAR, curves, items, metrics, query, r, rank_sql, scores
 from repselect.sources.fixtures import sql_with
 
 CANDIDATE = [*CASE, "layer"]
@@ -44,7 +44,7 @@ def g1_summarize_profiles(spark, sf_dir):
     return profiles(spark, sf_dir)
 
 
-@query(sql(f"""SELECT task, feature, n, {r('m AS x_mean', 'v AS x_variance', 'sqrt(v) AS x_std', 'lo AS x_min', 'hi AS x_max', 'md AS x_median', 'sqrt(v) / sqrt(n) AS x_sem', f'm - coalesce({T}[n - 1] * sqrt(v) / sqrt(n), CASE WHEN n > 1 THEN 1.959963985 * sqrt(v) / sqrt(n) ELSE 0 END) AS ci_low', f'm + coalesce({T}[n - 1] * sqrt(v) / sqrt(n), CASE WHEN n > 1 THEN 1.959963985 * sqrt(v) / sqrt(n) ELSE 0 END) AS ci_high')} FROM (
+@query(sql(f"""SELECT task, feature, n, {r('m AS x_mean', 'v AS x_variance', 'sqrt(v) AS x_std', 'lo AS x_min', 'hi AS x_max', 'md AS x_median', 'sqrt(v) / sqrt(n) AS x_sem', f'm - coalesce({T}[n - 1] * sqrt(v) / sqrt(n), CASE WHEN n > 1 THEN {T_FAR.format(n="n")} * sqrt(v) / sqrt(n) ELSE 0 END) AS ci_low', f'm + coalesce({T}[n - 1] * sqrt(v) / sqrt(n), CASE WHEN n > 1 THEN {T_FAR.format(n="n")} * sqrt(v) / sqrt(n) ELSE 0 END) AS ci_high')} FROM (
   SELECT task, feature, count(*) AS n, avg(raw_value) AS m, coalesce(var_samp(raw_value), 0) AS v, min(raw_value) AS lo, max(raw_value) AS hi, median(raw_value) AS md FROM metrics_long GROUP BY task, feature)""", "metrics_long"))
 def g2_sample_summary(spark, sf_dir):
     return G.sample_summary(metrics(spark, sf_dir), ["task", "feature"], "raw_value", "x")
@@ -275,17 +275,24 @@ def h6_ranking_metrics(spark, sf_dir):
 
 
 @query(sql(f"""SELECT task, seed, feature, {r('avg(ok) FILTER (told) AS accuracy_all', 'avg(ok) FILTER (told AND same) AS accuracy_within', 'avg(ok) FILTER (told AND NOT same) AS accuracy_cross', 'avg(CASE WHEN abs(ds) > 1e-12 THEN ok ELSE 0.5 END) FILTER (abs(du) > 1e-12) AS half_accuracy')}, count(*) FILTER (told) AS n_pairs FROM (
-  SELECT *, abs(ds) > 1e-12 AND abs(du) > 1e-12 AS told, (sign(ds) = sign(du))::INT::DOUBLE AS ok FROM (SELECT a.task, a.seed, a.feature, a.x - b.x AS ds, a.y - b.y AS du, a.model_alias = b.model_alias AS same FROM cand a JOIN cand b ON a.task = b.task AND a.seed = b.seed AND a.feature = b.feature AND a.candidate < b.candidate WHERE a.feature IN ('harmonic', 'lidar'))) GROUP BY ALL""", "metrics_long", "scores_long", ctes=(JOINED, PLACED)))
+  SELECT *, abs(ds) > 1e-12 AND abs(du) > 1e-12 AS told, (sign(ds) = sign(du))::INT::DOUBLE AS ok FROM (SELECT a.task, a.seed, a.feature, a.x - b.x AS ds, a.y - b.y AS du, a.model_alias = b.model_alias AS same FROM cand a JOIN cand b ON a.task = b.task AND a.seed = b.seed AND a.feature = b.feature AND a.candidate < b.candidate)) GROUP BY ALL""", "metrics_long", "scores_long", ctes=(JOINED, PLACED)))
 def h11_preference_accuracy(spark, sf_dir):
-    c = candidates(spark, sf_dir).where("feature in ('harmonic', 'lidar')")
-    return H.preference_accuracy(c, ["task", "seed", "feature"], "x", "y", "model_alias", "candidate")
+    return H.preference_accuracy(candidates(spark, sf_dir), ["task", "seed", "feature"], "x", "y", "model_alias", "candidate")
 
 
-@query(ORACLE_SQL["h11_preference_accuracy"].replace(" WHERE a.feature IN ('harmonic', 'lidar')", ""))
+@query(ORACLE_SQL["h11_preference_accuracy"])
 def h11_preference_accuracy_all_features(spark, sf_dir):
     return H.preference_accuracy(candidates(spark, sf_dir), ["task", "seed", "feature"], "x", "y", "model_alias", "candidate")
 
 
+@query(f"""SELECT * FROM ({ORACLE_SQL['h6_ranking_metrics']}) JOIN ({ORACLE_SQL['h11_preference_accuracy']}) USING (task, seed, feature) JOIN (
+  {sql(f"SELECT task, seed, feature, {r('CASE WHEN count(*) >= 3 AND count(DISTINCT x) >= 2 AND count(DISTINCT y) >= 2 THEN corr(a, b) END AS spearman', digits=7)}, count(*) AS n FROM (SELECT *, ({rank_sql('x', 'task, seed, feature')})::DOUBLE AS a, ({rank_sql('y', 'task, seed, feature')})::DOUBLE AS b FROM joined) GROUP BY ALL", "metrics_long", "scores_long", ctes=(JOINED,))}) USING (task, seed, feature)""")
+def h16_candidate_alignment(spark, sf_dir):
+    keys, c = ["task", "seed", "feature"], candidates(spark, sf_dir)
+    metrics = S.rounded(H.ranking_metrics(c, keys, "x", "y", "candidate")).join(S.rounded(H.preference_accuracy(c, keys, "x", "y", "model_alias", "candidate")), keys)
+    return metrics.join(I.safe_spearman(c, keys, "x", "y").withColumn("spearman", F.round("spearman", 7)), keys)
+
+
 @query(sql(f"""SELECT model_alias, task, layer, feature, {r('CASE WHEN z > 0 AND mid > 0 THEN ln(z / mid) END AS calibrated', digits=6)} FROM (SELECT *, median(z) OVER (PARTITION BY task, feature, model_alias) AS mid FROM (
   SELECT *, x + CASE WHEN lo <= 0 THEN -lo + greatest(hi - lo, 1.0) * 1e-12 ELSE 0 END AS z FROM (SELECT model_alias, task, layer, feature, raw_value AS x, min(raw_value) OVER w AS lo, max(raw_value) OVER w AS hi FROM metrics_long WHERE raw_value > 0 WINDOW w AS (PARTITION BY task, feature, model_alias))))""", "metrics_long"), digits=6)
 def h15_model_logratio(spark, sf_dir):
@@ -350,7 +357,7 @@ def diffs(spark, sf_dir):
 @query(sql(f"""SELECT layer, seed, n, {r('avg((abs(s / n) >= abs(t / n) - 1e-12)::INT) AS p')} FROM (SELECT layer, seed, n, list_sum(d) AS t, list_sum(list_transform(list_zip(d, range(n)), lambda x: CASE WHEN (mask >> x[2]::INT) & 1 = 0 THEN x[1] ELSE -x[1] END)) AS s FROM (
   SELECT *, unnest(range((1 << n))) ::BIGINT AS mask FROM (SELECT layer, seed, list_sort(list(d)) AS d, count(*)::INT AS n FROM diffs WHERE d IS NOT NULL GROUP BY ALL))) GROUP BY ALL""", "scores_long", ctes=(DIFF,)))
 def i6_sign_flip(spark, sf_dir):
-    return I.sign_flip(diffs(spark, sf_dir), ["layer", "seed"], "d")
+    return I.sign_flip(diffs(spark, sf_dir), ["layer", "seed"], "d", max_exact=25, draws=None)
 
 
 @query(sql(f"SELECT layer, seed, {r('coalesce(sum(sign(d) * rk) FILTER (abs(d) > 1e-12) / sum(rk) FILTER (abs(d) > 1e-12), 0) AS rank_biserial')} FROM (SELECT *, ({rank_sql('a', 'layer, seed')})::DOUBLE AS rk FROM (SELECT *, abs(d) AS a FROM diffs WHERE d IS NOT NULL AND abs(d) > 1e-12)) GROUP BY ALL", "scores_long", ctes=(DIFF,)))

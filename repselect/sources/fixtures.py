@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from repselect.operators.sampling import uniform_cap
 from repselect.session import table
 
 FAMILY = "CASE WHEN n < 3 THEN 'Classification' WHEN n < 6 THEN 'Clustering' WHEN n = 6 THEN 'PairClassification' ELSE 'STS' END"
@@ -59,6 +60,19 @@ def reps(spark: SparkSession, sf_dir: str, layers: tuple[int, ...] = (1, 4, 8))
     ).selectExpr("model_alias", "'all' AS task", "layer", "item_id", "label", "vec")
 
 
+#: Items of a candidate that pair and spectrum metrics are worked out on, drawn by a hash of seed and id.
+COHORT, COHORT_SEED = 512, 123
+
+
+def cohort(spark: SparkSession, sf_dir: str, layers: tuple[int, ...] = (1, 4, 8)) -> DataFrame:
+    """``reps`` of a sample of ``COHORT`` items, the same for all candidates."""
+    drawn = uniform_cap(table(spark, sf_dir, "embeddings").where("embedding is not null").selectExpr("vec_id AS item_id", "'all' AS task"), ["task"], COHORT, COHORT_SEED)
+    return reps(spark, sf_dir, layers).join(drawn.select("item_id"), "item_id", "left_semi").select("model_alias", "task", "layer", "item_id", "label", "vec")
+
+
 REPS_SQL = """reps AS (
   SELECT m AS model_alias, 'all' AS task, layer, vec_id AS item_id, label, CASE WHEN m = 'm0' THEN embedding[1:8 * layer] ELSE list_reverse(embedding)[1:8 * layer] END AS vec
   FROM embeddings, (SELECT unnest([1, 4, 8]) AS layer), (SELECT unnest(['m0', 'm1']) AS m) WHERE embedding IS NOT NULL)"""
+
+COHORT_SQL = f"""drawn AS (SELECT * FROM embeddings WHERE embedding IS NOT NULL
+  QUALIFY row_number() OVER (ORDER BY ('0x' || left(md5('{COHORT_SEED}|' || vec_id), 8))::BIGINT, vec_id) <= {COHORT}), """ + REPS_SQL.replace("FROM embeddings", "FROM drawn")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from repselect.functions.scalars import content_hash
+
 SEED_RESULT = "model_alias string, task string, task_type string, seed int, layer_indices array<int>, primary_scores array<double>"
 
 
@@ -54,17 +56,39 @@ def write_long(df: DataFrame, path: str, keys: list[str], kind: str = "parquet",
     (writer.partitionBy(*partition) if partition else writer).save(path)
 
 
-def write_cache(reps: DataFrame, path: str) -> None:
-    reps.repartition("model_alias", "task", "layer").write.mode("overwrite").partitionBy("model_alias", "task").parquet(path)
+CACHE_KEY = ["model_alias", "task"]
+
+
+def cache_meta(reps: DataFrame, settings: str = "") -> DataFrame:
+    """One row a model and task of vectors: ``num_layers, n_items``, the hash of the sampled items (and sides),
+    that of the vectors, and the fingerprint of ``settings`` under which they were made."""
+    side = F.col("side") if "side" in reps.columns else F.lit("")
+    items = reps.select(*CACHE_KEY, side.alias("side"), "item_id").distinct().groupBy(*CACHE_KEY).agg(F.count("*").alias("n_items"), content_hash(F.col("side"), F.col("item_id")).alias("sample_hash"))
+    numbers = F.concat_ws(",", F.transform("vec", lambda x: F.round(x.cast("double") * 1e6).cast("long").cast("string")))
+    vectors = reps.groupBy(*CACHE_KEY).agg(F.count_distinct("layer").alias("num_layers"))
+    hashed = reps.withColumn("side", side).groupBy(*CACHE_KEY).agg(content_hash(F.col("layer"), F.col("side"), F.col("item_id"), numbers).alias("embedding_hash"))
+    return vectors.join(items, CACHE_KEY).join(hashed, CACHE_KEY).withColumn("fingerprint", F.md5(F.lit(settings)))
+
+
+def write_cache(reps: DataFrame, path: str, settings: str = "") -> None:
+    """Vectors by model and task in ``vectors``, and their ``cache_meta`` in ``meta``."""
+    reps.repartition(*CACHE_KEY, "layer").write.mode("overwrite").partitionBy(*CACHE_KEY).parquet(f"{path}/vectors")
+    cache_meta(reps, settings).write.mode("overwrite").parquet(f"{path}/meta")
+
 
+def read_cache(spark: SparkSession, path: str, settings: str = "", expected: DataFrame | None = None) -> DataFrame:
+    """Cached vectors; pairs come back with all of side a ahead of side b as ``side``.
 
-def read_cache(spark: SparkSession, path: str, meta: DataFrame | None = None) -> DataFrame:
-    """Cached vectors; with ``meta(model_alias, task, num_layers)`` the layer counts are checked."""
-    reps = spark.read.parquet(path)
-    if meta is not None:
-        seen = reps.groupBy("model_alias", "task").agg(F.count_distinct("layer").alias("n"))
-        if not meta.join(seen, ["model_alias", "task"], "left").where("n is null or n <> num_layers").isEmpty():
-            raise ValueError("cached layers do not match")
+    Layers, items and vectors must match what was written, and the fingerprint that of ``settings``;
+    ``expected(model_alias, task, sample_hash)`` must be found with the same samples. Else an error is raised.
+    """
+    reps, meta = spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/meta")
+    now = cache_meta(reps, settings)
+    differ = meta.exceptAll(now.select(meta.columns)).unionByName(now.select(meta.columns).exceptAll(meta))
+    if not differ.isEmpty():
+        raise ValueError("cached vectors, layers or settings do not match")
+    if expected is not None and not expected.join(meta, [*CACHE_KEY, "sample_hash"], "left_anti").isEmpty():
+        raise ValueError("cached samples do not match")
     return reps
 
 
