@@ -169,8 +169,9 @@ def _entries(prefixes: DataFrame) -> DataFrame:
     return settled(prefixes.mapInArrow(run, "key long, node long, n int, fp long").join(shared, "key"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``a, b, near``: whether the whole sets of each pair are similar."""
+def _verified(pairs: DataFrame, noded: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``a, b, near``: whether the whole sets of each pair are similar. Only sets that stand in a pair are made;
+    ``pairs`` must be settled."""
     def run(batches):
         for batch in batches:
             out = []
@@ -179,6 +180,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
                 out.append(both >= least_common(len(x) + len(y) - both, similarity))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.bool_())], ["a", "b", "near"])
 
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    sets = settled(_held(noded, shingle, noded.sparkSession.sparkContext.broadcast(_bitmap(ends, "node"))))
     side = lambda node, own: sets.select(F.col("node").alias(node), F.col("own").alias(own))
     return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, near boolean")
 
@@ -241,22 +244,21 @@ def links(noded: DataFrame, shingle: int, similarity: float) -> DataFrame:
     context = noded.sparkSession.sparkContext
     last = context.broadcast(_often(noded, shingle, similarity))
     entries = _entries(settled(_prefixes(noded, shingle, similarity, last)))
-    # from here on only nodes that share a key matter
-    nodes = settled(entries.select("node", "fp").distinct())
-    held = settled(_held(noded, shingle, context.broadcast(_bitmap(nodes, "node"))))
+    nodes = entries.select("node", "fp").distinct()  # only those that share a key matter from here on
     names = nodes.groupBy("fp").agg(F.min("node").alias("node"))  # nodes of one fingerprint meet in a star
     stars = nodes.join(names.withColumnRenamed("node", "first"), "fp").where("node <> first").select(F.col("node").alias("x"), F.col("first").alias("y"))
     ring = simhash.links(names.select("fp"), NEAR)
     ring = ring.join(names.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(names.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select("x", "y")
     proposed = stars.unionByName(ring)
-    told = settled(_verified(proposed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), held, similarity))
+    proposed = settled(proposed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    told = settled(_verified(proposed, noded, shingle, similarity))
     final = False
     for turn in range(ROUNDS + 1):
         roots = connected_components(told.where("near").select("a", "b"))
         placed = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
         found = _buckets(placed.join(apart, "key", "left_semi"), turn, final).mapInArrow(_candidates(similarity, not final), "a long, b long").distinct()
-        fresh = settled(_verified(found.join(told, ["a", "b"], "left_anti"), held, similarity))
+        fresh = settled(_verified(settled(found.join(told, ["a", "b"], "left_anti")), noded, shingle, similarity))
         told = settled(told.unionByName(fresh))
         if final:
             break
