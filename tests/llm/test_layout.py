@@ -133,7 +133,7 @@ def test_mixing_meets_targets(spark):
 
 def test_telling_words_and_held_out_labels(spark):
     """The classifier learns from three quarters of the labels and tells the toxic ones of the rest."""
-    data = "/root/testdata/sf0.01"
+    data = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{data}/{n}.parquet") for n in ("documents", "labels"))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
     told = mixing.learn(docs, labels.where(~held))
