@@ -11,8 +11,9 @@ and the exact Jaccard similarity of the whole sets decides on every one of them.
    last in the order, which only keeps buckets small; a large bucket is dealt out in parts and pairs of parts,
    never cut.
 
-Fingerprints of a similarity of 0.8 differ in 10 bits with a deviation of 3, so ``FAR`` loses fewer than one
-such pair in 100,000; it is the only step that can lose a link.
+Fingerprints of a similarity of 0.8 differ in 8 to 10 bits with a deviation of 3 (12 bits for a set of four), so
+``FAR`` and ``FAR_SHORT`` lose fewer than one such pair in 100,000, whatever the sizes; it is the only step that
+can lose a link.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ from repselect.llm.rows import all_columns
 from repselect.session import settled
 
 #: Bits within which fingerprints link at once, bits within which those of a bucket are candidates.
-NEAR, FAR = 2, 22
+NEAR, FAR = 2, 24
+#: Sets below this size turn more bits, and the bits within which they are candidates.
+SHORT, FAR_SHORT = 5, 28
 #: Members of a bucket that are compared at once. Elements found early in more texts than that go to the end of
 #: the order, those of most texts first, up to a number that may be broadcast (8 bytes each).
 BUCKET, LAST = 1024, 1 << 20
@@ -188,7 +191,7 @@ def _verified(pairs: DataFrame, noded: DataFrame, shingle: int, similarity: floa
 
 def _candidates(similarity: float, nearest: bool):
     """Pairs ``a, b`` of buckets: of members with unlike roots, sizes that allow the similarity and fingerprints
-    within ``FAR`` bits; with ``nearest``, of each member and the one nearest to it. A member on side 0 meets
+    within ``FAR`` bits (``FAR_SHORT`` if one is short); with ``nearest``, of each member and the one nearest to it. A member on side 0 meets
     those of side 1, if its bucket has two."""
     def run(batches):
         for batch in batches:
@@ -205,7 +208,7 @@ def _candidates(similarity: float, nearest: bool):
                     own = rows[k:k + 256]
                     far = np.bitwise_count(bits[own, None] ^ bits[None, cols])
                     small, large = np.minimum(n[own, None], n[None, cols]), np.maximum(n[own, None], n[None, cols])
-                    fit = (far <= FAR) & (root[own, None] != root[None, cols]) & (small >= similarity * large - 1e-9)
+                    fit = (far <= np.where(small < SHORT, FAR_SHORT, FAR)) & (root[own, None] != root[None, cols]) & (small >= similarity * large - 1e-9)
                     if nearest:
                         best = np.where(fit, far, 255).argmin(axis=1)
                         i = np.flatnonzero(fit[np.arange(len(own)), best])
