@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from repselect.session import settled
+from repselect.session import released, settled
 
 
 def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -53,7 +53,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         )
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = settled(small.unionByName(low.withColumnRenamed("m", "v")).distinct())
+        former, pairs = pairs, settled(small.unionByName(low.withColumnRenamed("m", "v")).distinct())
+        released(former)
         before, mark = mark, _mark(pairs)
         if mark == before:
             break

@@ -18,6 +18,7 @@ can lose a link.
 
 from __future__ import annotations
 
+import logging
 import math
 
 import numpy as np
@@ -29,7 +30,7 @@ from repselect.llm import simhash
 from repselect.llm.components import connected_components
 from repselect.llm.quality import BLANKS
 from repselect.llm.rows import all_columns
-from repselect.session import settled
+from repselect.session import released, settled
 
 #: Bits within which fingerprints link at once, bits within which those of a bucket are candidates.
 NEAR, FAR = 2, 24
@@ -44,6 +45,7 @@ WORDS = 1 << 18
 #: Most rounds in which a member only meets its nearest, before all that is still apart is compared; they end
 #: when less than the share ``FRUITFUL`` of these pairs is similar.
 ROUNDS, FRUITFUL = 12, 0.1
+LOG = logging.getLogger(__name__)
 
 
 def elements(text: str | None, shingle: int) -> np.ndarray:
@@ -111,53 +113,60 @@ def _in(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[(h >> np.uint64(20)) & np.uint64(WORDS - 1)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _sets(batch: pa.RecordBatch, shingle: int, wanted: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
-    """(nodes, sets) of a batch, a node once; only those in the bitmap ``wanted``, if given."""
-    node, at = np.unique(batch.column("node").to_numpy(), return_index=True)
-    if wanted is not None:
-        on = _in(wanted, node)
-        node, at = node[on], at[on]
-    return node, [elements(t, shingle) for t in batch.column("text").take(pa.array(at)).to_pylist()]
+def _own(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("own")]
 
 
-def _often(noded: DataFrame, shingle: int, similarity: float) -> np.ndarray:
+def _sets(noded: DataFrame, shingle: int) -> DataFrame:
+    """``node, own``: the whole set of each node, eight bytes an element. A node whose texts lie in several
+    batches has several equal rows."""
+    def run(batches):
+        for batch in batches:
+            node, at = np.unique(batch.column("node").to_numpy(), return_index=True)
+            found = [elements(t, shingle).tobytes() for t in batch.column("text").take(pa.array(at)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(found, pa.binary())], ["node", "own"])
+
+    return noded.select("node", "text").mapInArrow(run, "node long, own binary")
+
+
+def _often(sets: DataFrame, similarity: float) -> np.ndarray:
     """Elements that stand early in more than ``BUCKET`` texts, as far as batches tell: those that only one text
     of a batch has are not counted. This decides the order only, so nothing hangs on what is missed."""
     def run(batches):
         for batch in batches:
-            found = [early(x, np.zeros(0, np.uint64), similarity, 2) for x in _sets(batch, shingle)[1]]
+            found = [early(x, np.zeros(0, np.uint64), similarity, 2) for x in _own(batch)]
             keys, n = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["key", "n"])
 
-    counted = noded.select("node", "text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > BUCKET)
+    counted = sets.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > BUCKET)
     rows = counted.orderBy(F.desc("n"), "key").limit(LAST).collect()
     return np.sort(np.array([r.key for r in rows], np.int64).view(np.uint64))
 
 
-def _prefixes(noded: DataFrame, shingle: int, similarity: float, last) -> DataFrame:
+def _prefixes(sets: DataFrame, similarity: float, last) -> DataFrame:
     """``node, n, fp, keys``: one row a node, size and fingerprint of its set and the early elements."""
     def run(batches):
         for batch in batches:
-            node, found = _sets(batch, shingle)
+            found = _own(batch)
             keys = [early(x, last.value, similarity) for x in found]
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(map(len, found), pa.int32()), pa.array(map(fingerprint, found), pa.int64()), _listed(keys)], ["node", "n", "fp", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(map(len, found), pa.int32()), pa.array(map(fingerprint, found), pa.int64()), _listed(keys)], ["node", "n", "fp", "keys"])
 
-    rows = noded.select("node", "text").mapInArrow(run, "node long, n int, fp long, keys array<long>")
+    rows = sets.mapInArrow(run, "node long, n int, fp long, keys array<long>")
     return rows.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "fp", "keys")])
 
 
-def _held(noded: DataFrame, shingle: int, wanted) -> DataFrame:
-    """``node, own``: the whole sets of the nodes in the bitmap ``wanted``, one row a node."""
+def _held(sets: DataFrame, wanted) -> DataFrame:
+    """``node, own``: the sets of the nodes in the bitmap ``wanted``, one row a node."""
     def run(batches):
         for batch in batches:
-            node, found = _sets(batch, shingle, wanted.value)
-            yield pa.RecordBatch.from_arrays([pa.array(node), _listed(found)], ["node", "own"])
+            yield batch.filter(pa.array(_in(wanted.value, batch.column("node").to_numpy())))
 
-    return noded.select("node", "text").mapInArrow(run, "node long, own array<long>").groupBy("node").agg(F.first("own").alias("own"))
+    return sets.mapInArrow(run, "node long, own binary").groupBy("node").agg(F.first("own").alias("own"))
 
 
 def _entries(prefixes: DataFrame) -> DataFrame:
-    """``key, node, n, fp, many``: a row for each early element that other nodes have early, too."""
+    """``key, node, n, fp, many``: a row for each early element that other nodes have early, too. Settled, and
+    ``prefixes``, which must be so, are released."""
     keys = prefixes.select(F.explode("keys").alias("key"))
     shared = settled(keys.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"))
     bitmap = prefixes.sparkSession.sparkContext.broadcast(_bitmap(shared, "key"))
@@ -169,23 +178,25 @@ def _entries(prefixes: DataFrame) -> DataFrame:
             again = lambda c: pa.array(np.repeat(batch.column(c).to_numpy(), many))
             yield pa.RecordBatch.from_arrays([_listed(keys).values, again("node"), again("n"), again("fp")], ["key", "node", "n", "fp"])
 
-    return settled(prefixes.mapInArrow(run, "key long, node long, n int, fp long").join(shared, "key"))
+    entries = settled(prefixes.mapInArrow(run, "key long, node long, n int, fp long").join(shared, "key"))
+    released(prefixes, shared)
+    return entries
 
 
-def _verified(pairs: DataFrame, noded: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``a, b, near``: whether the whole sets of each pair are similar. Only sets that stand in a pair are made;
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """``a, b, near``: whether the whole sets of each pair are similar. Only sets that stand in a pair are moved;
     ``pairs`` must be settled."""
     def run(batches):
         for batch in batches:
             out = []
-            for x, y in zip(_sets_of(batch.column("x")), _sets_of(batch.column("y"))):
+            for x, y in zip(*[[np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(c)] for c in ("x", "y")]):
                 both = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
                 out.append(both >= least_common(len(x) + len(y) - both, similarity))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.bool_())], ["a", "b", "near"])
 
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = settled(_held(noded, shingle, noded.sparkSession.sparkContext.broadcast(_bitmap(ends, "node"))))
-    side = lambda node, own: sets.select(F.col("node").alias(node), F.col("own").alias(own))
+    held = _held(sets, sets.sparkSession.sparkContext.broadcast(_bitmap(ends, "node")))
+    side = lambda node, own: held.select(F.col("node").alias(node), F.col("own").alias(own))
     return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, near boolean")
 
 
@@ -244,9 +255,9 @@ def links(noded: DataFrame, shingle: int, similarity: float) -> DataFrame:
     Rounds first compare each member of a bucket with the one nearest to it, so that large groups become one
     component by few comparisons; then every candidate that is still in two components is compared.
     """
-    context = noded.sparkSession.sparkContext
-    last = context.broadcast(_often(noded, shingle, similarity))
-    entries = _entries(settled(_prefixes(noded, shingle, similarity, last)))
+    sets = settled(_sets(noded, shingle))
+    last = sets.sparkSession.sparkContext.broadcast(_often(sets, similarity))
+    entries = _entries(settled(_prefixes(sets, similarity, last)))
     nodes = entries.select("node", "fp").distinct()  # only those that share a key matter from here on
     names = nodes.groupBy("fp").agg(F.min("node").alias("node"))  # nodes of one fingerprint meet in a star
     stars = nodes.join(names.withColumnRenamed("node", "first"), "fp").where("node <> first").select(F.col("node").alias("x"), F.col("first").alias("y"))
@@ -254,19 +265,24 @@ def links(noded: DataFrame, shingle: int, similarity: float) -> DataFrame:
     ring = ring.join(names.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(names.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select("x", "y")
     proposed = stars.unionByName(ring)
     proposed = settled(proposed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    told = settled(_verified(proposed, noded, shingle, similarity))
+    told = settled(_verified(proposed, sets, similarity))
     final = False
     for turn in range(ROUNDS + 1):
         roots = connected_components(told.where("near").select("a", "b"))
         placed = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
         found = _buckets(placed.join(apart, "key", "left_semi"), turn, final).mapInArrow(_candidates(similarity, not final), "a long, b long").distinct()
-        fresh = settled(_verified(settled(found.join(told, ["a", "b"], "left_anti")), noded, shingle, similarity))
-        told = settled(told.unionByName(fresh))
+        released(proposed)
+        proposed = settled(found.join(told, ["a", "b"], "left_anti"))
+        fresh = settled(_verified(proposed, sets, similarity))
+        before, told = told, settled(told.unionByName(fresh))
+        near, many = fresh.agg(F.coalesce(F.sum(F.col("near").cast("long")), F.lit(0)), F.count("*")).first()
+        LOG.info("round %d: %d of %d pairs similar", turn, near, many)
+        released(before, fresh)
         if final:
             break
-        near, proposed = fresh.agg(F.coalesce(F.sum(F.col("near").cast("long")), F.lit(0)), F.count("*")).first()
-        final = turn + 1 == ROUNDS or near <= FRUITFUL * proposed
+        final = turn + 1 == ROUNDS or near <= FRUITFUL * many
+    released(sets, entries, proposed)
     return told.where("near").select("a", "b")
 
 
