@@ -5,10 +5,12 @@ from __future__ import annotations
 from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from repselect.llm import bpe, embedding_dedup, langid, licenses, mixing, quality, secrets, sharding, simhash, warc
+from repselect.llm import align, bpe, cluster, embedding_dedup, langid, licenses, mixing, pack, quality, secrets, sharding, simhash, warc
 from repselect.session import table
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
+LOWER_WORDS = "word_bpe_49k.json"
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,9 +60,21 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.audit_drill(table(spark, sf_dir, "pages"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.linked_counts(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER), tokenizer_path(PIECES))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack.pieces(pack.pack(table(spark, sf_dir, "documents"), tokenizer_path(LOWER_WORDS)))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash_near_dedup, op2_bpe, op3_quality_rules, op4_license_scans, op5_secret_scans, op6_embedding_near_dedup, op7_sharding, op8_mixing,
-    op9_language_id, op10_warc_fixity)}
+    op9_language_id, op10_warc_fixity, op11_centroid_clustering, op12_tokenizer_alignment, op13_packing)}
 
 WORDS = r"[^\x20\x09-\x0D]+"
 LONG = " UNION ALL\n  ".join(
@@ -149,4 +163,34 @@ SELECT page_id, rank // {warc.PER_FILE} AS warc_file,
 FROM o
 """
 
-ORACLE_SQL = {"op3_quality_rules": OP3_SQL, "op6_embedding_near_dedup": OP6_SQL, "op10_warc_fixity": OP10_SQL}
+OP11_ROUND = """
+a{r} AS MATERIALIZED (
+  SELECT v.vec_id, v.e, x.best[2] AS c, x.best[1] AS d
+  FROM (SELECT v.r, min([list_sum(list_transform(range(1, 65), lambda i: (v.e[i] - c.e[i]) * (v.e[i] - c.e[i])))::BIGINT, c.c]) AS best FROM v, c{r} c GROUP BY v.r) x JOIN v USING (r))"""
+OP11_MOVE = """
+s{r} AS (SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM a{r}) GROUP BY c, i),
+m{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS e FROM s{r} GROUP BY c),
+c{next} AS MATERIALIZED (SELECT c.c, CASE WHEN m.e IS NULL THEN c.e ELSE m.e END AS e FROM c{r} c LEFT JOIN m{r} m USING (c))"""
+
+
+def _op11_sql(k: int = 40, rounds: int = 5) -> str:
+    """k-means written out round by round; every distance is measured."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(OP11_ROUND.format(r=r))
+        if r < rounds:
+            steps.append(OP11_MOVE.format(r=r, next=r + 1))
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, e) - 1 AS c, e FROM (SELECT sha256('2:' || vec_id) AS h, e FROM v WHERE vec_id IS NOT NULL ORDER BY h, e LIMIT {k})),
+{",".join(steps)}
+SELECT vec_id, a.c::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c{rounds}.e, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} ON c{rounds}.c = a.c
+"""
+
+
+ORACLE_SQL = {"op11_centroid_clustering": _op11_sql(), "op3_quality_rules": OP3_SQL, "op6_embedding_near_dedup": OP6_SQL, "op10_warc_fixity": OP10_SQL}
