@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from repselect.functions.scalars import average_rank, is_close
+from repselect.functions.scalars import average_rank, finite, is_close
+from repselect.operators.pairs import preference_parts
 
 
 def best_layers_by_seed(scores: DataFrame, keys: list[str], score: str = "primary_score") -> DataFrame:
@@ -74,18 +75,20 @@ def ranking_metrics(df: DataFrame, keys: list[str], score: str, utility: str, ti
     return g.select(*out)
 
 
-def preference_accuracy(df: DataFrame, keys: list[str], score: str, utility: str, model: str, tie: str, eps: float = 1e-12) -> DataFrame:
+def preference_accuracy(df: DataFrame, keys: list[str], score: str, utility: str, model: str, eps: float = 1e-12) -> DataFrame:
     """Share of candidate pairs that score and utility order alike: all, within and across models; ties
-    are left out. ``half_accuracy`` leaves out ties of utility only and counts ties of score half."""
-    rows = df.select(*keys, F.col(score).alias("s"), F.col(utility).alias("u"), F.col(model).alias("m"), F.row_number().over(Window.partitionBy(*keys).orderBy(tie)).alias("rn"))
-    a, b = rows.alias("a"), rows.alias("b")
-    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    pairs = a.join(b, [*on, F.col("a.rn") < F.col("b.rn")]).select(*[F.col(f"a.{k}").alias(k) for k in keys], (F.col("a.s") - F.col("b.s")).alias("ds"), (F.col("a.u") - F.col("b.u")).alias("du"), (F.col("a.m") == F.col("b.m")).alias("same"))
-    told = (F.abs("du") > eps) & (F.abs("ds") > eps)
-    right = (F.signum("ds") == F.signum("du")).cast("double")
-    return pairs.groupBy(*keys).agg(
-        F.avg(F.when(told, right)).alias("accuracy_all"), F.avg(F.when(told & F.col("same"), right)).alias("accuracy_within"), F.avg(F.when(told & ~F.col("same"), right)).alias("accuracy_cross"),
-        F.sum(told.cast("long")).alias("n_pairs"), F.avg(F.when(F.abs("du") > eps, F.when(F.abs("ds") > eps, right).otherwise(0.5))).alias("half_accuracy"))
+    are left out. ``half_accuracy`` leaves out ties of utility only and counts ties of score half.
+
+    Rows without a finite score and utility are left out; a null model is a model. Pairs are counted by sorting
+    (``pairs``), so a group may be of any size; groups of one row have no pair and null shares.
+    """
+    rows = df.where(finite(score) & finite(utility)).select(*keys, F.col(model).alias("m"), F.col(score).cast("double").alias("s"), F.col(utility).cast("double").alias("u"))
+    found = preference_parts(rows, keys, "s", "u", "m", eps)
+    share = lambda a, b: F.when(b > 0, a / b)
+    told, right, useful = F.col("told"), F.col("right"), F.col("useful")
+    return found.select(
+        *keys, share(right, told).alias("accuracy_all"), share(F.col("right_within"), F.col("told_within")).alias("accuracy_within"),
+        share(right - F.col("right_within"), told - F.col("told_within")).alias("accuracy_cross"), told.alias("n_pairs"), share(right + (useful - told) * 0.5, useful).alias("half_accuracy"))
 
 
 def model_logratio(df: DataFrame, group: list[str], model: str, value: str) -> DataFrame:

@@ -7,36 +7,22 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from repselect.functions.scalars import EPS, average_rank, correlation, finite, number, uniform
+from repselect.operators.pairs import correlation_parts
 
 
 def correlations(df: DataFrame, keys: list[str], x: str, y: str, min_n: int = 3) -> DataFrame:
     """Pearson, Spearman, Kendall tau-b and distance correlation of finite pairs in each group.
 
     Fewer than ``min_n`` pairs give nulls; so do flat values, but for the distance correlation, which has a
-    test of its own. Pairs of rows are formed within a group, so groups are candidates' layers or a task's
-    candidates, not items.
+    test of its own. Pairs of rows are counted and summed by sorting (``pairs``), so a group may be of any size.
     """
     rows = df.where(finite(x) & finite(y)).select(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    rows = rows.withColumn("rx", average_rank(keys, "x")).withColumn("ry", average_rank(keys, "y")).withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("x", "y")))
-    base = rows.groupBy(*keys).agg(F.count("*").alias("n"), correlation("x", "y").alias("p"), correlation("rx", "ry").alias("s"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
-    a, b = rows.alias("a"), rows.alias("b")
-    d = a.join(b, [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]).select(
-        *[F.col(f"a.{k}").alias(k) for k in keys], F.col("a.rn").alias("i"), (F.col("a.x") - F.col("b.x")).alias("dx"), (F.col("a.y") - F.col("b.y")).alias("dy"))
-    own = d.groupBy(*keys, "i").agg(
-        F.sum(F.abs("dx")).alias("ax"), F.sum(F.abs("dy")).alias("ay"), F.sum(F.abs("dx") * F.abs("dy")).alias("xy"), F.sum(F.col("dx") * F.col("dx")).alias("xx"), F.sum(F.col("dy") * F.col("dy")).alias("yy"),
-        F.sum(F.signum("dx") * F.signum("dy")).alias("sg"), F.sum((F.col("dx") == 0).cast("long")).alias("tx"), F.sum((F.col("dy") == 0).cast("long")).alias("ty"))
-    g = own.groupBy(*keys).agg(
-        F.sum("ax").alias("AX"), F.sum("ay").alias("AY"), F.sum("xy").alias("XY"), F.sum("xx").alias("XX"), F.sum("yy").alias("YY"), F.sum(F.col("ax") * F.col("ay")).alias("RXY"),
-        F.sum(F.col("ax") * F.col("ax")).alias("RXX"), F.sum(F.col("ay") * F.col("ay")).alias("RYY"), F.sum("sg").alias("SG"), F.sum("tx").alias("TX"), F.sum("ty").alias("TY"))
-    j = base.join(g, keys)
-    n = F.col("n").cast("double")
-    centred = lambda ab, r, u, v: F.col(ab) / (n * n) - 2 * F.col(r) / (n * n * n) + F.col(u) * F.col(v) / (n * n * n * n)
-    cxy, cxx, cyy = centred("XY", "RXY", "AX", "AY"), centred("XX", "RXX", "AX", "AX"), centred("YY", "RYY", "AY", "AY")
+    found = correlation_parts(rows, keys, "x", "y")
     varied = (F.col("n") >= min_n) & (F.col("sx") > EPS) & (F.col("sy") > EPS)
-    tau = F.col("SG") / F.sqrt((n * n - F.col("TX")) * (n * n - F.col("TY")))
-    return j.select(
-        *keys, F.when(varied, F.col("p")).alias("pearson"), F.when(varied, F.col("s")).alias("spearman"), F.when(varied, tau).alias("kendall"),
-        F.when((F.col("n") >= min_n) & (cxx > EPS) & (cyy > EPS), F.sqrt(F.greatest(cxy, F.lit(0.0))) / F.sqrt(F.sqrt(cxx * cyy))).alias("distance"), F.col("n").alias("n_layers"))
+    told = (F.col("n") >= min_n) & (F.col("cxx") > EPS) & (F.col("cyy") > EPS)
+    return found.select(
+        *keys, *[F.when(varied, F.nanvl(c, F.lit(None))).alias(name) for c, name in (("pearson", "pearson"), ("spearman", "spearman"), ("tau", "kendall"))],
+        F.when(told, F.sqrt(F.greatest("cxy", F.lit(0.0))) / F.sqrt(F.sqrt(F.col("cxx") * F.col("cyy")))).alias("distance"), F.col("n").cast("long").alias("n_layers"))
 
 
 def safe_spearman(df: DataFrame, keys: list[str], x: str, y: str, min_n: int = 3) -> DataFrame:

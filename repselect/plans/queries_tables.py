@@ -277,19 +277,14 @@ def h6_ranking_metrics(spark, sf_dir):
 @query(sql(f"""SELECT task, seed, feature, {r('avg(ok) FILTER (told) AS accuracy_all', 'avg(ok) FILTER (told AND same) AS accuracy_within', 'avg(ok) FILTER (told AND NOT same) AS accuracy_cross', 'avg(CASE WHEN abs(ds) > 1e-12 THEN ok ELSE 0.5 END) FILTER (abs(du) > 1e-12) AS half_accuracy')}, count(*) FILTER (told) AS n_pairs FROM (
   SELECT *, abs(ds) > 1e-12 AND abs(du) > 1e-12 AS told, (sign(ds) = sign(du))::INT::DOUBLE AS ok FROM (SELECT a.task, a.seed, a.feature, a.x - b.x AS ds, a.y - b.y AS du, a.model_alias = b.model_alias AS same FROM cand a JOIN cand b ON a.task = b.task AND a.seed = b.seed AND a.feature = b.feature AND a.candidate < b.candidate)) GROUP BY ALL""", "metrics_long", "scores_long", ctes=(JOINED, PLACED)))
 def h11_preference_accuracy(spark, sf_dir):
-    return H.preference_accuracy(candidates(spark, sf_dir), ["task", "seed", "feature"], "x", "y", "model_alias", "candidate")
-
-
-@query(ORACLE_SQL["h11_preference_accuracy"])
-def h11_preference_accuracy_all_features(spark, sf_dir):
-    return H.preference_accuracy(candidates(spark, sf_dir), ["task", "seed", "feature"], "x", "y", "model_alias", "candidate")
+    return H.preference_accuracy(candidates(spark, sf_dir), ["task", "seed", "feature"], "x", "y", "model_alias")
 
 
 @query(f"""SELECT * FROM ({ORACLE_SQL['h6_ranking_metrics']}) JOIN ({ORACLE_SQL['h11_preference_accuracy']}) USING (task, seed, feature) JOIN (
   {sql(f"SELECT task, seed, feature, {r('CASE WHEN count(*) >= 3 AND count(DISTINCT x) >= 2 AND count(DISTINCT y) >= 2 THEN corr(a, b) END AS spearman', digits=7)}, count(*) AS n FROM (SELECT *, ({rank_sql('x', 'task, seed, feature')})::DOUBLE AS a, ({rank_sql('y', 'task, seed, feature')})::DOUBLE AS b FROM joined) GROUP BY ALL", "metrics_long", "scores_long", ctes=(JOINED,))}) USING (task, seed, feature)""")
 def h16_candidate_alignment(spark, sf_dir):
     keys, c = ["task", "seed", "feature"], candidates(spark, sf_dir)
-    metrics = S.rounded(H.ranking_metrics(c, keys, "x", "y", "candidate")).join(S.rounded(H.preference_accuracy(c, keys, "x", "y", "model_alias", "candidate")), keys)
+    metrics = S.rounded(H.ranking_metrics(c, keys, "x", "y", "candidate")).join(S.rounded(H.preference_accuracy(c, keys, "x", "y", "model_alias")), keys)
     return metrics.join(I.safe_spearman(c, keys, "x", "y").withColumn("spearman", F.round("spearman", 7)), keys)
 
 
