@@ -10,52 +10,121 @@ into powers of two, which need no padding.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from repselect.llm.bpe import LONGEST, REMEMBERED
+from repselect.llm.bpe import runs
+
+#: Words that a Python worker remembers before the older half goes; longer words are never remembered.
+REMEMBERED, LONGEST = 350_000, 64
 
 #: Open windows that a task holds, with their ids, before it sweeps them (16 MB at 2048 tokens each).
 OPEN = 2048
-#: Bytes of ids that go back to Spark at once.
-OUT = 1 << 23
+#: Bytes of ids that go back to Spark at once, and characters encoded at once.
+OUT, AT_ONCE = 1 << 23, 1 << 20
+#: What stands between words that are encoded together: a character that is a word by itself.
+MARK = "\0"
+#: Letters from here on may combine with the one before, so that case and composition don't commute.
+BEYOND = re.compile("[\u0300-\U0010ffff]")
+
+
+class Words(dict):
+    """Ids of known words; a word that is asked for and not known is noted and gives None. What has not been asked
+    for during ``REMEMBERED`` words is forgotten."""
+
+    def __init__(self):
+        self.former: dict[bytes, bytes] = {}
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> bytes | None:
+        found = self.former.get(word)
+        if found is None:
+            self.fresh.append(word)
+        else:
+            self[word] = found
+        return found
+
+    def age(self) -> None:
+        if len(self) > REMEMBERED:
+            self.former = dict(self)
+            self.clear()
 
 
 class WordTokenizer:
     """Ids of a tokenizer file whose tokens never reach across ASCII white space: it drops white space, and its
-    normalizer looks at no neighbour behind it. Each distinct word is encoded once."""
+    normalizer looks at no neighbour behind it. Each distinct word is encoded once.
+
+    Words of letters below U+0300 go through the library many at once, with a mark between them and without
+    composition, which leaves them as they are; others pass through the whole of it one by one.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.whole = tokenizers.Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
-        self.known: dict[bytes, bytes] = {}
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.plain = tokenizers.Tokenizer(self.whole.model)
+        self.plain.normalizer, self.plain.pre_tokenizer = tokenizers.normalizers.Lowercase(), self.whole.pre_tokenizer
+        self.mark = self.whole.encode(MARK, add_special_tokens=False).ids
+        if len(self.mark) != 1 or self.whole.encode(f"A {MARK} b", add_special_tokens=False).ids[-2] != self.mark[0]:
+            raise ValueError("a tokenizer of another kind")
+        self.words = Words()
+
+    def learn(self, words: list[bytes]) -> None:
+        many, single = [], []
+        for word in words:
+            text = word.decode()
+            (many if text.isascii() or not BEYOND.search(text) else single).append(text)
+        for at in range(0, len(many), 2048):
+            some = many[at:at + 2048]
+            joined = f" {MARK} ".join(some)
+            if joined.count(MARK) >= len(some) or any(s in joined for s in self.special):
+                single.extend(some)
+                continue
+            ids = np.array(self.plain.encode_batch_fast([f"{joined} {MARK}"], add_special_tokens=False)[0].ids, "<u4")
+            raw, stops = ids.tobytes(), (np.flatnonzero(ids == self.mark[0]) * 4).tolist()
+            self.words.update(zip((w.encode() for w in some), (raw[a:b] for a, b in zip([0, *(x + 4 for x in stops)], stops))))
+        for at in range(0, len(single), 4096):
+            some = single[at:at + 4096]
+            for word, found in zip(some, self.whole.encode_batch_fast(some, add_special_tokens=False)):
+                self.words[word.encode()] = np.array(found.ids, "<u4").tobytes()
+
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit numbers."""
+        self.words.age()
+        get, fresh, found, again = self.words.__getitem__, self.words.fresh, [], []
+        for text in texts:
+            raw = (text or "").encode()
+            if raw.isascii() or not BEYOND.search(text):  # small letters of A to Z are the same word to the tokenizer
+                raw = raw.lower()
+            words, known = raw.split(), len(fresh)
+            found.append(list(map(get, words)))
+            if len(fresh) > known:
+                again.append((found[-1], words))
+        if again:
+            new = list(dict.fromkeys(fresh))
+            self.learn(new)
+            fresh.clear()
+            for ids, words in again:
+                for k, x in enumerate(ids):
+                    if x is None:
+                        ids[k] = get(words[k])
+            for word in new:
+                if len(word) > LONGEST:
+                    del self.words[word]
+        return list(map(b"".join, found))
 
     def encode(self, text: str | None) -> bytes:
-        """The ids of ``text`` as little-endian unsigned 32-bit numbers."""
-        words = (text or "").encode().split()
-        fresh = list(set(words).difference(self.known))
-        if not fresh:
-            return b"".join(map(self.known.__getitem__, words))
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-            fresh = list(set(words))
-        for at in range(0, len(fresh), 4096):
-            some = fresh[at:at + 4096]
-            for word, found in zip(some, self.whole.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
-        out = b"".join(map(self.known.__getitem__, words))
-        for word in fresh:
-            if len(word) > LONGEST:
-                del self.known[word]
-        return out
+        return self.encode_batch([text])[0]
 
 
 _LOADED: dict[str, WordTokenizer] = {}
@@ -205,11 +274,11 @@ def pack(docs: DataFrame, path: str, width: int = 2048, end: int = 1) -> DataFra
             return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, arrow)], schema=arrow)
 
         for batch in batches:
-            size = 0
-            for doc, text in zip(batch.column(0), batch.column(1)):
-                ids = own.encode(text.as_py()) + closing
-                packer.add(doc.as_py(), np.frombuffer(ids, "<u4"))
-                size += len(ids)
+            texts, size = batch.column(1).fill_null(""), 0
+            for start, stop in runs(pc.utf8_length(texts).to_pylist(), AT_ONCE):
+                for doc, ids in zip(batch.column(0).slice(start, stop - start).to_pylist(), own.encode_batch(texts.slice(start, stop - start).to_pylist())):
+                    packer.add(doc, np.frombuffer(ids + closing, "<u4"))
+                    size += len(ids)
                 if size > OUT:
                     yield out()
                     size = 0
