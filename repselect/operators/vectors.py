@@ -13,9 +13,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-CANDIDATE = ["model_alias", "task", "layer"]
+from repselect.operators.tiles import CANDIDATE, EPS, squared_distances
+
 N_EXACT = 4096
-EPS = 1e-12
 
 
 # rows
@@ -103,8 +103,7 @@ def gram_metrics(reps: DataFrame, keys: list[str] = CANDIDATE) -> DataFrame:
 
 def affinity(z: np.ndarray, k_nn: int = 0) -> np.ndarray:
     """Gaussian weights at the median bandwidth, zero diagonal, symmetric."""
-    sq = (z * z).sum(1)
-    d2 = np.maximum(sq[:, None] + sq[None, :] - 2 * z @ z.T, 0)
+    d2 = np.maximum(squared_distances(z, z), 0)
     upper = d2[np.triu_indices(len(z), 1)]
     upper = np.sort(upper[upper > 0])
     tau2 = max(0.5 * upper[(len(upper) - 1) // 2], EPS) if len(upper) else 1.0
@@ -121,47 +120,102 @@ def laplacian(w: np.ndarray) -> np.ndarray:
     return np.eye(len(w)) - s[:, None] * w * s[None, :]
 
 
-_LAST: list = [None, None]
+#: The last candidate's items, Laplacian (None without a graph) and spectra, so that several metrics share them.
+_LAST: dict = {"x": None}
 
 
-def spectrum(x: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
-    """(eigenvalues, modes) of the Laplacian of the centred items; None if there is no graph. The last
-    candidate's is remembered, so that several metrics of one matrix solve it once."""
-    if _LAST[0] is not x:
+def graph(x: np.ndarray) -> np.ndarray | None:
+    """Laplacian of the centred items; None if there is no graph."""
+    if _LAST["x"] is not x:
         w = affinity(x - x.mean(0)) if len(x) > 1 else np.zeros((len(x), len(x)))
-        _LAST[:] = x, np.linalg.eigh(laplacian(w)) if w.sum() > EPS else None
-    return _LAST[1]
+        _LAST.clear()
+        _LAST.update(x=x, lap=laplacian(w) if w.sum() > EPS else None)
+    return _LAST["lap"]
 
 
-def harmonic_modes(x: np.ndarray, scale: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(eigenvalues, energies) of the non-constant modes in ascending order; empty if there is no graph."""
+def spectrum(x: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """All eigenvalues and modes of the Laplacian; None if there is no graph."""
+    lap = graph(x)
+    if lap is not None and "full" not in _LAST:
+        _LAST["full"] = np.linalg.eigh(lap)
+    return _LAST.get("full")
+
+
+def lanczos(matrix: np.ndarray, m: int, tol: float = 1e-10, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The ``m`` smallest eigenvalues and their vectors of a symmetric matrix, by block Lanczos.
+
+    Blocks are ``m`` wide, so that an eigenvalue wanted is found as often as it occurs. Each block is orthogonalised
+    against the whole basis, twice; directions that a block lacks are drawn anew. It ends when the residuals of all
+    wanted vectors are below ``tol``, at the latest when the basis is complete and the result that of a full solver.
+    """
+    n = len(matrix)
+    m = min(m, n)
+    rng = np.random.default_rng(seed)
+    basis = np.zeros((n, 0))
+    image = np.zeros((n, 0))
+    block = rng.normal(size=(n, m))
+    while True:
+        block = block[:, :n - basis.shape[1]]
+        for _ in range(2):
+            block = np.linalg.qr(block - basis @ (basis.T @ block))[0]
+            weak = np.linalg.norm(basis.T @ block, axis=0) > 1e-8  # what was left of it was rounding
+            if weak.any():
+                block[:, weak] = rng.normal(size=(n, weak.sum()))
+        block = np.linalg.qr(block - basis @ (basis.T @ block))[0]
+        basis, image = np.hstack([basis, block]), np.hstack([image, matrix @ block])
+        small = basis.T @ image
+        values, turn = np.linalg.eigh((small + small.T) / 2)
+        values, turn = values[:m], turn[:, :m]
+        if basis.shape[1] >= 3 * m or basis.shape[1] == n:
+            rest = image @ turn - (basis @ turn) * values
+            if basis.shape[1] == n or np.linalg.norm(rest, axis=0).max() <= tol:
+                return values, basis @ turn
+        block = image[:, -block.shape[1]:]
+
+
+def modes(x: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """The ``m`` smallest eigenvalues and modes of the Laplacian, all of them if they are more than an eighth."""
+    lap = graph(x)
+    if lap is None:
+        return None
+    if 8 * m > len(lap) or "full" in _LAST:
+        values, vectors = spectrum(x)
+        return values[:m], vectors[:, :m]
+    if _LAST.get("part", (np.zeros(0),))[0].size < m:
+        _LAST["part"] = lanczos(lap, m)
+    values, vectors = _LAST["part"]
+    return values[:m], vectors[:, :m]
+
+
+def harmonic_modes(x: np.ndarray, k: int, scale: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(eigenvalues, energies) of the ``k`` first non-constant modes; empty if there is no graph."""
     if len(x) < 3:
         return np.zeros(0), np.zeros(0)
     z = x - x.mean(0)
     if scale:
         z = z / (z.std(0, ddof=1) + EPS)
-    found = spectrum(z) if scale else spectrum(x)
+    found = modes(z if scale else x, min(k + 2, len(x)))
     if found is None:
         return np.zeros(0), np.zeros(0)
-    values, modes = found
-    return np.maximum(values, 0)[1:], ((z.T @ modes[:, 1:]) ** 2).sum(0) / z.shape[1]
+    values, vectors = found[0][1:k + 1], found[1][:, 1:k + 1]
+    return np.maximum(values, 0), ((z.T @ vectors) ** 2).sum(0) / z.shape[1]
 
 
 def harmonic_score(x: np.ndarray, k: int = 10, sigma2: float = 1.0) -> dict[str, float]:
-    lam, energy = harmonic_modes(x)
+    lam, energy = harmonic_modes(x, max(k, 9))
     if not len(lam):
         return {"score": np.nan}
     top = slice(0, min(k, len(lam)))
     rho = 1 / max(sigma2, EPS) + lam[top]
     return {"score": float(np.log1p((rho * energy[top]).sum())), "lambda2": float(lam[0]), "lambda10": float(lam[8]) if len(lam) > 8 else np.nan,
-            "energy_sum": float(energy[top].sum()), "precision_mean": float(rho.mean()), "selected_k": float(len(rho)), "n_modes_available": float(len(lam))}
+            "energy_sum": float(energy[top].sum()), "precision_mean": float(rho.mean()), "selected_k": float(len(rho)), "n_modes_available": float(len(x) - 1)}
 
 
 def spectral_gap(x: np.ndarray) -> dict[str, float]:
-    found = spectrum(x)
-    if found is None:
+    lap = graph(x)
+    if lap is None:
         return {"lambda2": np.nan, "lambda3": np.nan, "n_components": float(len(x)), "spectral_entropy": np.nan}
-    values = np.maximum(found[0], 0)
+    values = np.maximum(_LAST["full"][0] if "full" in _LAST else np.linalg.eigvalsh(lap), 0)
     rest = values[1:] / max(values[1:].sum(), EPS)
     return {"lambda2": float(values[1]) if len(values) > 1 else np.nan, "lambda3": float(values[2]) if len(values) > 2 else np.nan, "n_components": float((values <= 1e-6).sum()),
             "spectral_entropy": float(-(rest[rest > EPS] * np.log(rest[rest > EPS])).sum())}
@@ -185,8 +239,7 @@ def matrix_entropy(x: np.ndarray) -> dict[str, float]:
 def two_nn(x: np.ndarray) -> dict[str, float]:
     if len(x) < 3:
         return {"dimension": np.nan}
-    sq = (x * x).sum(1)
-    d2 = np.maximum(sq[:, None] + sq[None, :] - 2 * x @ x.T, 0)
+    d2 = np.maximum(squared_distances(x, x), 0)
     np.fill_diagonal(d2, np.inf)
     r = np.sqrt(np.sort(d2, axis=1)[:, :2])
     r = r[r[:, 0] > EPS]
@@ -235,31 +288,28 @@ def lidar(views: np.ndarray, delta: float = 1e-4) -> dict[str, float]:
     return {"score": float(np.exp(-(p * np.log(p)).sum()))}
 
 
-def partial_spectrum(x: np.ndarray, k: int = 10, rounds: int = 200) -> np.ndarray:
-    """The ``k + 2`` smallest eigenvalues of the Laplacian by subspace iteration on ``2I - L``."""
-    lap = laplacian(affinity(x - x.mean(0)))
-    m = min(k + 2, len(lap))
-    basis = np.linalg.qr(np.random.default_rng(0).normal(size=(len(lap), min(len(lap), m + 8))))[0]
-    shifted = 2 * np.eye(len(lap)) - lap
-    for _ in range(rounds):
-        basis = np.linalg.qr(shifted @ (shifted @ basis))[0]
-    return np.sort(np.linalg.eigvalsh(basis.T @ lap @ basis))[:m]
-
+def partial_validation(reps: DataFrame, k: int = 10, sigma2: float = 1.0, keys: list[str] = CANDIDATE) -> DataFrame:
+    """The partial solver (``k + 2`` modes) against the full one: relative error of the score, the largest error of an
+    eigenvalue, the error of the projector on the ``k`` modes (Frobenius, over the square root of 2k), the gap
+    behind the last of them, and whether score and projector are within 1e-6 and 1e-5. Nulls below ``k + 3`` items."""
+    fields = ["score_error", "eigenvalue_error", "projector_error", "boundary_gap"]
 
-def partial_validation(reps: DataFrame, k: int = 10, rounds: int = 200, keys: list[str] = CANDIDATE) -> DataFrame:
-    """The partial solver against the full one: largest eigenvalue error, relative error of the score's
-    ``1 / sigma2 + lambda`` sum, and the gap behind the last eigenvalue kept, which decides how fast it converges."""
     def run(key, pdf):
         x = _matrix(pdf)
-        found = spectrum(x)
-        if found is None or len(x) < k + 3:
-            return pd.DataFrame([(*key, np.nan, np.nan, np.nan)], columns=[*keys, "eigenvalue_error", "precision_error", "boundary_gap"])
-        part, full = partial_spectrum(x, k, rounds), found[0]
-        own, true = (np.sum(1 + v[1:k + 1]) for v in (part, full))
-        return pd.DataFrame([(*key, np.abs(part - full[:k + 2]).max(), abs(own - true) / true, full[k + 2] - full[k + 1])], columns=[*keys, "eigenvalue_error", "precision_error", "boundary_gap"])
+        lap = graph(x)
+        if lap is None or len(x) < k + 3:
+            return pd.DataFrame([(*key, *[np.nan] * 4, None)], columns=[*keys, *fields, "passed"])
+        z = x - x.mean(0)
+        part, full = lanczos(lap, k + 2), np.linalg.eigh(lap)
+        score = lambda v, q: np.log1p(((1 / sigma2 + np.maximum(v[1:k + 1], 0)) * ((z.T @ q[:, 1:k + 1]) ** 2).sum(0) / z.shape[1]).sum())
+        own, true = score(*part), score(*full)
+        p, q = part[1][:, 1:k + 1], full[1][:, 1:k + 1]
+        error, turned = abs(own - true) / max(abs(true), 1e-15), np.linalg.norm(p @ p.T - q @ q.T) / np.sqrt(2 * k)
+        found = error, np.abs(part[0] - full[0][:k + 2]).max(), turned, full[0][k + 1] - full[0][k]
+        return pd.DataFrame([(*key, *found, bool(error <= 1e-6 and turned <= 1e-5))], columns=[*keys, *fields, "passed"])
 
     kinds = ", ".join(f"{c} {t}" for c, t in reps.select(*keys).dtypes)
-    return reps.select(*keys, "item_id", "vec").groupBy(*keys).applyInPandas(run, f"{kinds}, eigenvalue_error double, precision_error double, boundary_gap double")
+    return reps.select(*keys, "item_id", "vec").groupBy(*keys).applyInPandas(run, f"{kinds}, {', '.join(f'{c} double' for c in fields)}, passed boolean")
 
 
 #: Metrics of a single view by name; ``register`` adds others.
@@ -328,13 +378,12 @@ def score_lidar(views: DataFrame, keys: list[str] = CANDIDATE) -> DataFrame:
 def harmonic_curves(reps: DataFrame, k_max: int = 80, sigma2: float = 1.0, keys: list[str] = CANDIDATE) -> DataFrame:
     """``k, lambda, energy, rho, mass, h_k``: the score for every number of modes up to ``k_max``."""
 
-    def modes(key, pdf):
-        lam, energy = harmonic_modes(_matrix(pdf))
-        lam, energy = lam[:k_max], energy[:k_max]
+    def curve(key, pdf):
+        lam, energy = harmonic_modes(_matrix(pdf), k_max)
         return pd.DataFrame({**{k: [v] * len(lam) for k, v in zip(keys, key)}, "k": np.arange(1, len(lam) + 1), "lambda": lam, "energy": energy})
 
     kinds = ", ".join(f"{k} {t}" for k, t in reps.select(*keys).dtypes)
-    found = reps.select(*keys, "item_id", "vec").groupBy(*keys).applyInPandas(modes, f"{kinds}, k int, lambda double, energy double")
+    found = reps.select(*keys, "item_id", "vec").groupBy(*keys).applyInPandas(curve, f"{kinds}, k int, lambda double, energy double")
     return curve_of_modes(found, keys, sigma2)
 
 
@@ -358,15 +407,3 @@ def curvature(reps: DataFrame, k: int = 1, keys: list[str] = CANDIDATE) -> DataF
     pair = steps.select(*keys, minus("vec", "_p").alias("a"), minus("_n", "vec").alias("b"), F.size("vec").alias("d"))
     cosine = dot(F.col("a"), F.col("b")) / F.greatest(row_norm(F.col("a")) * row_norm(F.col("b")), F.lit(EPS))
     return pair.groupBy(*keys).agg(F.avg(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))).alias("curvature"), F.max("d").alias("d")).withColumn("curvature_norm", F.col("curvature") / F.ln(F.greatest("d", F.lit(2)))).drop("d")
-
-
-def bandwidth(reps: DataFrame, keys: list[str] = CANDIDATE) -> DataFrame:
-    """``tau2``: half the lower median of the positive squared distances; 1 without any."""
-    def run(key, pdf):
-        x = _matrix(pdf)
-        sq = (x * x).sum(1)
-        d2 = np.sort((sq[:, None] + sq[None, :] - 2 * x @ x.T)[np.triu_indices(len(x), 1)])
-        d2 = d2[d2 > 0]
-        return pd.DataFrame([(*key, max(0.5 * d2[(len(d2) - 1) // 2], EPS) if len(d2) else 1.0)], columns=[*keys, "tau2"])
-
-    return reps.select(*keys, "item_id", "vec").groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {t}" for k, t in reps.select(*keys).dtypes) + ", tau2 double")

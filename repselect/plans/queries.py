@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from repselect.functions import scalars as S
-from repselect.operators import evaluators as E, ranking as H, sampling as C, statistics as I, summaries as G, validation as J, vectors as D
+from repselect.operators import evaluators as E, ranking as H, sampling as C, statistics as I, summaries as G, tiles as N, validation as J, vectors as D
 from repselect.sources import tables as A
 from repselect.sources.fixtures import COHORT, COHORT_SQL, REPS_SQL, cohort, reps, sql_with, view
 from repselect.session import table
@@ -299,13 +299,36 @@ def d4_cosine_pairs(spark, sf_dir):
     return pairs(spark, sf_dir).select("vec_id", "cosine")
 
 
-DIST = f"""WITH {COHORT_SQL}, d2 AS (SELECT a.model_alias, a.layer, a.item_id AS i, b.item_id AS j, list_sum(list_transform(list_zip(a.vec, b.vec), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)) AS d2
-  FROM reps a JOIN reps b ON a.model_alias = b.model_alias AND a.layer = b.layer AND a.item_id < b.item_id)"""
+DIST = f"""WITH {REPS_SQL}, d2 AS (SELECT a.model_alias, a.layer, a.item_id AS i, b.item_id AS j, list_sum(list_transform(list_zip(a.vec, b.vec), lambda p: (p[1]::DOUBLE - p[2]::DOUBLE) ** 2)) AS d2
+  FROM reps a JOIN reps b ON a.model_alias = b.model_alias AND a.layer = b.layer AND a.item_id < b.item_id),
+  tau AS (SELECT model_alias, layer, 0.5 * quantile_disc(d2, 0.5) AS tau2 FROM d2 WHERE d2 > 0 GROUP BY ALL)"""
+BOTH = "both_ways AS (SELECT model_alias, layer, i, j, d2 FROM d2 UNION ALL SELECT model_alias, layer, j, i, d2 FROM d2)"
+NEAR = "near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_alias, layer, i ORDER BY d2, j) AS place FROM both_ways) WHERE place <= {})"
+#: Neighbours of an item in the sparse graph.
+NEIGHBOURS = 10
 
 
-@query(f"{DIST} SELECT model_alias, layer, {r('0.5 * quantile_disc(d2, 0.5) AS tau2', digits=6)} FROM d2 WHERE d2 > 0 GROUP BY ALL", digits=6)
+@query(f"{DIST} SELECT model_alias, layer, {r('tau2', digits=6)} FROM tau", digits=6)
 def d5_bandwidth(spark, sf_dir):
-    return D.bandwidth(cohort(spark, sf_dir)).drop("task")
+    return N.bandwidth(N.item_blocks(reps(spark, sf_dir))).drop("task")
+
+
+@query(f"""{DIST}, {BOTH} SELECT model_alias, layer, i AS item_id, {r('sum(exp(-d2 / (2 * tau2 + 1e-12))) AS degree', digits=6)} FROM both_ways JOIN tau USING (model_alias, layer) GROUP BY ALL""", digits=6)
+def d6_affinity_degrees(spark, sf_dir):
+    blocks = N.item_blocks(reps(spark, sf_dir))
+    return N.degrees(blocks, N.bandwidth(blocks)).drop("task")
+
+
+@query(f"""{DIST}, {BOTH}, {NEAR.format(NEIGHBOURS)} SELECT model_alias, layer, least(i, j) AS item_id, greatest(i, j) AS other, {r('sum(exp(-d2 / (2 * tau2 + 1e-12)) / 2) AS weight', digits=7)} FROM near JOIN tau USING (model_alias, layer) GROUP BY ALL""", digits=7)
+def d7_knn_graph(spark, sf_dir):
+    blocks = N.item_blocks(reps(spark, sf_dir))
+    return N.knn_graph(N.nearest(blocks, NEIGHBOURS), N.bandwidth(blocks)).drop("task")
+
+
+@query(f"""WITH {REPS_SQL}, n AS (SELECT model_alias, layer, item_id, list_transform(vec, lambda x: x::DOUBLE) AS v FROM reps)
+  SELECT a.model_alias, a.layer, {r('avg(abs(list_cosine_similarity(a.v, b.v))) AS mean_abs_cosine', digits=7)} FROM n a JOIN n b ON a.model_alias = b.model_alias AND a.layer = b.layer AND a.item_id <> b.item_id GROUP BY ALL""", digits=7)
+def d16_mean_abs_cosine(spark, sf_dir):
+    return N.mean_abs_cosine(N.item_blocks(reps(spark, sf_dir))).drop("task")
 
 
 @query(digits=6)
@@ -371,11 +394,10 @@ def d19_curvature(spark, sf_dir):
     return D.curvature(reps(spark, sf_dir)).drop("task")
 
 
-@query(f"""{DIST}, n AS (SELECT model_alias, layer, i, d2 FROM d2 UNION ALL SELECT model_alias, layer, j, d2 FROM d2),
-  two AS (SELECT model_alias, layer, i, sqrt(min(d2)) AS r1, sqrt(max(d2)) AS r2 FROM (SELECT *, row_number() OVER (PARTITION BY model_alias, layer, i ORDER BY d2) AS rn FROM n) WHERE rn <= 2 GROUP BY ALL)
+@query(f"""{DIST}, {BOTH}, {NEAR.format(2)}, two AS (SELECT model_alias, layer, i, sqrt(min(d2)) AS r1, sqrt(max(d2)) AS r2 FROM near GROUP BY ALL)
   SELECT model_alias, layer, {r("1 / (avg(ln(r2 / r1 + 1e-12)) + 1e-12) AS dimension", digits=4)} FROM two WHERE r1 > 1e-12 GROUP BY ALL""", digits=4)
 def d18_two_nn(spark, sf_dir):
-    return D.score_candidates(cohort(spark, sf_dir), ["two_nn"]).select("model_alias", "layer", F.col("value").alias("dimension"))
+    return N.two_nn(N.nearest(N.item_blocks(reps(spark, sf_dir)), 2)).drop("task")
 
 
 def two_views(spark, sf_dir):

@@ -43,9 +43,8 @@ def test_kernels():
     rng = np.random.default_rng(7)
     x = rng.normal(size=(40, 9))
     found = vectors.harmonic_score(x, 5)
-    lam, energy = vectors.harmonic_modes(x)
+    lam, energy = vectors.harmonic_modes(x, 39)
     assert np.isclose(found["score"], np.log1p(((1 + lam[:5]) * energy[:5]).sum())) and np.isnan(vectors.harmonic_score(x[:2])["score"])
-    assert np.allclose(vectors.partial_spectrum(x, 5, 2000), np.linalg.eigvalsh(vectors.laplacian(vectors.affinity(x - x.mean(0))))[:7], atol=1e-6)
     # a label that is the sign of one coordinate can be learnt; a constant label is always right
     y = (x[:, 0] > 0).astype(int)
     far = x + 6 * np.eye(9)[0] * (2 * y - 1)[:, None]
@@ -101,15 +100,15 @@ def test_curves_and_concentration(spark):
     rng = np.random.default_rng(11)
     x = rng.normal(size=(25, 6)) * [5, 1, 1, 1, 1, 1]
     df = spark.createDataFrame([("m", "t", 1, k, row.tolist()) for k, row in enumerate(x)], "model_alias string, task string, layer int, item_id long, vec array<double>")
-    lam, energy = vectors.harmonic_modes(x)
+    lam, energy = vectors.harmonic_modes(x, 24)
     rows = sorted(vectors.harmonic_curves(df, 8).collect(), key=lambda r: r.k)
     part = np.cumsum((1 + lam[:8]) * energy[:8])
     assert [r.k for r in rows] == list(range(1, 9)) and np.allclose([r.h_k for r in rows], np.log1p(part)) and np.allclose([r.mass for r in rows], part / part[-1])
     got = vectors.gram_metrics(df).first()
     values = np.linalg.eigvalsh(np.cov(x.T))
     assert np.isclose(got.concentration, values[-1] / values.sum()) and np.isclose(got.participation_ratio, values.sum() ** 2 / (values ** 2).sum())
-    told = vectors.partial_validation(df, 5, 3000).first()
-    assert told.eigenvalue_error < 1e-6 and told.precision_error < 1e-6
+    told = vectors.partial_validation(df, 5).first()
+    assert told.passed and max(told.score_error, told.eigenvalue_error, told.projector_error) < 1e-9
     bad = vectors.score_candidates(df, ["harmonic", "missing"]).where("error is not null").collect()
     assert [r.metric for r in bad] == ["missing"]
     with pytest.raises(Exception):
