@@ -8,9 +8,12 @@ and the exact Jaccard similarity of the whole sets decides on every one of them.
    distance. So all others come from shared rare shingles: of two sets with a similarity of at least ``s`` both
    have an element in common among their first ``n - ceil(s * n) + 1`` in any order that all sets share. In
    such a bucket fingerprints within ``FAR`` bits are candidates, and of these only pairs whose wide fingerprints
-   of 256 bits differ in at most ``WIDE``, so that few whole sets are moved. Elements that stand early in many sets
-   are put last in the order, which only keeps buckets small; a large bucket is dealt out in parts and pairs of
-   parts, never cut.
+   of 256 bits differ in at most ``WIDE``, so that few whole sets are moved. Elements of many texts are put last in
+   the order, so that the others, a text's own, stand first and small buckets come before large ones. A large bucket
+   is dealt out in parts and pairs of parts, never cut. In the bucket of an element of many texts, members carry a
+   bitmap of their own elements: each bit that only one of two sets has stands for an element the other lacks, and
+   pairs that lack too many are dropped. Pages of one template, which share most but not enough, end there, before
+   they become pairs; the bound is exact.
 
 Fingerprints of a similarity of 0.8 differ in 8 to 10 bits with a deviation of 3 (12 bits for a set of four), so
 ``FAR`` and ``FAR_SHORT`` lose fewer than two such pairs in 100,000, whatever the sizes, and the wide ones, 41 bits
@@ -28,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from repselect.llm import simhash
+from repselect.llm.bpe import runs
 from repselect.llm.components import connected_components
 from repselect.llm.quality import BLANKS
 from repselect.llm.rows import all_columns
@@ -39,9 +43,13 @@ NEAR, FAR = 2, 24
 SHORT, FAR_SHORT = 5, 28
 #: Fingerprints of 64 bits that make a wide one, its bits within which pairs stay, and those of short sets.
 PARTS, WIDE, WIDE_SHORT = 4, 72, 82
-#: Members of a bucket that are compared at once. Elements found early in more texts than that go to the end of
-#: the order, those of most texts first, up to a number that may be broadcast (8 bytes each).
-BUCKET, LAST = 1024, 1 << 20
+#: Members of a bucket that are compared at once.
+BUCKET = 1024
+#: Elements of more texts than this go to the end of the order, those of most texts first, up to a number that may
+#: be broadcast (8 bytes each).
+OFTEN, LAST = 32, 1 << 20
+#: Elements of a run of texts in which repeated ones are counted.
+COUNTED = 1 << 22
 #: Words of 64 bits of a bitmap of hashes (2 MB), which is broadcast. It only spares rows that would find no
 #: partner; when it is too full for that, nothing else changes.
 WORDS = 1 << 18
@@ -87,13 +95,57 @@ def least_common(n: int, similarity: float) -> int:
     return math.ceil(similarity * n - 1e-9)
 
 
-def early(own: np.ndarray, last: np.ndarray, similarity: float, times: int = 1) -> np.ndarray:
-    """The first elements of a set, ``times`` as many as it takes to meet every similar set."""
-    many = times * (len(own) - least_common(len(own), similarity) + 1)
-    if len(last) and len(own):
-        late = last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own
-        own = np.concatenate((own[~late], own[late]))
-    return own[:many]
+def _late(own: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Which elements of a set go to the end of the order."""
+    if not len(last) or not len(own):
+        return np.zeros(len(own), bool)
+    return last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own
+
+
+def early(own: np.ndarray, last: np.ndarray, similarity: float) -> tuple[np.ndarray, int, bytes]:
+    """The first elements of a set, as many as it takes to meet every similar set; how many of them are not in
+    ``last``; and, if that is not all of them, a bitmap of all the set's elements that are not.
+
+    The bitmap has about a byte an element, a power of two, and times the elements of ``last`` among the first it
+    takes no more room than the set.
+    """
+    many = len(own) - least_common(len(own), similarity) + 1
+    late = _late(own, last)
+    rare = own[~late]
+    if len(rare) >= many or not len(own):
+        return rare[:many], min(many, len(rare)), b""
+    room = max(8 * len(own) // (many - len(rare)), 8)
+    size = 1 << min((max(len(rare), 8) - 1).bit_length(), room.bit_length() - 1)
+    bits = np.zeros(size * 8, bool)
+    bits[rare & np.uint64(size * 8 - 1)] = True
+    return np.concatenate((rare, own[late]))[:many], len(rare), np.packbits(bits, bitorder="little").tobytes()
+
+
+class Bitmaps:
+    """Bitmaps of a bucket's members, folded to the size of the smaller of a pair."""
+
+    def __init__(self, maps: list[bytes]):
+        self.maps, self.sizes = maps, np.array(list(map(len, maps)), np.int64)
+        self.folded: dict[int, np.ndarray] = {}
+
+    def _of(self, size: int) -> np.ndarray:
+        if size not in self.folded:
+            out = np.zeros((len(self.maps), size // 8), np.uint64)
+            for k in np.flatnonzero(self.sizes >= size):
+                out[k] = np.bitwise_or.reduce(np.frombuffer(self.maps[k], np.uint64).reshape(-1, size // 8), axis=0)
+            self.folded[size] = out
+        return self.folded[size]
+
+    def lacking(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """At least how many elements of members ``x[k]`` the members ``y[k]`` lack, and the other way round."""
+        out = np.zeros((2, len(x)), np.int64)
+        sizes = np.minimum(self.sizes[x], self.sizes[y])
+        for size in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == size)
+            a, b = self._of(size)[x[at]], self._of(size)[y[at]]
+            both = np.bitwise_count(a & b).sum(axis=1)
+            out[0, at], out[1, at] = np.bitwise_count(a).sum(axis=1) - both, np.bitwise_count(b).sum(axis=1) - both
+        return out[0], out[1]
 
 
 def _listed(found: list[np.ndarray]) -> pa.ListArray:
@@ -143,32 +195,36 @@ def _sets(noded: DataFrame, shingle: int) -> DataFrame:
     return noded.select("node", "text").mapInArrow(run, "node long, own binary")
 
 
-def _often(sets: DataFrame, similarity: float) -> np.ndarray:
-    """Elements that stand early in more than ``BUCKET`` texts, as far as batches tell: those that only one text
-    of a batch has are not counted. This decides the order only, so nothing hangs on what is missed."""
+def _often(sets: DataFrame) -> np.ndarray:
+    """Elements of more than ``OFTEN`` texts, as far as runs of texts tell: those that fewer than three of a run
+    have are not counted. This decides the order only, so nothing hangs on what is missed."""
     def run(batches):
         for batch in batches:
-            found = [early(x, np.zeros(0, np.uint64), similarity, 2) for x in _own(batch)]
-            keys, n = np.unique(np.concatenate([*found, np.zeros(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[n > 1].view(np.int64)), pa.array(n[n > 1].astype(np.int64))], ["key", "n"])
+            own = _own(batch)
+            for a, b in runs(list(map(len, own)), COUNTED):
+                keys, n = np.unique(np.concatenate([*own[a:b], np.zeros(0, np.uint64)]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[n > 2].view(np.int64)), pa.array(n[n > 2].astype(np.int64))], ["key", "n"])
 
-    counted = sets.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > BUCKET)
-    rows = counted.orderBy(F.desc("n"), "key").limit(LAST).collect()
-    return np.sort(np.array([r.key for r in rows], np.int64).view(np.uint64))
+    counted = sets.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > OFTEN)
+    rows = counted.orderBy(F.desc("n"), "key").limit(LAST).select("key").toPandas()
+    return np.sort(rows.key.to_numpy(np.int64).view(np.uint64))
 
 
 def _prefixes(sets: DataFrame, similarity: float, last) -> DataFrame:
-    """``node, n, fp, fp1.., keys``: one row a node, size and wide fingerprint of its set and the early elements."""
-    names = ["node", "n", "fp", *[f"fp{k}" for k in range(1, PARTS)], "keys"]
+    """``node, n, fp, fp1.., keys, rare, bits``: one row a node, size and wide fingerprint of its set, and what
+    ``early`` gives."""
+    names = ["node", "n", "fp", *[f"fp{k}" for k in range(1, PARTS)], "keys", "rare", "bits"]
 
     def run(batches):
         for batch in batches:
             found = _own(batch)
             keys = [early(x, last.value, similarity) for x in found]
             wide = [pa.array([fingerprint(x, k) for x in found], pa.int64()) for k in range(PARTS)]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(map(len, found), pa.int32()), *wide, _listed(keys)], names)
+            keys, rare, bits = zip(*keys) if keys else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("node"), pa.array(map(len, found), pa.int32()), *wide, _listed(list(keys)), pa.array(rare, pa.int32()), pa.array(bits, pa.binary())], names)
 
-    rows = sets.mapInArrow(run, "node long, n int, fp long, " + "".join(f"fp{k} long, " for k in range(1, PARTS)) + "keys array<long>")
+    rows = sets.mapInArrow(run, "node long, n int, fp long, " + "".join(f"fp{k} long, " for k in range(1, PARTS)) + "keys array<long>, rare int, bits binary")
     return rows.groupBy("node").agg(*[F.first(c).alias(c) for c in names[1:]])
 
 
@@ -182,20 +238,25 @@ def _held(sets: DataFrame, wanted) -> DataFrame:
 
 
 def _entries(prefixes: DataFrame) -> DataFrame:
-    """``key, node, n, fp, many``: a row for each early element that other nodes have early, too. Settled, and
-    ``prefixes``, which must be so, are released."""
+    """``key, node, n, fp, bits, many``: a row for each early element that other nodes have early, too; ``bits`` are
+    those of elements of many texts, else empty. Settled, and ``prefixes``, which must be so, are released."""
     keys = prefixes.select(F.explode("keys").alias("key"))
     shared = settled(keys.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"))
     bitmap = prefixes.sparkSession.sparkContext.broadcast(_bitmap(shared, "key"))
 
     def run(batches):
         for batch in batches:
-            keys = [x[_in(bitmap.value, x)] for x in _sets_of(batch.column("keys"))]
+            keys, bits = [], []
+            for own, rare, own_bits in zip(_sets_of(batch.column("keys")), batch.column("rare").to_pylist(), batch.column("bits").to_pylist()):
+                at = np.flatnonzero(_in(bitmap.value, own))
+                keys.append(own[at])
+                n_rare = int((at < rare).sum())
+                bits += [b""] * n_rare + [own_bits] * (len(at) - n_rare)
             many = np.array([len(k) for k in keys], np.int64)
             again = lambda c: pa.array(np.repeat(batch.column(c).to_numpy(), many))
-            yield pa.RecordBatch.from_arrays([_listed(keys).values, again("node"), again("n"), again("fp")], ["key", "node", "n", "fp"])
+            yield pa.RecordBatch.from_arrays([_listed(keys).values, again("node"), again("n"), again("fp"), pa.array(bits, pa.binary())], ["key", "node", "n", "fp", "bits"])
 
-    entries = settled(prefixes.select("node", "n", "fp", "keys").mapInArrow(run, "key long, node long, n int, fp long").join(shared, "key"))
+    entries = settled(prefixes.select("node", "n", "fp", "keys", "rare", "bits").mapInArrow(run, "key long, node long, n int, fp long, bits binary").join(shared, "key"))
     released(prefixes, shared)
     return entries
 
@@ -226,25 +287,34 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def _candidates(similarity: float, nearest: bool):
-    """Pairs ``a, b`` of buckets: of members with unlike roots, sizes that allow the similarity and fingerprints
-    within ``FAR`` bits (``FAR_SHORT`` if one is short); with ``nearest``, of each member and the one nearest to it. A member on side 0 meets
-    those of side 1, if its bucket has two."""
+    """Pairs ``a, b`` of buckets: of members with unlike roots, sizes that allow the similarity, fingerprints
+    within ``FAR`` bits (``FAR_SHORT`` if one is short) and bitmaps that don't rule it out; with ``nearest``, of each
+    member and the one nearest to it. A member on side 0 meets those of side 1, if its bucket has two."""
     def run(batches):
         for batch in batches:
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             column = batch.column("all")
             flat, at = column.values, column.offsets.to_numpy()
             node, n, fp, root, side = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+            own_bits = flat.field(5)
             bits = fp.view(np.uint64)
             for lo, hi in zip(at, at[1:]):
                 two = side[lo:hi].any()
                 rows = lo + np.flatnonzero(side[lo:hi] == 0)
                 cols = lo + np.flatnonzero(side[lo:hi] == 1) if two else rows
+                maps = Bitmaps(own_bits.slice(lo, hi - lo).to_pylist())
                 for k in range(0, len(rows), 256):
                     own = rows[k:k + 256]
                     far = np.bitwise_count(bits[own, None] ^ bits[None, cols])
                     small, large = np.minimum(n[own, None], n[None, cols]), np.maximum(n[own, None], n[None, cols])
                     fit = (far <= np.where(small < SHORT, FAR_SHORT, FAR)) & (root[own, None] != root[None, cols]) & (small >= similarity * large - 1e-9)
+                    if maps.sizes[0]:
+                        for at_once in np.array_split(np.flatnonzero(fit), -(-fit.sum() // (1 << 15)) or 1):
+                            i, j = np.unravel_index(at_once, fit.shape)
+                            p, q = own[i], cols[j]
+                            less_p, less_q = maps.lacking(p - lo, q - lo)
+                            common = np.minimum(n[p] - less_p, n[q] - less_q)
+                            fit[i, j] = common * (1 + similarity) >= similarity * (n[p].astype(np.int64) + n[q]) - 1e-6
                     if nearest:
                         best = np.where(fit, far, 255).argmin(axis=1)
                         i = np.flatnonzero(fit[np.arange(len(own)), best])
@@ -264,14 +334,14 @@ def _buckets(entries: DataFrame, turn: int, whole: bool) -> DataFrame:
     buckets also give all pairs of their parts."""
     parts = F.ceil(F.col("many") / BUCKET)
     part = F.pmod(F.xxhash64("node", F.lit(turn)), parts).cast("int")
-    dealt = entries.select("key", "node", "n", "fp", "root", parts.cast("int").alias("parts"), part.alias("part"))
+    dealt = entries.select("key", "node", "n", "fp", "bits", "root", parts.cast("int").alias("parts"), part.alias("part"))
     if whole:
         other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
         dealt = dealt.select("*", other.alias("other")).select(
-            "key", "node", "n", "fp", "root", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") > F.col("other")).cast("int").alias("side"))
+            "key", "node", "n", "fp", "bits", "root", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") > F.col("other")).cast("int").alias("side"))
     else:
-        dealt = dealt.select("key", "node", "n", "fp", "root", F.col("part").alias("p"), F.col("part").alias("q"), F.lit(0).alias("side"))
-    return dealt.groupBy("key", "p", "q").agg(F.collect_list(F.struct("node", "n", "fp", "root", "side")).alias("all"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("all")
+        dealt = dealt.select("key", "node", "n", "fp", "bits", "root", F.col("part").alias("p"), F.col("part").alias("q"), F.lit(0).alias("side"))
+    return dealt.groupBy("key", "p", "q").agg(F.collect_list(F.struct("node", "n", "fp", "root", "side", "bits")).alias("all"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("all")
 
 
 def links(noded: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -281,9 +351,9 @@ def links(noded: DataFrame, shingle: int, similarity: float) -> DataFrame:
     component by few comparisons; then every candidate that is still in two components is compared.
     """
     sets = settled(_sets(noded, shingle))
-    last = sets.sparkSession.sparkContext.broadcast(_often(sets, similarity))
+    last = sets.sparkSession.sparkContext.broadcast(_often(sets))
     prefixes = settled(_prefixes(sets, similarity, last))
-    wide = settled(prefixes.drop("keys"))  # node, n and the parts of the fingerprint
+    wide = settled(prefixes.drop("keys", "rare", "bits"))  # node, n and the parts of the fingerprint
     entries = _entries(prefixes)
     nodes = entries.select("node", "fp").distinct()  # only those that share a key matter from here on
     names = nodes.groupBy("fp").agg(F.min("node").alias("node"))  # nodes of one fingerprint meet in a star

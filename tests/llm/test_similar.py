@@ -59,3 +59,43 @@ def test_pipeline_stage_drops_edited_copies(spark, odd_docs, no_docs):
     got = Counter(r.doc_id for r in kept.collect())
     assert got.pop(None) == 2 and set(got.values()) == {1}
     assert similar.keep_one(no_docs).count() == 0
+
+
+def pages(n, shared, own, seed=1):
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(10 ** 6)}"
+    base = [word() for _ in range(shared)]
+    return [(k, " ".join([*base[:shared // 2], *[word() for _ in range(own)], *base[shared // 2:]])) for k in range(n)]
+
+
+def test_pages_of_a_template_make_few_pairs(spark, caplog):
+    """Pages that share 170 of 200 words are not similar: pairs to decide grow with the pages, not with their pairs."""
+    caplog.set_level("INFO", similar.LOG.name)
+    for n in (200, 400):
+        caplog.clear()
+        rows = pages(n, 170, 30) + [(1000 + k, t.replace("w", "v")) for k, t in pages(20, 170, 30)] + [(2000 + k, t + " x") for k, t in pages(3, 170, 30)]
+        got = similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+        assert sorted(map(tuple, got.collect())) == [(i, i % 2000 if i >= 2000 else i) for i in sorted(i for i, _ in rows)]
+        assert sum(r.args[2] for r in caplog.records) <= n
+
+
+def test_bitmaps_bound_what_sets_lack():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    last = np.sort(rng.integers(0, 1 << 63, 900).astype(np.uint64))
+    sets = []
+    for size in (5, 20, 90, 100, 150, 180):
+        own = rng.integers(0, 1 << 63, size).astype(np.uint64)
+        sets.append(np.unique(np.concatenate([own, rng.choice(last, 800 - size)])))
+        sets.append(np.unique(np.concatenate([own[:-2], rng.choice(last, 800 - size)])))
+    found = [similar.early(x, last, 0.8) for x in sets]
+    held = [k for k, (_, _, bits) in enumerate(found) if bits]
+    assert len(held) >= 8 and all(len(found[k][2]) * (len(found[k][0]) - found[k][1]) <= 8 * len(sets[k]) for k in held)
+    maps = similar.Bitmaps([found[k][2] for k in held])
+    x, y = np.indices((len(held), len(held))).reshape(2, -1)
+    less_x, less_y = maps.lacking(x, y)
+    for i, j, a, b in zip(x, y, less_x, less_y):
+        p, q = sets[held[i]], sets[held[j]]
+        assert a <= len(np.setdiff1d(p, q)) and b <= len(np.setdiff1d(q, p))
+    assert less_x.max() > 30
