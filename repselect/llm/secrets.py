@@ -11,6 +11,7 @@ base 64 and mixed case, at least 99.9 % reach the margin with the models of sf0.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -30,28 +31,42 @@ STATES = len(ALPHABET) + 1
 #: Most texts whose tokens are labelled samples (those of the smallest hash), and the least mean
 #: log-likelihood ratio of a transition.
 SAMPLE, MARGIN = 4000, 1.0
+#: Beyond any offset.
+FAR = (1 << 31) - 1
+SPANS = "array<struct<start:int,ord:int,stop:int,kind:string,word:string>>"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)``, the value worked out once however often the body names it, in lambdas, too."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def scan(values: Column, combine: Callable[[Column, Column], Column], empty: Column, back: bool = False) -> Column:
+    """Running ``combine`` of an array from its front, or from its end if ``back``.
+
+    Each step combines elements twice as far apart as the one before, so an array of n elements takes log n passes
+    and nothing is copied element by element.
+    """
+    doubling = F.array(*[F.lit(1 << k) for k in range(30)])
+    step = lambda a, s: F.transform(a, lambda x, i: combine(x, F.coalesce(F.get(a, i + s if back else i - s), empty)))
+    return let(values, lambda v: F.aggregate(F.filter(doubling, lambda s: s < F.size(v)), v, step))
 
 
 def spans_of(text: Column, pattern: str, group: int, least: int, kind: str, order: int) -> Column:
-    """``array<struct(start, ord, stop, kind)>`` of the matches whose ``group`` has ``least`` characters.
+    """``array<struct(start, ord, stop, kind, word)>`` of the matches whose ``group`` has ``least`` characters.
 
     The pieces between the matches and the matches themselves alternate, so their lengths in code points
     add up to the offsets.
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     held = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(F.transform(F.slice(gaps, 1, F.size(whole)), F.char_length), F.arrays_zip(whole.alias("w"), held.alias("g")),
-                       lambda gap, m: F.struct(gap.alias("gap"), F.char_length(m["w"]).alias("n"), F.char_length(m["g"]).alias("g")))
-    empty = F.array().cast("array<struct<start:int,ord:int,stop:int,kind:string>>")
-    walk = F.aggregate(
-        steps, F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda a, m: F.struct(
-            (a["at"] + m["gap"] + m["n"]).alias("at"),
-            F.when(m["g"] >= least, F.concat(a["out"], F.array(F.struct(
-                (a["at"] + m["gap"]).alias("start"), F.lit(order).alias("ord"), (a["at"] + m["gap"] + m["n"]).alias("stop"), F.lit(kind).alias("kind"))))).otherwise(a["out"]).alias("out")),
-        lambda a: a["out"])
-    return F.when(F.size(F.filter(held, lambda x: F.char_length(x) >= least)) > 0, walk).otherwise(empty)
+    gaps = F.transform(F.split(text, pattern, -1), F.char_length)
+    steps = F.filter(F.zip_with(gaps, F.arrays_zip(whole.alias("w"), held.alias("g")), lambda gap, m: F.struct(
+        gap.alias("gap"), F.char_length(m["w"]).alias("n"), F.char_length(m["g"]).alias("g"), m["w"].alias("w"))), lambda m: m["w"].isNotNull())
+    ends = lambda v: F.zip_with(v, scan(F.transform(v, lambda m: m["gap"] + m["n"]), lambda x, y: x + y, F.lit(0)), lambda m, end: F.struct(m["n"].alias("n"), m["g"].alias("g"), m["w"].alias("w"), end.alias("end")))
+    spans = F.transform(F.filter(let(steps, ends), lambda m: m["g"] >= least), lambda m: F.struct(
+        (m["end"] - m["n"]).alias("start"), F.lit(order).alias("ord"), m["end"].alias("stop"), F.lit(kind).alias("kind"), m["w"].alias("word")))
+    return F.when(F.exists(held, lambda x: F.char_length(x) >= least), spans).otherwise(F.array().cast(SPANS))
 
 
 def base_spans(text: Column) -> Column:
@@ -62,7 +77,7 @@ def base_spans(text: Column) -> Column:
             pattern = f"(?<![0-9a-f])[0-9a-f]{{{least},}}+"
         if kind == "access":  # likewise: a run of 20 or more is the first in its row of letters
             parts.append(F.when(F.contains(text, F.lit("AKIA")), spans_of(text, pattern, group, least, kind, order)).otherwise(
-                F.array().cast("array<struct<start:int,ord:int,stop:int,kind:string>>")))
+                F.array().cast(SPANS)))
             continue
         parts.append(spans_of(text, pattern, group, least, kind, order))
     return F.sort_array(F.concat(*parts))
@@ -129,21 +144,26 @@ def ratio(token: Column, model: list[float]) -> Column:
 
 
 def with_spans(docs: DataFrame, keep: list[str], model: list[float], margin: float = MARGIN) -> DataFrame:
-    """``keep``, then ``base_spans`` and ``spans``: sorted ``array<struct(start, ord, stop, kind)>`` of each
+    """``keep``, then ``base_spans`` and ``spans``: sorted ``array<struct(start, ord, stop, kind, word)>`` of each
     whole ``text``; columns in ``keep`` must not bear these names.
 
     Base spans stay as they are; a token with letters and digits whose ratio reaches ``margin`` is added
-    unless it overlaps one. Offsets count code points, ends exclusive. Null texts have none.
+    unless it overlaps one. Offsets count code points, ends exclusive. Null texts have none. Work grows with a text's
+    spans and their logarithm: overlaps are told by the farthest end of the base spans that begin before a token
+    and the nearest start of those that follow.
     """
     one = docs.select(*keep, F.coalesce("text", F.lit("")).alias("_t"))
-    none = F.array().cast("array<struct<start:int,ord:int,stop:int,kind:string>>")
-    tokens = F.when(F.col("_t").rlike(TOKEN), spans_of(F.col("_t"), TOKEN, 0, 20, MARKOV, len(KINDS))).otherwise(none)
-    two = one.select(*keep, "_t", base_spans(F.col("_t")).alias("base_spans"), tokens.alias("_more"))
-    inside = lambda s: F.substring(F.col("_t"), s["start"] + 1, s["stop"] - s["start"])
-    fresh = F.filter("_more", lambda s: ~F.exists("base_spans", lambda b: (b["start"] < s["stop"]) & (b["stop"] > s["start"])))
-    odd = F.filter(fresh, lambda s: inside(s).rlike("[0-9]") & inside(s).rlike("[A-Za-z]") & (ratio(inside(s), model) >= margin))
-    added = F.when(F.size("_more") > 0, odd).otherwise(F.col("_more"))
-    return two.select(*keep, "base_spans", F.sort_array(F.concat("base_spans", added)).alias("spans"))
+    tokens = F.when(F.col("_t").rlike(TOKEN), spans_of(F.col("_t"), TOKEN, 0, 20, MARKOV, len(KINDS))).otherwise(F.array().cast(SPANS))
+    two = one.select(*keep, base_spans(F.col("_t")).alias("base_spans"), tokens.alias("_more"))
+    base = lambda s: s["ord"] < len(KINDS)
+    farthest = lambda v: scan(F.transform(v, lambda s: F.when(base(s), s["stop"]).otherwise(0)), F.greatest, F.lit(0))
+    nearest = lambda v: scan(F.transform(v, lambda s: F.when(base(s), s["start"]).otherwise(FAR)), F.least, F.lit(FAR), back=True)
+    placed = let(F.sort_array(F.concat("base_spans", "_more")), lambda v: F.zip_with(
+        F.zip_with(v, farthest(v), lambda s, x: F.struct(s.alias("s"), x.alias("before"))), nearest(v), lambda p, y: F.struct(p["s"].alias("s"), p["before"].alias("before"), y.alias("after"))))
+    odd = lambda s: s["word"].rlike("[0-9]") & s["word"].rlike("[A-Za-z]") & (ratio(s["word"], model) >= margin)
+    added = F.transform(F.filter(placed, lambda p: ~base(p["s"]) & (p["before"] <= p["s"]["start"]) & (p["after"] >= p["s"]["stop"]) & odd(p["s"])), lambda p: p["s"])
+    spans = F.when(F.size("_more") > 0, F.sort_array(F.concat("base_spans", added))).otherwise(F.col("base_spans"))
+    return two.select(*keep, "base_spans", spans.alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -171,13 +191,13 @@ def redact(docs: DataFrame, margin: float = MARGIN) -> DataFrame:
     whole = docs.select(whole_row(docs).alias("_row"), "text")
     found = with_spans(whole, ["_row"], train(samples(docs)), margin)
     text = F.col("_row")["text"]
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    walk = F.aggregate(
-        "spans", start,
-        lambda a, s: F.when(s["start"] >= a["at"], F.struct(
-            s["stop"].alias("at"), F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("<secret>")).alias("out"))).otherwise(
-            F.struct(F.greatest(a["at"], s["stop"]).alias("at"), a["out"].alias("out"))),
-        lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text))))
+    # a span that begins where all before it have ended starts a new secret
+    ends = let(F.col("spans"), lambda v: F.zip_with(v, scan(F.transform(v, lambda s: s["stop"]), F.greatest, F.lit(0)), lambda s, x: F.struct(s["start"].alias("start"), x.alias("end"))))
+    behind = let(ends, lambda v: F.transform(v, lambda s, i: F.struct(F.coalesce(F.get(v, i - 1)["end"], F.lit(0)).alias("at"), s["start"].alias("start"), s["end"].alias("end"))))
+    piece = lambda chars, at, n: F.array_join(F.slice(chars, at + 1, n), "")
+    walk = let(F.struct(behind.alias("b"), F.split(text, "").alias("chars")), lambda v: F.concat(
+        F.array_join(F.transform(F.filter(v["b"], lambda s: s["start"] >= s["at"]), lambda s: F.concat(piece(v["chars"], s["at"], s["start"] - s["at"]), F.lit("<secret>"))), ""),
+        piece(v["chars"], F.element_at(v["b"], -1)["end"], F.size(v["chars"]))))
     any_span = F.size("spans") > 0
     clean = found.select("_row", any_span.alias("_any"), F.when(any_span, walk).otherwise(text).alias("_clean"))
     new = {"text": F.col("_clean"), "n_chars": F.when(F.col("_any"), F.char_length("_clean").cast("long")).otherwise(F.col("_row")["n_chars"]) if "n_chars" in docs.columns else None}

@@ -236,3 +236,31 @@ def test_languages(documents, odd_docs, no_docs):
     assert langid.identify(no_docs, model).count() == 0
     empty = langid.train(no_docs)
     assert {r.lang_pred for r in langid.identify(odd_docs, empty).collect()} == {"und"}
+
+
+def test_text_with_very_many_secrets(spark):
+    """Spans by log passes: thousands of matches of several kinds that touch and overlap, in one text."""
+    import random
+    import re
+
+    from repselect.llm import secrets
+
+    rng = random.Random(3)
+    parts = []
+    for k in range(3000):
+        parts.append(rng.choice(["%024x" % rng.getrandbits(96), "token=" + "%x" % rng.getrandbits(40), "secret: %026x" % rng.getrandbits(104), "é", "AKIA" + "Q" * 17]))
+    text = " ".join(parts)
+    want = []
+    for order, (kind, (pattern, group, least)) in enumerate(secrets.KINDS.items()):
+        pattern = pattern.replace("(?i:password|passwd|secret|token|api_?key)", "(?:token|secret)")
+        want += [(m.start(), order, m.end(), kind) for m in re.finditer(pattern, text) if len(m.group(group)) >= least]
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = secrets.with_spans(df, ["doc_id"], [0.0] * secrets.STATES ** 2).first()
+    assert [tuple(s)[:4] for s in got.base_spans] == sorted(want) and got.spans == got.base_spans
+    out, at = [], 0
+    for start, _, stop, _ in sorted(want):
+        if start >= at:
+            out.append(text[at:start] + "<secret>")
+            at = stop
+        at = max(at, stop)
+    assert secrets.redact(df).first().text == "".join(out) + text[at:]
