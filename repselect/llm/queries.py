@@ -148,19 +148,26 @@ SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c.component_id, e.vec_id =
 FROM embeddings e JOIN c USING (vec_id) LEFT JOIN n USING (vec_id)
 """
 
-OP10_SQL = rf"""
+_HEAD = """'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || k || '>' || chr(13) || chr(10)
+    || 'WARC-Date: {date}' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+    || 'Content-Length: ' || strlen({body}) || chr(13) || chr(10) || chr(13) || chr(10) || {body}"""
+
+OP10_SQL = f"""
 WITH p AS (
-  SELECT page_id, url, coalesce(html, '') AS h, coalesce(page_id::VARCHAR, 'none') AS k FROM pages),
-r AS (
-  SELECT page_id, url, k, h, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || k || '>' || chr(13) || chr(10)
-    || 'WARC-Date: {warc.DATE}' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(h) || chr(13) || chr(10) || chr(13) || chr(10) || h AS rec
-  FROM p),
-o AS (SELECT *, strlen(rec) + 4 AS record_length, row_number() OVER (ORDER BY page_id NULLS FIRST, url NULLS FIRST, sha256(rec)) - 1 AS rank FROM r)
-SELECT page_id, rank // {warc.PER_FILE} AS warc_file,
-  coalesce(sum(record_length) OVER (PARTITION BY rank // {warc.PER_FILE} ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS record_offset,
-  record_length, sha256(rec) AS record_sha256,
-  CASE WHEN page_id % 97 = 0 AND strlen(right(h, 1)) = 1 AND right(h, 1) <> '~' THEN 'corrupt' ELSE 'ok' END AS status
-FROM o
+  SELECT page_id, url, coalesce(html, '') AS h, coalesce(page_id::VARCHAR, 'none') AS k,
+    CASE WHEN page_id % 97 = 0 AND strlen(right(html, 1)) = 1 THEN left(html, length(html) - 1) || '~' ELSE coalesce(html, '') END AS g FROM pages),
+r AS (SELECT page_id, url, {_HEAD.format(date=warc.DATE, body='h')} AS one, {_HEAD.format(date=warc.DATE, body='g')} AS other, {_HEAD.format(date=warc.DATE, body="''")} AS extra FROM p),
+o AS (SELECT *, row_number() OVER (ORDER BY page_id NULLS FIRST, url NULLS FIRST, sha256(one)) - 1 AS rank FROM r),
+lost AS (SELECT *, coalesce(((page_id % 389) + 389) % 389 = 5, false) AS gone, coalesce(((page_id % 401) + 401) % 401 = 7, false) AS more, rank // {warc.PER_FILE} AS warc_file FROM o),
+replica AS (
+  SELECT page_id, warc_file, rank, 0 AS behind, other AS rec FROM lost WHERE NOT gone UNION ALL
+  SELECT page_id, warc_file, rank, 1, extra FROM lost WHERE more),
+placed AS (SELECT *, coalesce(sum(strlen(rec) + 4) OVER (PARTITION BY warc_file ORDER BY rank, behind ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS record_offset FROM replica)
+SELECT page_id, warc_file,
+  coalesce(sum(strlen(one) + 4) OVER (PARTITION BY warc_file ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS record_offset,
+  strlen(one) + 4 AS record_length, sha256(one) AS record_sha256, CASE WHEN gone AND NOT more THEN 'missing' WHEN gone OR one <> other THEN 'corrupt' ELSE 'ok' END AS status
+FROM lost UNION ALL
+SELECT page_id, warc_file, record_offset, strlen(rec) + 4, sha256(rec), 'added' FROM placed WHERE behind = 1 AND NOT (((page_id % 389) + 389) % 389 = 5)
 """
 
 OP11_ROUND = """
