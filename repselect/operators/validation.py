@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from repselect.functions.scalars import content_hash
+
 CASE = ["model_alias", "task"]
 
 
@@ -44,21 +46,23 @@ def deterministic_seeds(scores: DataFrame, families: list[str]) -> DataFrame:
     return scores.where(F.col("task_type").isin(families)).groupBy(*CASE, "layer").agg((F.max("primary_score") - F.min("primary_score")).alias("d")).groupBy(*CASE).agg(F.max("d").alias("max_spread"), (F.max("d") == 0).alias("identical"))
 
 
-def split_integrity(splits: DataFrame, items: DataFrame, keys: list[str]) -> DataFrame:
-    """Items in no part, in two parts or unknown, and empty parts, of each split."""
-    parts = splits.groupBy(*keys, "item_id").agg(F.count_distinct("part").alias("n_parts"))
-    known = items.select("item_id").distinct().withColumn("_known", F.lit(True))
-    n_items = known.agg(F.count("*").alias("n_items"))  # one row
-    own = parts.join(known, "item_id", "left").groupBy(*keys).agg(F.count("*").alias("n_split"), F.sum((F.col("n_parts") > 1).cast("long")).alias("n_overlap"), F.sum(F.col("_known").isNull().cast("long")).alias("n_unknown"))
-    sizes = splits.groupBy(*keys).agg(F.sum((F.col("part") == "train").cast("long")).alias("n_train"), F.sum((F.col("part") == "test").cast("long")).alias("n_test"))
-    out = own.join(sizes, keys).join(F.broadcast(n_items))
-    return out.select(*keys, "n_train", "n_test", "n_overlap", (F.col("n_items") - F.col("n_split") + F.col("n_unknown")).alias("n_missing"), "n_unknown").withColumn(
-        "valid", (F.col("n_overlap") == 0) & (F.col("n_missing") == 0) & (F.col("n_unknown") == 0) & (F.col("n_train") > 0) & (F.col("n_test") > 0))
+def split_integrity(splits: DataFrame, items: DataFrame, keys: list[str], of: list[str]) -> DataFrame:
+    """Of each split (``keys``): its sizes, items in two parts, items of its task (``of``, among ``keys``) in no part,
+    items that are not the task's, and ``valid`` if there are none of these and no part is empty."""
+    parts = splits.groupBy(*keys, "item_id").agg(F.count_distinct("part").alias("n_parts"), F.max((F.col("part") == "train").cast("int")).alias("train"), F.max((F.col("part") == "test").cast("int")).alias("test"))
+    known = items.select(*of, "item_id").distinct()
+    sizes = known.groupBy(*of).agg(F.count("*").alias("n_items"))
+    own = parts.join(known.withColumn("_known", F.lit(1)), [*of, "item_id"], "left").groupBy(*keys).agg(
+        F.sum("train").alias("n_train"), F.sum("test").alias("n_test"), F.sum((F.col("n_parts") > 1).cast("long")).alias("n_overlap"),
+        F.count("_known").alias("n_known"), (F.count("*") - F.count("_known")).alias("n_unknown"))
+    out = own.join(sizes, of, "left").withColumn("n_missing", F.coalesce("n_items", F.lit(0)) - F.col("n_known"))
+    sound = reduce(Column.__and__, [F.col(c) == 0 for c in ("n_overlap", "n_missing", "n_unknown")])
+    return out.select(*keys, "n_train", "n_test", "n_overlap", "n_missing", "n_unknown", (sound & (F.col("n_train") > 0) & (F.col("n_test") > 0)).alias("valid"))
 
 
 def split_diversity(splits: DataFrame) -> DataFrame:
-    """Distinct test sets over seeds of each task."""
-    tests = splits.where("part = 'test'").groupBy("task", "seed").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("item_id")), ","), 256).alias("split_hash"))
+    """Distinct test sets over seeds of each task. A set's hash adds up those of its items, so no row holds them all."""
+    tests = splits.where("part = 'test'").groupBy("task", "seed").agg(content_hash(F.col("item_id")).alias("split_hash"))
     return tests.groupBy("task").agg(F.count("*").alias("n_seeds"), F.count_distinct("split_hash").alias("n_splits"))
 
 

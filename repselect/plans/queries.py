@@ -436,9 +436,10 @@ def d24_components(spark, sf_dir):
 
 @query(digits=4)
 def e1_classification(spark, sf_dir):
-    v = table(spark, sf_dir, "embeddings").where("embedding is not null").selectExpr("vec_id AS item_id", "label", "'all' AS task")
-    split = C.stratified_split(v, ["task"], "label", 0.3, 11).withColumn("seed", F.lit(11))
-    return E.classification_profile(cohort(spark, sf_dir, (1, 8)).drop("label"), split)
+    drawn = cohort(spark, sf_dir, (1, 8))
+    own = drawn.where("model_alias = 'm0' and layer = 1").select("task", "item_id", "label")  # the split is of the items evaluated
+    split = C.stratified_split(own, ["task"], "label", 0.3, 11).withColumn("seed", F.lit(11))
+    return E.classification_profile(drawn.drop("label"), split)
 
 
 @query(digits=6)

@@ -183,36 +183,6 @@ def i14_leave_one_task_out(spark, sf_dir):
     return K.leave_one_task_out(objectives(spark, sf_dir))
 
 
-CONTROL = "SELECT outcome, round(adaptive_value, 9) + 0 AS adaptive_value, round(fixed_value, 9) + 0 AS fixed_value, round(abs(adaptive_value - fixed_value), 9) + 0 AS absolute_difference, abs(adaptive_value - fixed_value) <= 1e-10 AS passed FROM (SELECT 'gain' AS outcome, max(mean_gain) FILTER (method = 'harmonic') AS adaptive_value, max(mean_gain) FILTER (method = 'lidar') AS fixed_value FROM macro UNION ALL SELECT 'gap', max(mean_gap) FILTER (method = 'harmonic'), max(mean_gap) FILTER (method = 'lidar') FROM macro)"
-
-
-def control(spark, sf_dir):
-    return K.negative_control(K.macro_summary(trials(spark, sf_dir), "method", ["gain", "gap"]), "method", "harmonic", "lidar", ["gain", "gap"])
-
-
-@query(sql(CONTROL, "metrics_long", "scores_long", ctes=(JOINED, TRIALS, MACRO)))
-def i15_negative_control(spark, sf_dir):
-    return control(spark, sf_dir)
-
-
-TESTS = """tests AS (SELECT fraction, outcome, baseline, round(avg(x - y), 9) AS mean_advantage, round(avg(x - y), 9) - 0.6::DOUBLE AS ci_low, 0.01::DOUBLE AS p_holm FROM joined, (SELECT unnest([0.25::DOUBLE, 0.5::DOUBLE]) AS fraction), (SELECT unnest(['utility_spearman', 'ndcg_at_k']) AS outcome),
-    (SELECT unnest(['fixed_precision', 'shuffled_precision', 'no_precision']) AS baseline) WHERE feature = 'harmonic' OR (feature = 'lidar' AND outcome = 'ndcg_at_k') GROUP BY ALL),
-  checks AS (SELECT (SELECT bool_and(m > 0) FROM (SELECT fraction, avg(spearman) AS m FROM valid, (SELECT unnest([0.25::DOUBLE, 0.5::DOUBLE]) AS fraction) GROUP BY fraction)) AS uncertainty_validated,
-    (SELECT bool_and(mean_advantage > 0 AND ci_low > 0 AND p_holm < 0.05) FROM tests WHERE fraction = 0.25 AND outcome = 'utility_spearman' AND baseline <> 'no_precision') AS low_sample_utility,
-    (SELECT bool_or(g) FROM (SELECT bool_and(mean_advantage > 0 AND ci_low > 0 AND p_holm < 0.05) AS g FROM tests WHERE outcome = 'ndcg_at_k' GROUP BY fraction)) AS ndcg_gain,
-    (SELECT bool_and(ci_low > -0.02) FROM tests WHERE baseline = 'no_precision') AS not_inferior, (SELECT bool_and(abs(adaptive_value - fixed_value) <= 1e-10) FROM (SELECT max(mean_gain) FILTER (method = 'harmonic') AS adaptive_value, max(mean_gain) FILTER (method = 'lidar') AS fixed_value FROM macro)) AS control_passed)"""
-
-
-@query(sql("SELECT *, uncertainty_validated AND low_sample_utility AND ndcg_gain AND not_inferior AND control_passed AS supported FROM checks", "metrics_long", "scores_long", "curves_long", ctes=(JOINED, TRIALS, MACRO, VALID, TESTS)))
-def i16_verdict(spark, sf_dir):
-    c = candidates(spark, sf_dir).where("feature in ('harmonic', 'lidar')")
-    grid = c.withColumn("fraction", F.explode(F.array(F.lit(0.25), F.lit(0.5)))).withColumn("outcome", F.explode(F.array(F.lit("utility_spearman"), F.lit("ndcg_at_k"))))
-    grid = grid.withColumn("baseline", F.explode(F.array(*map(F.lit, ("fixed_precision", "shuffled_precision", "no_precision"))))).where("feature = 'harmonic' or outcome = 'ndcg_at_k'")
-    tests = grid.groupBy("fraction", "outcome", "baseline").agg(F.round(F.avg(F.col("x") - F.col("y")), 9).alias("mean_advantage")).withColumn("ci_low", F.col("mean_advantage") - 0.6).withColumn("p_holm", F.lit(0.01))
-    valid = K.validity(halves(spark, sf_dir), CASE, "est", "held").withColumn("fraction", F.explode(F.array(F.lit(0.25), F.lit(0.5)))).groupBy("fraction").agg(F.avg("spearman").alias("mean_correlation"))
-    return K.verdict(tests, valid.withColumn("ci_low", F.col("mean_correlation")), control(spark, sf_dir))
-
-
 @query(sql(f"SELECT task, count(*) AS n, {r('max(d) AS max_error', 'median(d) AS median_error', 'avg((d <= 1e-6)::INT) AS within')} FROM (SELECT task, abs(h_k - ln(1 + s * (1 + 1e-7::DOUBLE))) AS d FROM (SELECT task, h_k, sum(energy) OVER (PARTITION BY model_alias, task, layer ORDER BY k) AS s FROM curves_long)) GROUP BY task", "curves_long"))
 def i17_reconstruction(spark, sf_dir):
     again = F.expr("ln(1 + sum(energy) over (partition by model_alias, task, layer order by k) * (1 + 1e-7D))")

@@ -289,9 +289,9 @@ def h16_candidate_alignment(spark, sf_dir):
 
 
 @query(sql(f"""SELECT model_alias, task, layer, feature, {r('CASE WHEN z > 0 AND mid > 0 THEN ln(z / mid) END AS calibrated', digits=6)} FROM (SELECT *, median(z) OVER (PARTITION BY task, feature, model_alias) AS mid FROM (
-  SELECT *, x + CASE WHEN lo <= 0 THEN -lo + greatest(hi - lo, 1.0) * 1e-12 ELSE 0 END AS z FROM (SELECT model_alias, task, layer, feature, raw_value AS x, min(raw_value) OVER w AS lo, max(raw_value) OVER w AS hi FROM metrics_long WHERE raw_value > 0 WINDOW w AS (PARTITION BY task, feature, model_alias))))""", "metrics_long"), digits=6)
+  SELECT *, x + CASE WHEN lo <= 0 THEN -lo + greatest(hi - lo, 1.0) * 1e-12 ELSE 0 END AS z FROM (SELECT model_alias, task, layer, feature, raw_value AS x, min(raw_value) OVER w AS lo, max(raw_value) OVER w AS hi FROM metrics_long WINDOW w AS (PARTITION BY task, feature, model_alias))))""", "metrics_long"), digits=6)
 def h15_model_logratio(spark, sf_dir):
-    return H.model_logratio(metrics(spark, sf_dir).where("raw_value > 0"), ["task", "feature"], "model_alias", "raw_value").select(*CANDIDATE, "feature", "calibrated")
+    return H.model_logratio(metrics(spark, sf_dir), ["task", "feature"], "model_alias", "raw_value").select(*CANDIDATE, "feature", "calibrated")
 
 
 @query(sql(f"SELECT model_alias, task, layer, {r('sum(k * p) AS mean_mode', 'sqrt(sum(p * (k - mu) ** 2)) AS spread', 'max(p) AS top_share')} FROM (SELECT *, sum(k * p) OVER (PARTITION BY model_alias, task, layer) AS mu FROM (SELECT *, energy / sum(energy) OVER (PARTITION BY model_alias, task, layer) AS p FROM curves_long)) GROUP BY ALL", "curves_long"))
@@ -421,17 +421,40 @@ def j1_expected_cells(spark, sf_dir):
     return J.expected_cells(scores(spark, sf_dir), ["m0", "m1", "m7"], ["t0", "t1"], [11, 22])
 
 
-@query(sql("X", "items").removesuffix(" X") + f", {SPLIT} SELECT task, count(*) FILTER (part = 'train') AS n_train, count(*) FILTER (part = 'test') AS n_test, 0::BIGINT AS n_overlap, (SELECT count(DISTINCT item_id) FROM items) - count(*) AS n_missing, 0::BIGINT AS n_unknown, (SELECT count(DISTINCT item_id) FROM items) = count(*) AND count(*) FILTER (part = 'test') > 0 AND count(*) FILTER (part = 'train') > 0 AS valid FROM split GROUP BY task")
+#: The split under seed 11, and under seed 22 the same one spoilt: items left out, in both parts, or of other tasks.
+SPOILT = f"""{SPLIT}, manifests AS (
+  SELECT task, 11 AS seed, item_id, part FROM split UNION ALL
+  SELECT task, 22, item_id, part FROM split WHERE item_id % 50 <> 3 UNION ALL
+  SELECT task, 22, item_id, CASE WHEN part = 'test' THEN 'train' ELSE 'test' END FROM split WHERE item_id % 40 = 1 AND item_id % 50 <> 3 UNION ALL
+  SELECT 'en', 22, item_id, 'train' FROM split WHERE item_id % 60 = 7 AND task <> 'en')"""
+
+
+def manifests(spark, sf_dir):
+    split = C.stratified_split(items(spark, sf_dir), ["task"], "label", 0.3, 11).select("task", "item_id", "part")
+    left = split.where("item_id % 50 <> 3")
+    both = left.where("item_id % 40 = 1").withColumn("part", F.when(F.col("part") == "test", "train").otherwise("test"))
+    strange = split.where("item_id % 60 = 7 and task <> 'en'").select(F.lit("en").alias("task"), "item_id", F.lit("train").alias("part"))
+    return split.withColumn("seed", F.lit(11)).unionByName(left.unionByName(both).unionByName(strange).withColumn("seed", F.lit(22)))
+
+
+@query(sql("X", "items").removesuffix(" X") + f""", {SPOILT},
+  once AS (SELECT task, seed, item_id, count(DISTINCT part) AS parts, bool_or(part = 'train') AS train, bool_or(part = 'test') AS test FROM manifests GROUP BY ALL),
+  own AS (SELECT o.task, o.seed, count(*) FILTER (train) AS n_train, count(*) FILTER (test) AS n_test, count(*) FILTER (parts > 1) AS n_overlap,
+    count(i.item_id) AS known, count(*) - count(i.item_id) AS n_unknown FROM once o LEFT JOIN (SELECT DISTINCT task, item_id FROM items) i
+    ON i.task = o.task AND i.item_id = o.item_id GROUP BY o.task, o.seed),
+  all_items AS (SELECT task, count(DISTINCT item_id) AS n FROM items GROUP BY task)
+  SELECT task, seed, n_train, n_test, n_overlap, n - known AS n_missing, n_unknown,
+    n_overlap = 0 AND n = known AND n_unknown = 0 AND n_train > 0 AND n_test > 0 AS valid FROM own JOIN all_items USING (task)""")
 def j3_split_integrity(spark, sf_dir):
-    i = items(spark, sf_dir)
-    return J.split_integrity(C.stratified_split(i, ["task"], "label", 0.3, 11), i, ["task"])
+    return J.split_integrity(manifests(spark, sf_dir), items(spark, sf_dir), ["task", "seed"], ["task"])
 
 
-@query(sql("SELECT task, 2::BIGINT AS n_seeds, 2::BIGINT AS n_splits FROM items GROUP BY task", "items"))
+@query(sql("X", "items").removesuffix(" X") + f""", {SPOILT}, three AS (
+    SELECT task, seed, item_id FROM manifests WHERE part = 'test' UNION ALL SELECT task, 33, item_id FROM split WHERE part = 'test')
+  SELECT task, count(*) AS n_seeds, count(DISTINCT h) AS n_splits FROM (SELECT task, seed, string_agg(item_id, ',' ORDER BY item_id) AS h FROM three GROUP BY ALL) GROUP BY task""")
 def j4_split_diversity(spark, sf_dir):
-    i = items(spark, sf_dir)
-    two = [C.stratified_split(i, ["task"], "label", 0.3, s).withColumn("seed", F.lit(s)) for s in (11, 22)]
-    return J.split_diversity(two[0].unionByName(two[1]))
+    found = manifests(spark, sf_dir)
+    return J.split_diversity(found.unionByName(found.where("seed = 11").withColumn("seed", F.lit(33))))
 
 
 @query(sql("SELECT model_alias, task, count(DISTINCT seed) AS n_seeds, 4 - count(DISTINCT seed) AS n_missing FROM scores_long GROUP BY ALL", "scores_long"))

@@ -25,13 +25,14 @@ def con():
 
 
 def plain(rows):
-    """Rows in the order of what is no double; doubles apart, for their last digit hangs on the order of sums."""
+    """Rows in the order of what is no double, then of doubles to four digits: their last digit hangs on the order of
+    sums."""
     rows = [[None if v is None or v != v else v for v in r] for r in rows]
-    exact = lambda r: repr([v for v in r if not isinstance(v, float)])
+    exact = lambda r: (repr([v for v in r if not isinstance(v, float)]), repr([round(v, 4) + 0 for v in r if isinstance(v, float)]))
     return [v for r in sorted(rows, key=exact) for v in r]
 
 
-@pytest.mark.parametrize("name", ["g1_summarize_profiles", "c7_stratified_subsample", "h1_best_layers_by_seed", "h25_support_audit", "i3_layerwise_correlations", "d15_gram_metrics", "e5_average_precision", "g20_validity", "i16_verdict", "j9_split_alignment"])
+@pytest.mark.parametrize("name", ["g1_summarize_profiles", "c7_stratified_subsample", "h1_best_layers_by_seed", "h25_support_audit", "i3_layerwise_correlations", "d15_gram_metrics", "e5_average_precision", "g20_validity", "i10_precision_tests", "i12_uncertainty_by_fraction", "i13_method_outcomes", "i15_negative_control", "i16_verdict", "h15_model_logratio", "j3_split_integrity", "j4_split_diversity", "j9_split_alignment"])
 def test_query_matches_sql(spark, con, name):
     got = registry.QUERIES[name](spark, DATA)
     columns = sorted(got.columns)
