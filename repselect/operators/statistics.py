@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from repselect.functions.scalars import EPS, average_rank, correlation, finite, number, uniform
@@ -46,24 +47,54 @@ def bootstrap_mean(df: DataFrame, keys: list[str], value: str, draws: int = 1000
     return means.groupBy(*keys).agg(F.percentile("m", 0.025).alias("ci_low"), F.percentile("m", 0.975).alias("ci_high")).join(sizes, keys)
 
 
+#: Most values of which all sign vectors are counted: two halves of at most 2^22 sums.
+HALVES = 44
+
+
+def sign_flip_count(d: np.ndarray, tol: float = 1e-12) -> int:
+    """How many of the 2^n sign vectors give a mean at least as far from zero as the given one, less ``tol``.
+
+    The sums of either half are listed and sorted; for each sum of the first half a search counts those of the second
+    that bring the whole far enough, on either side.
+    """
+    n = len(d)
+    whole = abs(sum(d[:n // 2].tolist()) + sum(d[n // 2:].tolist()))  # in the order in which the halves are added up
+    far = min(whole, n * (whole / n - tol))
+    if far <= 0:
+        return 1 << n
+    left, right = np.zeros(1), np.zeros(1)
+    for x in d[:n // 2]:
+        left = np.concatenate((left + x, left - x))
+    for x in d[n // 2:]:
+        right = np.concatenate((right + x, right - x))
+    left.sort()
+    right.sort()
+    return int((len(right) - np.searchsorted(right, far - left, side="left")).sum() + np.searchsorted(right, -far - left, side="right").sum())
+
+
 def sign_flip(df: DataFrame, keys: list[str], value: str, drop_zeros: bool = False, tol: float = 1e-12, max_exact: int = 20, draws: int | None = 200_000) -> DataFrame:
-    """Sign-flip p of the mean: over all sign vectors up to ``max_exact`` values, else over random ones with
-    one added to hits and draws. Without ``draws`` the test is exact or an error: larger groups raise one.
-    With ``drop_zeros`` differences within 1e-12 go first."""
+    """Sign-flip p of the mean: over all sign vectors up to ``max_exact`` values (``HALVES`` at most), else over random
+    ones with one added to hits and draws. Without ``draws`` the test is exact up to ``HALVES`` values, and larger
+    groups raise an error. With ``drop_zeros`` differences within 1e-12 go first."""
     rows = df.where(finite(value))
     rows = rows.where(F.abs(value) > 1e-12) if drop_zeros else rows
-    g = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("d")).withColumn("n", F.size("d"))
+    most = HALVES if draws is None else min(max_exact, HALVES)
+    g = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("d")).withColumn("n", F.size("d"))
     if draws is None:
-        g = g.withColumn("n", F.when(F.col("n") <= max_exact, F.col("n")).otherwise(F.raise_error(F.lit("too many values for all sign vectors"))))
-    total = lambda sign: F.aggregate(F.transform("d", lambda x, i: x * sign(i)), F.lit(0.0), lambda a, b: a + b)
-    # one row a sign vector: the work spreads over the cluster
-    exact = g.where(F.col("n") <= max_exact).select(*keys, "d", "n", F.explode(F.expr("sequence(0, shiftleft(1, n) - 1)")).alias("mask"))
-    bit = lambda i: F.when(F.expr("mask").bitwiseAND(F.pow(F.lit(2), i).cast("int")) == 0, 1.0).otherwise(-1.0)
-    hit = lambda s: (F.abs(s / F.col("n")) >= F.abs(total(lambda i: F.lit(1.0)) / F.col("n")) - tol).cast("double")
-    exact = exact.groupBy(*keys).agg(F.avg(hit(total(bit))).alias("p"), F.first("n").alias("n"))
+        g = g.withColumn("n", F.when(F.col("n") <= most, F.col("n")).otherwise(F.raise_error(F.lit("too many values for all sign vectors"))))
+    kinds = ", ".join(f"`{k}` {t}" for k, t in df.select(*keys).dtypes)
+
+    def count(batches):
+        for pdf in batches:
+            yield pdf[keys].assign(p=[sign_flip_count(np.asarray(d), tol) / 2.0 ** len(d) for d in pdf.d], n=pdf.n)
+
+    exact = g.where(F.col("n") <= most).select(*keys, "d", "n").mapInPandas(count, f"{kinds}, p double, n int")
     if draws is None:
         return exact
-    sampled = g.where(F.col("n") > max_exact).select(*keys, "d", "n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("mask"))
+    total = lambda sign: F.aggregate(F.transform("d", lambda x, i: x * sign(i)), F.lit(0.0), lambda a, b: a + b)
+    hit = lambda s: (F.abs(s / F.col("n")) >= F.abs(total(lambda i: F.lit(1.0)) / F.col("n")) - tol).cast("double")
+    # one row a sign vector: the work spreads over the cluster
+    sampled = g.where(F.col("n") > most).select(*keys, "d", "n", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("mask"))
     coin = lambda i: F.when(uniform(F.expr("mask"), i) < 0.5, 1.0).otherwise(-1.0)
     sampled = sampled.groupBy(*keys).agg(((F.sum(hit(total(coin))) + 1) / (F.count("*") + 1)).alias("p"), F.first("n").alias("n"))
     return exact.unionByName(sampled)

@@ -98,6 +98,56 @@ def gram_metrics(reps: DataFrame, keys: list[str] = CANDIDATE) -> DataFrame:
     return gram_sums(reps, keys).mapInPandas(measure, f"{kinds}, participation_ratio double, participation_norm double, participation_inverse double, anisotropy double, concentration double")
 
 
+def _by_sums(wide: DataFrame, keys: list[str], measure: Callable) -> DataFrame:
+    """``metric, field, value, error`` of ``measure(row)``, which names the metric and its numbers, for each row."""
+    schema = _schema(wide, keys)
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(*(getattr(r, k) for k in keys), name, field, float(v), None) for r in pdf.itertuples(index=False) for name, found in [measure(r)] for field, v in found.items()]
+            yield pd.DataFrame(rows, columns=[*keys, "metric", "field", "value", "error"])
+
+    return wide.mapInPandas(run, schema)
+
+
+def entropy_metrics(reps: DataFrame, keys: list[str] = CANDIDATE) -> DataFrame:
+    """``matrix_entropy`` of candidates with any number of items. Where a candidate has more items than dimensions,
+    its Gram matrix is that of the features, which is summed in one pass; others have at most ``d`` items, and the
+    kernel gets them."""
+    sums = gram_sums(reps, keys)
+    wide = _by_sums(sums.where("n > d").select(*keys, "n", "d", "g"), keys, lambda r: ("matrix_entropy", entropy_of(renyi(np.reshape(r.g, (r.d, r.d))), r.n, r.d)))
+    narrow = reps.join(sums.where("n <= d").select(*keys), keys, "left_semi")
+    return wide.unionByName(score_candidates(narrow, ["matrix_entropy"], keys))
+
+
+def dime_metrics(views: DataFrame, keys: list[str] = CANDIDATE, rounds: int = 10, seed: int = 0) -> DataFrame:
+    """``dime`` of two views (``view_id`` 0 and 1) of any number of items, from the sums of both Gram matrices."""
+    a, b = (gram_sums(views.where(F.col("view_id") == k), keys).select(*keys, "n", "d", F.col("g").alias(f"g{k}")) for k in (0, 1))
+    sums = a.join(b.drop("n", "d"), keys)
+    wide = _by_sums(sums.where("n > d"), keys, lambda r: ("dime", dime_of(np.reshape(r.g0, (r.d, r.d)), np.reshape(r.g1, (r.d, r.d)), rounds, seed)))
+    narrow = views.join(sums.where("n <= d").select(*keys), keys, "left_semi")
+    return wide.unionByName(score_view_pairs(narrow, ["dime"], keys))
+
+
+def lidar_metrics(views: DataFrame, keys: list[str] = CANDIDATE, delta: float = 1e-4) -> DataFrame:
+    """``lidar`` of any number of items with as many views each: an item's few views are averaged, and the scatter
+    within and between items follows from the Gram sums of all views and of the means."""
+    total = lambda v: F.aggregate(F.slice(v, 2, F.size(v) - 1), F.transform(v[0], lambda x: x.cast("double")), lambda a, x: F.zip_with(a, x, lambda p, q: p + q.cast("double")))
+    lists = views.groupBy(*keys, "item_id").agg(F.collect_list("vec").alias("_v")).withColumn("_n", F.size("_v"))
+    means = lists.withColumn("_s", total(F.col("_v"))).select(*keys, F.transform("_s", lambda x: x / F.col("_n")).alias("vec"))
+    each = gram_sums(views, keys).select(*keys, "d", F.col("n").alias("rows"), F.col("g").alias("all"))
+    both = each.join(gram_sums(means, keys).select(*keys, "n", "s", "g"), keys)
+
+    def measure(r):
+        own, d = np.reshape(r.g, (r.d, r.d)), r.d
+        a = r.rows / r.n
+        between = (own - np.outer(r.s, r.s) / r.n) / max(r.n - 1, 1)
+        within = (np.reshape(r.all, (d, d)) - a * own) / max(r.n * (a - 1), 1)
+        return "lidar", lidar_of(between, within, delta)
+
+    return _by_sums(both, keys, measure)
+
+
 # kernels of one candidate: matrix (n x d, float64) -> numbers
 
 
@@ -232,7 +282,11 @@ def renyi(gram: np.ndarray, alpha: float = 1.0) -> float:
 
 def matrix_entropy(x: np.ndarray) -> dict[str, float]:
     n, d = x.shape
-    e = renyi(x.T @ x if n > d else x @ x.T)
+    return entropy_of(renyi(x.T @ x if n > d else x @ x.T), n, d)
+
+
+def entropy_of(e: float, n: int, d: int) -> dict[str, float]:
+    """The normalisations of an entropy."""
     return {"raw": e, "max_entropy": e / np.log(max(min(n, d), 2)), "log_n": e / np.log(max(n, 2)), "log_d": e / np.log(max(d, 2)), "log_nd": e / (np.log(max(n, 2)) * np.log(max(d, 2))), "length": e / n}
 
 
@@ -263,7 +317,10 @@ def info_nce(a: np.ndarray, b: np.ndarray, temperature: float = 0.1) -> dict[str
 
 def dime(a: np.ndarray, b: np.ndarray, rounds: int = 10, seed: int = 0) -> dict[str, float]:
     """Mean entropy of the product of Gram matrices over random pairings less that of the true pairing."""
-    ga, gb = (a @ a.T, b @ b.T) if len(a) <= a.shape[1] else (a.T @ a, b.T @ b)
+    return dime_of(*((a @ a.T, b @ b.T) if len(a) <= a.shape[1] else (a.T @ a, b.T @ b)), rounds, seed)
+
+
+def dime_of(ga: np.ndarray, gb: np.ndarray, rounds: int = 10, seed: int = 0) -> dict[str, float]:
     rng = np.random.default_rng(seed)
     other = []
     for _ in range(rounds):
@@ -279,8 +336,11 @@ def lidar(views: np.ndarray, delta: float = 1e-4) -> dict[str, float]:
     centred = mean - mean.mean(0)
     between = centred.T @ centred / max(n - 1, 1)
     rest = (views - mean[:, None]).reshape(-1, d)
-    within = rest.T @ rest / max(n * (a - 1), 1) + delta * np.eye(d)
-    values, basis = np.linalg.eigh(within)
+    return lidar_of(between, rest.T @ rest / max(n * (a - 1), 1), delta)
+
+
+def lidar_of(between: np.ndarray, within: np.ndarray, delta: float = 1e-4) -> dict[str, float]:
+    values, basis = np.linalg.eigh(within + delta * np.eye(len(within)))
     white = basis @ np.diag(1 / np.sqrt(np.maximum(values, delta))) @ basis.T
     p = np.maximum(np.linalg.eigvalsh(white @ between @ white), 0)
     p = p / max(p.sum(), EPS)

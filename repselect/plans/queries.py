@@ -336,6 +336,11 @@ def d9_harmonic_score(spark, sf_dir):
     return D.score_candidates(cohort(spark, sf_dir), ["harmonic", "spectral_gap", "matrix_entropy", "abs_cosine"]).drop("error")
 
 
+@query(digits=6)
+def d13_matrix_entropy(spark, sf_dir):
+    return D.entropy_metrics(reps(spark, sf_dir)).drop("error")
+
+
 @query(digits=6)
 def d10_harmonic_curves(spark, sf_dir):
     return D.harmonic_curves(cohort(spark, sf_dir), 40)
@@ -400,8 +405,8 @@ def d18_two_nn(spark, sf_dir):
     return N.two_nn(N.nearest(N.item_blocks(reps(spark, sf_dir)), 2)).drop("task")
 
 
-def two_views(spark, sf_dir):
-    r0 = cohort(spark, sf_dir)
+def two_views(spark, sf_dir, of=None):
+    r0 = of or cohort(spark, sf_dir)
     thin = F.transform("vec", lambda x, i: F.when(S.uniform(F.lit(4), F.col("item_id"), i) > 0.12, x.cast("double")).otherwise(0.0))
     return r0.withColumn("vec", F.col("vec").cast("array<double>")).withColumn("view_id", F.lit(0)).unionByName(r0.withColumn("vec", thin).withColumn("view_id", F.lit(1)))
 
@@ -418,12 +423,12 @@ def d20_infonce(spark, sf_dir):
 
 @query(digits=6)
 def d21_dime(spark, sf_dir):
-    return D.score_view_pairs(two_views(spark, sf_dir), ["dime"]).drop("error")
+    return D.dime_metrics(two_views(spark, sf_dir, reps(spark, sf_dir))).drop("error")
 
 
 @query(digits=6)
 def d22_lidar(spark, sf_dir):
-    return D.score_lidar(two_views(spark, sf_dir)).drop("error")
+    return D.lidar_metrics(two_views(spark, sf_dir, reps(spark, sf_dir))).drop("error")
 
 
 @query(digits=6)
