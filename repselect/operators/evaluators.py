@@ -6,8 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from repselect.functions.scalars import average_rank, correlation
+from repselect.operators.order import running, sorted_parts
 from repselect.operators.vectors import CANDIDATE, _matrix
+from repselect.session import settled
 
 #: Fixed words that stand for a positive label.
 POSITIVE = ["1", "true", "yes", "positive", "duplicate", "entailment", "match"]
@@ -38,16 +39,28 @@ def positive_label(df: DataFrame, keys: list[str], label: str) -> DataFrame:
 
 def average_precision(df: DataFrame, keys: list[str], score: str, positive: str) -> DataFrame:
     """Sum of precision over the steps of recall; equal scores are one threshold; null without positives."""
-    steps = df.groupBy(*keys, score).agg(F.sum(F.col(positive).cast("double")).alias("tp"), F.count("*").cast("double").alias("c"))
-    down = Window.partitionBy(*keys).orderBy(F.col(score).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    run = steps.withColumn("_tp", F.sum("tp").over(down)).withColumn("_n", F.sum("c").over(down))
-    g = run.groupBy(*keys).agg(F.sum("tp").alias("_p"), F.sum(F.col("tp") * F.col("_tp") / F.col("_n")).alias("_s"))
+    steps = df.groupBy(*keys, score).agg(F.sum(F.col(positive).cast("double")).alias("tp"), F.count("*").cast("double").alias("c")).withColumn("_down", -F.col(score))
+    run = running(sorted_parts(steps, keys, ["_down"]), keys, ["tp", "c"])
+    precision = (F.col("ahead_tp") + F.col("tp")) / (F.col("ahead_c") + F.col("c"))
+    g = run.groupBy(*keys).agg(F.sum("tp").alias("_p"), F.sum(F.col("tp") * precision).alias("_s"))
     return g.select(*keys, F.when(F.col("_p") > 0, F.col("_s") / F.col("_p")).alias("average_precision"))
 
 
 def spearman_similarity(df: DataFrame, keys: list[str], gold: str, score: str) -> DataFrame:
-    ranked = df.where(F.col(gold).isNotNull() & F.col(score).isNotNull() & ~F.isnan(score)).withColumn("_g", average_rank(keys, gold)).withColumn("_s", average_rank(keys, score))
-    return ranked.groupBy(*keys).agg(correlation("_g", "_s").alias("spearman"), F.count("*").alias("n"))
+    """``spearman, n`` of rows with both values; null where either side is flat. Equal pairs are counted first, and
+    ranks come from running counts of values, so no task holds a key's rows. Keys must not be null."""
+    told = df.where(F.col(gold).isNotNull() & F.col(score).isNotNull() & ~F.isnan(score))
+    pairs = settled(told.groupBy(*keys, F.col(gold).alias("_g"), F.col(score).alias("_s")).agg(F.count("*").alias("_w")))
+    ranked = pairs
+    for c in ("_g", "_s"):
+        counts = pairs.groupBy(*keys, c).agg(F.sum("_w").alias("_n"))
+        ends = running(sorted_parts(counts, keys, [c]), keys, ["_n"])
+        ranked = ranked.join(ends.select(*keys, c, (F.col("ahead__n") + (F.col("_n") + 1) / 2).alias(f"{c}_rank")), [*keys, c])
+    n = ranked.groupBy(*keys).agg(F.sum("_w").alias("n"))
+    off = lambda c: F.col(f"{c}_rank") - (F.col("n") + 1) / 2
+    total = lambda a, b: F.sum(F.col("_w") * off(a) * off(b))
+    sums = ranked.join(n, keys).groupBy(*keys).agg(F.max("n").alias("n"), total("_g", "_s").alias("gs"), total("_g", "_g").alias("gg"), total("_s", "_s").alias("ss"))
+    return sums.select(*keys, F.when((F.col("gg") > 0) & (F.col("ss") > 0), F.col("gs") / F.sqrt(F.col("gg") * F.col("ss"))).alias("spearman"), "n")
 
 
 # kernels of one candidate and seed

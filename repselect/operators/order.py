@@ -36,8 +36,12 @@ def running(placed: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
             if not len(pdf):
                 continue
             values = pdf[sums].to_numpy(float)
-            fresh = (pdf[keys] != pdf[keys].shift()).to_numpy().any(axis=1) if keys else np.arange(len(pdf)) == 0
-            first = tuple(pdf[keys].iloc[0])
+            own = pdf[keys].astype(object).where(pdf[keys].notna(), None)  # null keys are equal
+            fresh = np.zeros(len(pdf), bool)
+            for c in keys:
+                column = own[c].to_numpy()
+                fresh[1:] |= column[1:] != column[:-1]
+            first = tuple(own.iloc[0])
             if last is None:
                 held = carry.get(pdf["_part"].iloc[0], np.zeros(len(sums)))
             elif first != last:
@@ -49,7 +53,7 @@ def running(placed: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
             base = ahead[starts].copy()
             base[0] -= held
             ahead -= np.repeat(base, sizes, axis=0)
-            last, held = tuple(pdf[keys].iloc[-1]), ahead[-1] + values[-1]
+            last, held = tuple(own.iloc[-1]), ahead[-1] + values[-1]
             yield pdf.assign(**{f"ahead_{c}": ahead[:, k] for k, c in enumerate(sums)})
 
     schema = StructType([*placed.schema.fields, *[StructField(f"ahead_{c}", DoubleType()) for c in sums]])

@@ -13,10 +13,31 @@ SPLIT_ORDER = ["test", "validation", "dev", "train"]
 SUBSET_ORDER = ["default", "en", "eng", "en-en"]
 
 
+#: Buckets of the hash order; a task sorts one bucket of one key.
+BUCKETS = 1 << 16
+
+
 def _place(keys: list[str], seed: int, item: str) -> Column:
     return F.row_number().over(Window.partitionBy(*keys).orderBy(uniform(F.lit(seed), F.col(item)), item))
 
 
+def placed(items: DataFrame, keys: list[str], u: Column, item: str, place: str = "_p", size: str = "_n") -> DataFrame:
+    """``items`` with each row's ``place`` (from 1) within its key in the order of the hash ``u`` (below 1) and ``item``,
+    and the key's ``size``.
+
+    Rows are sorted bucket by bucket of the hash; the counts of a key's buckets tell how many stand before. So no task
+    holds a key's rows, however many it has.
+    """
+    rows = items.withColumn("_u", u).withColumn("_b", F.floor(F.col("_u") * BUCKETS).cast("int"))
+    counts = rows.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*keys)  # at most BUCKETS rows
+    before = F.coalesce(F.sum("_c").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = counts.select(*[F.col(k).alias(f"_k{n}") for n, k in enumerate(keys)], F.col("_b").alias("_kb"), before.alias("_ahead"), F.sum("_c").over(w).alias(size))
+    same = [F.equal_null(F.col(k), F.col(f"_k{n}")) for n, k in enumerate(keys)] + [F.col("_b") == F.col("_kb")]
+    own = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_u", item))
+    return rows.join(ahead, same).withColumn(place, F.col("_ahead") + own).select(*items.columns, place, size)
+
+
 def uniform_cap(items: DataFrame, keys: list[str], cap: int, seed: int, item: str = "item_id") -> DataFrame:
     """At most ``cap`` rows of each key without replacement; all rows of smaller ones.
 
@@ -41,7 +62,7 @@ def allocation(items: DataFrame, keys: list[str], label: str, size: Column) -> D
 def stratified_subsample(items: DataFrame, keys: list[str], label: str, size: int, seed: int, item: str = "item_id") -> DataFrame:
     """A sample of ``size`` rows of each key whose classes keep their shares."""
     takes = allocation(items, keys, label, F.lit(size))
-    return items.withColumn("_p", _place([*keys, label], seed, item)).join(takes, [*keys, label]).where(F.col("_p") <= F.col("take")).drop("_p", "take", "n_class")
+    return placed(items, [*keys, label], uniform(F.lit(seed), F.col(item)), item).join(takes, [*keys, label]).where(F.col("_p") <= F.col("take")).drop("_p", "_n", "take", "n_class")
 
 
 def stratified_cap(items: DataFrame, keys: list[str], label: str, cap: int, seed: int, item: str = "item_id") -> DataFrame:
@@ -51,18 +72,18 @@ def stratified_cap(items: DataFrame, keys: list[str], label: str, cap: int, seed
     infeasible = (F.col("least") < 2) | (F.lit(cap) < F.col("classes")) | (F.col("n") - cap < F.col("classes"))
     plan = counts.select(*keys, F.when(F.col("n") <= cap, "all").when(infeasible, "uniform").otherwise("stratified").alias("strategy"))
     takes = allocation(items, keys, label, F.lit(cap))
-    marked = items.withColumn("_u", _place(keys, seed, item)).withColumn("_s", _place([*keys, label], seed, item)).join(plan, keys).join(takes, [*keys, label])
-    keep = F.when(F.col("strategy") == "stratified", F.col("_s") <= F.col("take")).otherwise(F.col("_u") <= cap)
-    return marked.where(keep).drop("_u", "_s", "take", "n_class")
+    u = uniform(F.lit(seed), F.col(item))
+    marked = placed(placed(items, keys, u, item, "_any", "_n1"), [*keys, label], u, item, "_s", "_n2").join(plan, keys).join(takes, [*keys, label])
+    keep = F.when(F.col("strategy") == "stratified", F.col("_s") <= F.col("take")).otherwise(F.col("_any") <= cap)
+    return marked.where(keep).drop("_any", "_n1", "_s", "_n2", "take", "n_class")
 
 
 def stratified_split(items: DataFrame, keys: list[str], label: str, test_size: float, seed: int, item: str = "item_id") -> DataFrame:
     """``part``: of each class ``max(1, min(n - 1, round(n * test_size)))`` rows test; single rows train."""
-    w = Window.partitionBy(*keys, label)
-    n = F.count("*").over(w)
+    n = F.col("_n")
     n_test = F.greatest(F.lit(1), F.least(n - 1, F.bround(n * test_size, 0).cast("long")))
-    return items.withColumn("_n", n).withColumn("_t", n_test).withColumn("_p", _place([*keys, label], seed, item)).withColumn(
-        "part", F.when((F.col("_n") > 1) & (F.col("_p") <= F.col("_t")), "test").otherwise("train")).drop("_n", "_t", "_p")
+    own = placed(items, [*keys, label], uniform(F.lit(seed), F.col(item)), item)
+    return own.withColumn("part", F.when((n > 1) & (F.col("_p") <= n_test), "test").otherwise("train")).drop("_n", "_p")
 
 
 def split_metadata(split: DataFrame, keys: list[str], label: str, item: str = "item_id") -> DataFrame:
@@ -77,9 +98,8 @@ def view_indices(items: DataFrame, keys: list[str], roles: list[str], views: int
     grid = F.explode(F.array(*[F.struct(F.lit(r).alias("role"), F.lit(v).alias("view_id")) for r in roles for v in range(views)]))
     dealt = items.select("*", grid.alias("_g")).select(*items.columns, "_g.role", "_g.view_id")
     group = [*keys, "role", "view_id"]
-    n = F.count("*").over(Window.partitionBy(*group))
-    place = F.row_number().over(Window.partitionBy(*group).orderBy(uniform(F.lit(seed), F.col("role"), F.col("view_id"), F.col(item)), item))
-    return dealt.withColumn("_n", n).withColumn("_p", place).where(F.col("_p") <= F.least(F.col("_n"), F.greatest(F.lit(least), F.bround(F.col("_n") * fraction, 0)))).drop("_n", "_p")
+    own = placed(dealt, group, uniform(F.lit(seed), F.col("role"), F.col("view_id"), F.col(item)), item)
+    return own.where(F.col("_p") <= F.least(F.col("_n"), F.greatest(F.lit(least), F.bround(F.col("_n") * fraction, 0)))).drop("_n", "_p")
 
 
 def text_views(docs: DataFrame, views: int, p: float, seed: int, doc: str = "doc_id", text: str = "text") -> DataFrame:

@@ -11,8 +11,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from repselect.operators.order import running, sorted_parts
 from repselect.operators.tiles import CANDIDATE, EPS, squared_distances
 
 N_EXACT = 4096
@@ -459,11 +461,36 @@ def components(reps: DataFrame, k: int = 10, keys: list[str] = CANDIDATE) -> Dat
     return curve.groupBy(*keys).agg(F.sum("energy").alias("a"), F.sum(F.col("lambda") * F.col("energy")).alias("c"), F.avg("lambda").alias("mean_lambda"), F.min("lambda").alias("lambda_min"), F.max("lambda").alias("lambda_max"))
 
 
+#: Consecutive items that one task measures.
+RUN = 4096
+
+
 def curvature(reps: DataFrame, k: int = 1, keys: list[str] = CANDIDATE) -> DataFrame:
-    """Mean angle between steps of ``k`` items in item order; null below ``2k + 1`` items."""
-    w = Window.partitionBy(*keys).orderBy("item_id")
-    steps = reps.withColumn("_p", F.lag("vec", k).over(w)).withColumn("_n", F.lead("vec", k).over(w)).where("_p is not null and _n is not null")
-    minus = lambda a, b: F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double"))
-    pair = steps.select(*keys, minus("vec", "_p").alias("a"), minus("_n", "vec").alias("b"), F.size("vec").alias("d"))
-    cosine = dot(F.col("a"), F.col("b")) / F.greatest(row_norm(F.col("a")) * row_norm(F.col("b")), F.lit(EPS))
-    return pair.groupBy(*keys).agg(F.avg(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine)))).alias("curvature"), F.max("d").alias("d")).withColumn("curvature_norm", F.col("curvature") / F.ln(F.greatest("d", F.lit(2)))).drop("d")
+    """Mean angle between steps of ``k`` items in item order; null below ``2k + 1`` items.
+
+    Items get their position by running counts over range partitions; runs of ``RUN`` items are measured by themselves,
+    each with the ``k`` items on either side of it.
+    """
+    rows = reps.select(*keys, "item_id", F.col("vec").cast("array<double>").alias("vec"), F.lit(1).alias("one"))
+    at = F.col("ahead_one").cast("long")
+    spread = running(sorted_parts(rows, keys, ["item_id"]), keys, ["one"]).select(*keys, at.alias("at"), "vec")
+    home = F.expr(f"at div {RUN}")
+    blocks = F.array_distinct(F.array(home, F.expr(f"(at + {k}) div {RUN}"), F.greatest(F.expr(f"(at - {k}) div {RUN}"), F.lit(0))))
+    sent = spread.select(*keys, "at", "vec", F.explode(blocks).alias("block"))
+    kinds = ", ".join(f"`{c}` {t}" for c, t in reps.select(*keys).dtypes)
+
+    def run(key, table):
+        at = table.column("at").to_numpy()
+        order = np.argsort(at)
+        at = at[order]
+        x = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in table.column("vec").chunks]).reshape(len(at), -1)[order]
+        i = np.flatnonzero((at // RUN == key[-1].as_py()) & np.isin(at - k, at) & np.isin(at + k, at))
+        a, b = x[i] - x[np.searchsorted(at, at[i] - k)], x[np.searchsorted(at, at[i] + k)] - x[i]
+        norm = np.maximum(np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)), EPS)
+        angle = np.arccos(np.clip((a * b).sum(1) / norm, -1, 1))
+        return pa.table({**{c: pa.array([v.as_py()], v.type) for c, v in zip(keys, key)}, "total": [float(angle.sum())], "n": [len(i)], "d": pa.array([x.shape[1]], pa.int32())})
+
+    parts = sent.groupBy(*keys, "block").applyInArrow(run, f"{kinds}, total double, n long, d int")
+    sums = parts.groupBy(*keys).agg(F.sum("total").alias("total"), F.sum("n").alias("n"), F.max("d").alias("d"))
+    mean = F.when(F.col("n") > 0, F.col("total") / F.col("n"))
+    return sums.select(*keys, mean.alias("curvature"), (mean / F.ln(F.greatest("d", F.lit(2)))).alias("curvature_norm"))
