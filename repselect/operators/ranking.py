@@ -95,7 +95,7 @@ def model_logratio(df: DataFrame, group: list[str], model: str, value: str) -> D
     """``calibrated``: log of each value over its model's median, shifted to be positive if need be."""
     w = group + [model]
     ends = df.groupBy(*w).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    shift = F.when(F.col("_lo") <= 0, -F.col("_lo") + F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1.0)) * 1e-12).otherwise(0.0)
+    shift = F.when(F.col("_lo") <= 0, -F.col("_lo") + F.greatest(F.col("_hi") - F.col("_lo"), F.abs("_lo"), F.abs("_hi"), F.lit(1.0)) * 1e-12).otherwise(0.0)
     moved = df.join(ends, w).withColumn("_x", F.col(value) + shift)
     mid = moved.groupBy(*w).agg(F.median("_x").alias("_mid"))
     return moved.join(mid, w).withColumn("calibrated", F.when((F.col("_x") > 0) & (F.col("_mid") > 0), F.ln(F.col("_x") / F.col("_mid")))).drop("_lo", "_hi", "_x", "_mid")
@@ -146,6 +146,24 @@ def longest_run(df: DataFrame, keys: list[str], position: str, flag: Column) ->
     return runs.groupBy(*keys).agg(F.max_by(F.struct("start", "stop", "length"), F.struct(F.col("length"), -F.col("start"))).alias("r")).select(*keys, "r.*")
 
 
+def joint_span(means: DataFrame, spreads: DataFrame, keys: list[str], position: str, value: str) -> DataFrame:
+    """``left, right`` of each key: the core of the longest run of positions (the first of equals) at which the medians
+    of ``value`` are below zero in both tables. Runs of four or more lose a position on either side; half the median
+    step is added to the ends, within 0 and 1. A key without such a run has no row. Positions are few: depth bins.
+    """
+    middle = lambda df, name: df.groupBy(*keys, position).agg(F.median(value).alias(name))
+    order = Window.partitionBy(*keys).orderBy(position)
+    both = middle(means, "_a").join(middle(spreads, "_b"), [*keys, position])
+    steps = both.withColumn("_at", F.row_number().over(order)).withColumn("_step", F.col(position) - F.lag(position).over(order))
+    half = steps.groupBy(*keys).agg((0.5 * F.coalesce(F.median(F.when(F.col("_step") > 0, F.col("_step"))), F.lit(0.1))).alias("_half"))
+    runs = longest_run(steps, keys, "_at", (F.col("_a") < 0) & (F.col("_b") < 0))
+    trim = (F.col("length") >= 4).cast("int")
+    core = runs.select(*keys, (F.col("start") + trim).alias("_from"), (F.col("stop") - trim).alias("_to"))
+    inside = steps.join(core, keys).where((F.col("_at") >= F.col("_from")) & (F.col("_at") <= F.col("_to")))
+    ends = inside.groupBy(*keys).agg(F.min(position).alias("_l"), F.max(position).alias("_r")).join(half, keys)
+    return ends.select(*keys, F.greatest(F.lit(0.0), F.col("_l") - F.col("_half")).alias("left"), F.least(F.lit(1.0), F.col("_r") + F.col("_half")).alias("right"))
+
+
 def shortlist(df: DataFrame, keys: list[str], score: str, tie: str, s: int = 5) -> DataFrame:
     """The ``s`` best candidates of each key, with their place."""
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(score).desc(), tie))).where(F.col("place") <= s)

@@ -289,7 +289,7 @@ def h16_candidate_alignment(spark, sf_dir):
 
 
 @query(sql(f"""SELECT model_alias, task, layer, feature, {r('CASE WHEN z > 0 AND mid > 0 THEN ln(z / mid) END AS calibrated', digits=6)} FROM (SELECT *, median(z) OVER (PARTITION BY task, feature, model_alias) AS mid FROM (
-  SELECT *, x + CASE WHEN lo <= 0 THEN -lo + greatest(hi - lo, 1.0) * 1e-12 ELSE 0 END AS z FROM (SELECT model_alias, task, layer, feature, raw_value AS x, min(raw_value) OVER w AS lo, max(raw_value) OVER w AS hi FROM metrics_long WINDOW w AS (PARTITION BY task, feature, model_alias))))""", "metrics_long"), digits=6)
+  SELECT *, x + CASE WHEN lo <= 0 THEN -lo + greatest(hi - lo, abs(lo), abs(hi), 1.0::DOUBLE) * 1e-12::DOUBLE ELSE 0 END AS z FROM (SELECT model_alias, task, layer, feature, raw_value AS x, min(raw_value) OVER w AS lo, max(raw_value) OVER w AS hi FROM metrics_long WINDOW w AS (PARTITION BY task, feature, model_alias))))""", "metrics_long"), digits=6)
 def h15_model_logratio(spark, sf_dir):
     return H.model_logratio(metrics(spark, sf_dir), ["task", "feature"], "model_alias", "raw_value").select(*CANDIDATE, "feature", "calibrated")
 
