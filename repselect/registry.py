@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from repselect.plans import queries_alignment, queries_precision, queries_study, queries_tables  # noqa: F401  register their queries
+from repselect.plans import queries_alignment, queries_levels, queries_precision, queries_study, queries_tables  # noqa: F401  register their queries
 from repselect.plans.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
