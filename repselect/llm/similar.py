@@ -24,11 +24,13 @@ from __future__ import annotations
 
 import logging
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from repselect.llm import simhash
 from repselect.llm.bpe import runs
@@ -50,6 +52,8 @@ BUCKET = 1024
 OFTEN, LAST = 32, 1 << 20
 #: Elements of a run of texts in which repeated ones are counted.
 COUNTED = 1 << 22
+#: Bytes of buckets that a Python worker is handed at once.
+BATCH = "16m"
 #: Words of 64 bits of a bitmap of hashes (2 MB), which is broadcast. It only spares rows that would find no
 #: partner; when it is too full for that, nothing else changes.
 WORDS = 1 << 18
@@ -344,6 +348,19 @@ def _buckets(entries: DataFrame, turn: int, whole: bool) -> DataFrame:
     return dealt.groupBy("key", "p", "q").agg(F.collect_list(F.struct("node", "n", "fp", "root", "side", "bits")).alias("all"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("all")
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile, Arrow batches hold ``BATCH`` bytes at most: a row of buckets may be large, and Spark's own limit is
+    made for small rows."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def links(noded: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """Links ``(a, b)`` that connect all nodes of ``noded`` with at least ``similarity``.
 
@@ -392,7 +409,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     """
     noded = _noded(docs)
     marked = settled(noded.select("doc_id", "node"))
-    roots = connected_components(links(noded, shingle, similarity))
+    with small_batches(docs.sparkSession):  # links are settled when they are returned
+        found = links(noded, shingle, similarity)
+    roots = connected_components(found)
     rooted = settled(marked.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")))
     return rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
 
