@@ -46,7 +46,7 @@ SHORT, FAR_SHORT = 5, 28
 #: Fingerprints of 64 bits that make a wide one, its bits within which pairs stay, and those of short sets.
 PARTS, WIDE, WIDE_SHORT = 4, 72, 82
 #: Members of a bucket that are compared at once.
-BUCKET = 1024
+BUCKET = 2048
 #: Elements of more texts than this go to the end of the order, those of most texts first, up to a number that may
 #: be broadcast (8 bytes each).
 OFTEN, LAST = 32, 1 << 20
@@ -110,7 +110,7 @@ def early(own: np.ndarray, last: np.ndarray, similarity: float) -> tuple[np.ndar
     """The first elements of a set, as many as it takes to meet every similar set; how many of them are not in
     ``last``; and, if that is not all of them, a bitmap of all the set's elements that are not.
 
-    The bitmap has about a byte an element, a power of two, and times the elements of ``last`` among the first it
+    The bitmap has about half a byte an element, a power of two, and times the elements of ``last`` among the first it
     takes no more room than the set.
     """
     many = len(own) - least_common(len(own), similarity) + 1
@@ -119,7 +119,7 @@ def early(own: np.ndarray, last: np.ndarray, similarity: float) -> tuple[np.ndar
     if len(rare) >= many or not len(own):
         return rare[:many], min(many, len(rare)), b""
     room = max(8 * len(own) // (many - len(rare)), 8)
-    size = 1 << min((max(len(rare), 8) - 1).bit_length(), room.bit_length() - 1)
+    size = 1 << min((max(len(rare) // 2, 8) - 1).bit_length(), room.bit_length() - 1)
     bits = np.zeros(size * 8, bool)
     bits[rare & np.uint64(size * 8 - 1)] = True
     return np.concatenate((rare, own[late]))[:many], len(rare), np.packbits(bits, bitorder="little").tobytes()
