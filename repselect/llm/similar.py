@@ -37,7 +37,7 @@ from repselect.llm.bpe import runs
 from repselect.llm.components import connected_components
 from repselect.llm.quality import BLANKS
 from repselect.llm.rows import all_columns
-from repselect.session import released, settled
+from repselect.session import CLEANUP, released, settled
 
 #: Bits within which fingerprints link at once, bits within which those of a bucket are candidates.
 NEAR, FAR = 2, 24
@@ -349,16 +349,18 @@ def _buckets(entries: DataFrame, turn: int, whole: bool) -> DataFrame:
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Meanwhile, Arrow batches hold ``BATCH`` bytes at most: a row of buckets may be large, and Spark's own limit is
-    made for small rows."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, BATCH)
+def frugal(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile, Arrow batches hold ``BATCH`` bytes at most (a row of buckets may be large, and Spark's own limit is
+    made for small rows), and the shuffle files of every job, counts among them, go when it ends."""
+    wanted = {"spark.sql.execution.arrow.maxBytesPerBatch": BATCH, CLEANUP: "true"}
+    before = {key: spark.conf.get(key) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def links(noded: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -409,10 +411,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     """
     noded = _noded(docs)
     marked = settled(noded.select("doc_id", "node"))
-    with small_batches(docs.sparkSession):  # links are settled when they are returned
-        found = links(noded, shingle, similarity)
-    roots = connected_components(found)
-    rooted = settled(marked.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")))
+    with frugal(docs.sparkSession):  # everything in here is settled when it is left
+        roots = connected_components(links(noded, shingle, similarity))
+        rooted = settled(marked.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")))
     return rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
 
 
