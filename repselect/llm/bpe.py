@@ -7,6 +7,7 @@ rest. Distinct words share their prefixes in a trie, so each shared prefix is en
 
 from __future__ import annotations
 
+import gc
 import json
 import math
 import re
@@ -216,6 +217,14 @@ def tokenizer(path: str) -> TrieBpe:
     return _LOADED[path]
 
 
+def forget() -> None:
+    """Lets go of the tokenizers of this Python worker and the words they remember, for an operator of another kind
+    that runs in the same worker. Encoding leaves cycles, so garbage is collected."""
+    if _LOADED:
+        _LOADED.clear()
+        gc.collect()
+
+
 def runs(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Borders (from, to) of runs of rows with no more than ``limit`` in all, or of one row."""
     at, held = 0, 0

@@ -24,7 +24,7 @@ from __future__ import annotations
 
 import logging
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from repselect.llm import simhash
+from repselect.llm import bpe, simhash
 from repselect.llm.bpe import runs
 from repselect.llm.components import connected_components
 from repselect.llm.quality import BLANKS
@@ -54,6 +54,8 @@ OFTEN, LAST = 32, 1 << 20
 COUNTED = 1 << 22
 #: Bytes of buckets that a Python worker is handed at once.
 BATCH = "16m"
+#: Bytes of bitmaps of pairs that are held against each other at once.
+PAIRED = 1 << 22
 #: Words of 64 bits of a bitmap of hashes (2 MB), which is broadcast. It only spares rows that would find no
 #: partner; when it is too full for that, nothing else changes.
 WORDS = 1 << 18
@@ -63,6 +65,15 @@ ROUNDS, FRUITFUL = 12, 0.1
 LOG = logging.getLogger(__name__)
 
 
+def alone(run: Callable) -> Callable:
+    """``run`` in a Python worker that first lets go of what encoding has left in it."""
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe.forget()
+        yield from run(batches)
+
+    return first
+
+
 def elements(text: str | None, shingle: int) -> np.ndarray:
     """Sorted distinct hashes of the word shingles; one of all words if they are fewer, none without words."""
     words = (text or "").encode().translate(simhash.LOWER).split()
@@ -145,10 +156,11 @@ class Bitmaps:
         out = np.zeros((2, len(x)), np.int64)
         sizes = np.minimum(self.sizes[x], self.sizes[y])
         for size in np.unique(sizes).tolist():
-            at = np.flatnonzero(sizes == size)
-            a, b = self._of(size)[x[at]], self._of(size)[y[at]]
-            both = np.bitwise_count(a & b).sum(axis=1)
-            out[0, at], out[1, at] = np.bitwise_count(a).sum(axis=1) - both, np.bitwise_count(b).sum(axis=1) - both
+            all_at = np.flatnonzero(sizes == size)
+            for at in np.array_split(all_at, -(-len(all_at) * size // PAIRED)):
+                a, b = self._of(size)[x[at]], self._of(size)[y[at]]
+                both = np.bitwise_count(a & b).sum(axis=1)
+                out[0, at], out[1, at] = np.bitwise_count(a).sum(axis=1) - both, np.bitwise_count(b).sum(axis=1) - both
         return out[0], out[1]
 
 
@@ -190,6 +202,7 @@ def _own(batch: pa.RecordBatch) -> list[np.ndarray]:
 def _sets(noded: DataFrame, shingle: int) -> DataFrame:
     """``node, own``: the whole set of each node, eight bytes an element. A node whose texts lie in several
     batches has several equal rows."""
+    @alone
     def run(batches):
         for batch in batches:
             node, at = np.unique(batch.column("node").to_numpy(), return_index=True)
@@ -202,6 +215,7 @@ def _sets(noded: DataFrame, shingle: int) -> DataFrame:
 def _often(sets: DataFrame) -> np.ndarray:
     """Elements of more than ``OFTEN`` texts, as far as runs of texts tell: those that fewer than three of a run
     have are not counted. This decides the order only, so nothing hangs on what is missed."""
+    @alone
     def run(batches):
         for batch in batches:
             own = _own(batch)
@@ -219,6 +233,7 @@ def _prefixes(sets: DataFrame, similarity: float, last) -> DataFrame:
     ``early`` gives."""
     names = ["node", "n", "fp", *[f"fp{k}" for k in range(1, PARTS)], "keys", "rare", "bits"]
 
+    @alone
     def run(batches):
         for batch in batches:
             found = _own(batch)
@@ -234,6 +249,7 @@ def _prefixes(sets: DataFrame, similarity: float, last) -> DataFrame:
 
 def _held(sets: DataFrame, wanted) -> DataFrame:
     """``node, own``: the sets of the nodes in the bitmap ``wanted``, one row a node."""
+    @alone
     def run(batches):
         for batch in batches:
             yield batch.filter(pa.array(_in(wanted.value, batch.column("node").to_numpy())))
@@ -248,6 +264,7 @@ def _entries(prefixes: DataFrame) -> DataFrame:
     shared = settled(keys.groupBy("key").agg(F.count("*").alias("many")).where("many > 1"))
     bitmap = prefixes.sparkSession.sparkContext.broadcast(_bitmap(shared, "key"))
 
+    @alone
     def run(batches):
         for batch in batches:
             keys, bits = [], []
@@ -276,6 +293,7 @@ def _sieved(pairs: DataFrame, wide: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """``a, b, near``: whether the whole sets of each pair are similar. Only sets that stand in a pair are moved;
     ``pairs`` must be settled."""
+    @alone
     def run(batches):
         for batch in batches:
             out = []
@@ -294,6 +312,7 @@ def _candidates(similarity: float, nearest: bool):
     """Pairs ``a, b`` of buckets: of members with unlike roots, sizes that allow the similarity, fingerprints
     within ``FAR`` bits (``FAR_SHORT`` if one is short) and bitmaps that don't rule it out; with ``nearest``, of each
     member and the one nearest to it. A member on side 0 meets those of side 1, if its bucket has two."""
+    @alone
     def run(batches):
         for batch in batches:
             a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
