@@ -62,8 +62,8 @@ class WordTokenizer:
     """Ids of a tokenizer file whose tokens never reach across ASCII white space: it drops white space, and its
     normalizer looks at no neighbour behind it. Each distinct word is encoded once.
 
-    Words of letters below U+0300 go through the library many at once, with a mark between them and without
-    composition, which leaves them as they are; others pass through the whole of it one by one.
+    Words of letters below U+0300 go through the library many at once, with a mark between them, in small letters and
+    without its normalizer, whose composition leaves them as they are; others pass through the whole of it one by one.
     """
 
     def __init__(self, path: str):
@@ -72,8 +72,9 @@ class WordTokenizer:
         self.whole.no_truncation()
         self.whole.no_padding()
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.plain = tokenizers.Tokenizer(self.whole.model)
-        self.plain.normalizer, self.plain.pre_tokenizer = tokenizers.normalizers.Lowercase(), self.whole.pre_tokenizer
+        self.shown = [s.lower().encode() for s in self.special]
+        self.plain = tokenizers.Tokenizer(self.whole.model)  # Python's lower() is quicker than the library's normalizer
+        self.plain.pre_tokenizer = self.whole.pre_tokenizer
         self.mark = self.whole.encode(MARK, add_special_tokens=False).ids
         if len(self.mark) != 1 or self.whole.encode(f"A {MARK} b", add_special_tokens=False).ids[-2] != self.mark[0]:
             raise ValueError("a tokenizer of another kind")
@@ -86,8 +87,8 @@ class WordTokenizer:
             (many if text.isascii() or not BEYOND.search(text) else single).append(text)
         for at in range(0, len(many), 2048):
             some = many[at:at + 2048]
-            joined = f" {MARK} ".join(some)
-            if joined.count(MARK) >= len(some) or any(s in joined for s in self.special):
+            joined = f" {MARK} ".join(some).lower()
+            if joined.count(MARK) >= len(some) or any(s.lower() in joined for s in self.special):
                 single.extend(some)
                 continue
             ids = np.array(self.plain.encode_batch_fast([f"{joined} {MARK}"], add_special_tokens=False)[0].ids, "<u4")
@@ -105,7 +106,9 @@ class WordTokenizer:
         for text in texts:
             raw = (text or "").encode()
             if raw.isascii() or not BEYOND.search(text):  # small letters of A to Z are the same word to the tokenizer
-                raw = raw.lower()
+                small = raw.lower()
+                if not any(s in small for s in self.shown):  # special tokens are told by their case
+                    raw = small
             words, known = raw.split(), len(fresh)
             found.append(list(map(get, words)))
             if len(fresh) > known:
