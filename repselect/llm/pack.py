@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,8 @@ OUT, AT_ONCE = 1 << 23, 1 << 20
 MARK = "\0"
 #: Letters from here on may combine with the one before, so that case and composition don't commute.
 BEYOND = re.compile("[\u0300-\U0010ffff]")
+#: What the tokenizer cuts off behind a letter or digit.
+SIGNS = string.punctuation.encode()
 
 
 class Words(dict):
@@ -80,7 +83,28 @@ class WordTokenizer:
             raise ValueError("a tokenizer of another kind")
         self.words = Words()
 
+    def border(self, word: bytes) -> int:
+        """Where the signs at the end of a word start, if a letter or digit stands before them, else 0."""
+        at = len(word.rstrip(SIGNS))
+        if not 0 < at < len(word) <= LONGEST:
+            return 0
+        last = word[:at].decode()[-1]
+        return at if last < "\u0300" and last.isalnum() and not any(s in word.lower() for s in self.shown) else 0
+
     def learn(self, words: list[bytes]) -> None:
+        """Puts the ids of new words into ``words``; those that end in signs are put together from two parts."""
+        own, plain, cut = self.words, {}, []
+        for word in words:
+            at = self.border(word)
+            if at:
+                cut.append((word, word[:at], word[at:]))
+                plain.update((part, None) for part in cut[-1][1:] if own[part] is None)
+            else:
+                plain[word] = None
+        self.encode_new(list(plain))
+        own.update((word, own[stem] + own[signs]) for word, stem, signs in cut)
+
+    def encode_new(self, words: list[bytes]) -> None:
         many, single = [], []
         for word in words:
             text = word.decode()
