@@ -26,6 +26,7 @@ import logging
 import math
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -287,11 +288,11 @@ def _sieved(pairs: DataFrame, wide: DataFrame) -> DataFrame:
     side = lambda node, mark: wide.select(F.col("node").alias(node), *[F.col(c).alias(f"{mark}{k}") for k, c in enumerate(wide.columns[1:])])
     differ = [F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(1, PARTS + 1)]
     most = F.when(F.least("x0", "y0") < SHORT, WIDE_SHORT).otherwise(WIDE)
-    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(sum(differ[1:], differ[0]) <= most).select("a", "b")
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").where(sum(differ[1:], differ[0]) <= most).select(*pairs.columns)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """``a, b, near``: whether the whole sets of each pair are similar. Only sets that stand in a pair are moved;
+    """``a, b, p, q, near``: whether the whole sets of each pair are similar. Only sets that stand in a pair are moved;
     ``pairs`` must be settled."""
     @alone
     def run(batches):
@@ -300,22 +301,22 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
             for x, y in zip(*[[np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(c)] for c in ("x", "y")]):
                 both = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
                 out.append(both >= least_common(len(x) + len(y) - both, similarity))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.bool_())], ["a", "b", "near"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, "abpq"), pa.array(out, pa.bool_())], [*"abpq", "near"])
 
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     held = _held(sets, sets.sparkSession.sparkContext.broadcast(_bitmap(ends, "node")))
     side = lambda node, own: held.select(F.col("node").alias(node), F.col("own").alias(own))
-    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, near boolean")
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select(*"abpq", "x", "y").mapInArrow(run, "a long, b long, p long, q long, near boolean")
 
 
 def _candidates(similarity: float, nearest: bool):
-    """Pairs ``a, b`` of buckets: of members with unlike roots, sizes that allow the similarity, fingerprints
+    """Pairs ``a, b`` of buckets, and their roots ``p, q``: of members with unlike roots, sizes that allow the similarity, fingerprints
     within ``FAR`` bits (``FAR_SHORT`` if one is short) and bitmaps that don't rule it out; with ``nearest``, of each
     member and the one nearest to it. A member on side 0 meets those of side 1, if its bucket has two."""
     @alone
     def run(batches):
         for batch in batches:
-            a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            out = [[np.zeros(0, np.int64)] for _ in range(4)]
             column = batch.column("all")
             flat, at = column.values, column.offsets.to_numpy()
             node, n, fp, root, side = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
@@ -344,10 +345,11 @@ def _candidates(similarity: float, nearest: bool):
                         j = best[i]
                     else:
                         i, j = np.nonzero(fit)
-                    x, y = node[own[i]], node[cols[j]]
-                    a.append(np.minimum(x, y))
-                    b.append(np.maximum(x, y))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+                    x, y = own[i], cols[j]
+                    x, y = np.where(node[x] < node[y], (x, y), (y, x))
+                    for found, column in zip(out, (node[x], node[y], root[x], root[y])):
+                        found.append(column)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], [*"abpq"])
 
     return run
 
@@ -382,11 +384,12 @@ def frugal(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, value)
 
 
-def links(noded: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links ``(a, b)`` that connect all nodes of ``noded`` with at least ``similarity``.
+def components(noded: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``(node, root)`` as ``connected_components`` gives them, of all nodes of ``noded`` with at least ``similarity``.
 
     Rounds first compare each member of a bucket with the one nearest to it, so that large groups become one
-    component by few comparisons; then every candidate that is still in two components is compared.
+    component by few comparisons; then every candidate that is still in two components is compared. A round's links
+    join the roots of the one before, so that components are never worked out anew.
     """
     sets = settled(_sets(noded, shingle))
     last = sets.sparkSession.sparkContext.broadcast(_often(sets))
@@ -399,26 +402,29 @@ def links(noded: DataFrame, shingle: int, similarity: float) -> DataFrame:
     ring = simhash.links(names.select("fp"), NEAR)
     ring = ring.join(names.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(names.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b").select("x", "y")
     proposed = stars.unionByName(ring)
-    proposed = settled(proposed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-    told = settled(_verified(proposed, sets, similarity))
+    proposed = settled(proposed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().select("*", F.col("a").alias("p"), F.col("b").alias("q")))
+    told = [settled(_verified(proposed, sets, similarity))]
+    roots = connected_components(told[0].where("near").select("a", "b"))
     final = False
     for turn in range(ROUNDS + 1):
-        roots = connected_components(told.where("near").select("a", "b"))
         placed = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        found = _buckets(placed.join(apart, "key", "left_semi"), turn, final).mapInArrow(_candidates(similarity, not final), "a long, b long").distinct()
+        found = _buckets(placed.join(apart, "key", "left_semi"), turn, final).mapInArrow(_candidates(similarity, not final), "a long, b long, p long, q long").dropDuplicates(["a", "b"])
         released(proposed)
-        proposed = settled(_sieved(found.join(told, ["a", "b"], "left_anti"), wide))
-        fresh = settled(_verified(proposed, sets, similarity))
-        before, told = told, settled(told.unionByName(fresh))
-        near, many = fresh.agg(F.coalesce(F.sum(F.col("near").cast("long")), F.lit(0)), F.count("*")).first()
+        decided = reduce(DataFrame.unionByName, told).where("not near").select("a", "b")  # the others have one root
+        proposed = settled(_sieved(found.join(decided, ["a", "b"], "left_anti"), wide))
+        told.append(settled(_verified(proposed, sets, similarity)))
+        near, many = told[-1].agg(F.coalesce(F.sum(F.col("near").cast("long")), F.lit(0)), F.count("*")).first()
         LOG.info("round %d: %d of %d pairs similar", turn, near, many)
-        released(before, fresh)
+        if near:
+            joined = told[-1].where("near").select(F.col("p").alias("a"), F.col("q").alias("b"))
+            before, roots = roots, connected_components(roots.toDF("a", "b").unionByName(joined))
+            released(before)
         if final:
             break
         final = turn + 1 == ROUNDS or near <= FRUITFUL * many
-    released(sets, wide, entries, proposed)
-    return told.where("near").select("a", "b")
+    released(sets, wide, entries, proposed, *told)
+    return roots
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -431,7 +437,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     noded = _noded(docs)
     marked = settled(noded.select("doc_id", "node"))
     with frugal(docs.sparkSession):  # everything in here is settled when it is left
-        roots = connected_components(links(noded, shingle, similarity))
+        roots = components(noded, shingle, similarity)
         rooted = settled(marked.join(roots, "node", "left").select("doc_id", F.coalesce("root", "node").alias("root")))
     return rooted.join(rooted.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("doc_id", "component_id")
 

@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 from repselect.llm import similar
+from repselect.llm.components import connected_components
 from .conftest import odd_rows
 
 
@@ -99,3 +100,21 @@ def test_bitmaps_bound_what_sets_lack():
         p, q = sets[held[i]], sets[held[j]]
         assert a <= len(np.setdiff1d(p, q)) and b <= len(np.setdiff1d(q, p))
     assert less_x.max() > 30
+
+
+def test_stars_are_joined_by_few_tasks(spark):
+    """A task costs a line of the log and small files, however few links it has."""
+    kept = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(kept, "false")
+    context = spark.sparkContext
+    context.setJobGroup("stars", "stars")
+    try:
+        links = [(100 * k + c, 100 * k) for k in range(20) for c in range(1, 50)] + [(100 * k, 100 * k - 100) for k in range(1, 20, 2)]
+        got = connected_components(spark.createDataFrame(links, "a long, b long").repartition(8))
+        assert sorted(map(tuple, got.collect())) == sorted({(a, a // 200 * 200) for a, _ in links})
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.unset(kept)
+    told = context.statusTracker()
+    stages = {s for j in told.getJobIdsForGroup("stars") for s in told.getJobInfo(j).stageIds}
+    assert sum(info.numCompletedTasks for info in map(told.getStageInfo, stages) if info) <= 120
