@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from repselect.llm import bpe, simhash
 from repselect.llm.bpe import runs
-from repselect.llm.components import connected_components
+from repselect.llm.components import connected_components, local_roots
 from repselect.llm.quality import BLANKS
 from repselect.llm.rows import all_columns
 from repselect.session import CLEANUP, released, settled
@@ -60,9 +60,15 @@ PAIRED = 1 << 22
 #: Words of 64 bits of a bitmap of hashes (2 MB), which is broadcast. It only spares rows that would find no
 #: partner; when it is too full for that, nothing else changes.
 WORDS = 1 << 18
+#: Members and elements of a tile's part in the last round.
+TILE, TILE_ELEMENTS = 512, 1 << 19
+#: Elements of a tile that are held against each other at once.
+COLUMNS = 1 << 13
 #: Most rounds in which a member only meets its nearest, before all that is still apart is compared; they end
 #: when less than the share ``FRUITFUL`` of these pairs is similar.
 ROUNDS, FRUITFUL = 12, 0.1
+#: Columns of the other parts of a wide fingerprint.
+FIELDS = [f"fp{k}" for k in range(1, PARTS)]
 LOG = logging.getLogger(__name__)
 
 
@@ -232,7 +238,7 @@ def _often(sets: DataFrame) -> np.ndarray:
 def _prefixes(sets: DataFrame, similarity: float, last) -> DataFrame:
     """``node, n, fp, fp1.., keys, rare, bits``: one row a node, size and wide fingerprint of its set, and what
     ``early`` gives."""
-    names = ["node", "n", "fp", *[f"fp{k}" for k in range(1, PARTS)], "keys", "rare", "bits"]
+    names = ["node", "n", "fp", *FIELDS, "keys", "rare", "bits"]
 
     @alone
     def run(batches):
@@ -244,7 +250,7 @@ def _prefixes(sets: DataFrame, similarity: float, last) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("node"), pa.array(map(len, found), pa.int32()), *wide, _listed(list(keys)), pa.array(rare, pa.int32()), pa.array(bits, pa.binary())], names)
 
-    rows = sets.mapInArrow(run, "node long, n int, fp long, " + "".join(f"fp{k} long, " for k in range(1, PARTS)) + "keys array<long>, rare int, bits binary")
+    rows = sets.mapInArrow(run, "node long, n int, fp long, " + "".join(f"{f} long, " for f in FIELDS) + "keys array<long>, rare int, bits binary")
     return rows.groupBy("node").agg(*[F.first(c).alias(c) for c in names[1:]])
 
 
@@ -309,36 +315,86 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select(*"abpq", "x", "y").mapInArrow(run, "a long, b long, p long, q long, near boolean")
 
 
+def _common(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many elements ``sets[x[k]]`` and ``sets[y[k]]`` share."""
+    out = np.zeros(len(x), np.int64)
+    _, column, many = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+    owner, shared = np.repeat(np.arange(len(sets)), list(map(len, sets))), many[column] > 1
+    owner, column = owner[shared], (np.cumsum(many > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    width = int(column[-1]) + 1 if len(column) else 0
+    for at in range(0, width, COLUMNS):
+        size = -(-min(COLUMNS, width - at) // 64) * 64
+        lo, hi = np.searchsorted(column, (at, at + COLUMNS))
+        bits = np.zeros((len(sets), size), bool)
+        bits[owner[lo:hi], column[lo:hi] - at] = True
+        bits = np.packbits(bits, axis=1).view(np.uint64)
+        for part in np.array_split(np.arange(len(x)), -(-len(x) * size // 8 // PAIRED) or 1):
+            out[part] += np.bitwise_count(bits[x[part]] & bits[y[part]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+class Members:
+    """Members of the buckets or tiles of a batch."""
+
+    def __init__(self, column: pa.Array, similarity: float):
+        self.similarity, flat = similarity, column.values
+        self.borders = column.offsets.to_numpy()
+        self.node, self.n, self.fp, self.root, self.side = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+        self.bitmaps, names = flat.field(5), flat.type.names
+        self.wide = [flat.field(f).to_numpy(zero_copy_only=False).view(np.uint64) for f in FIELDS if f in names]
+        self.own, self.known = (flat.field(f) if f in names else None for f in ("own", "known"))
+
+    def decided(self, lo: int, hi: int) -> np.ndarray:
+        """Pairs ``i * (hi - lo) + j``, both ways round, of members from ``lo`` to ``hi`` one of which knows the other."""
+        at, order = self.known.offsets.to_numpy()[lo:hi + 1], np.argsort(self.node[lo:hi])
+        other = self.known.values.to_numpy(zero_copy_only=False)[at[0]:at[-1]]
+        i, node = np.repeat(np.arange(hi - lo), np.diff(at)), self.node[lo:hi][order]
+        place = np.searchsorted(node, other) % (hi - lo)
+        i, j = i[node[place] == other], order[place[node[place] == other]]
+        return np.concatenate((i * (hi - lo) + j, j * (hi - lo) + i))
+
+    def chunks(self, lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """``own, cols, far, fit`` of the members from ``lo`` to ``hi``, some of them at once: whether ``own[i]`` and
+        ``cols[j]`` have unlike roots, sizes that allow the similarity, fingerprints within ``FAR`` bits (``FAR_SHORT``
+        if one is short), wide ones (if given) within ``WIDE`` and bitmaps (if any) that don't rule it out. Members on side
+        0 meet those of side 1, if there are two."""
+        n, root, side, bits = self.n, self.root, self.side[lo:hi], self.fp.view(np.uint64)
+        rows = lo + np.flatnonzero(side == 0)
+        cols = lo + np.flatnonzero(side == 1) if side.any() else rows
+        maps = Bitmaps(self.bitmaps.slice(lo, hi - lo).to_pylist())
+        for k in range(0, len(rows), 256):
+            own = rows[k:k + 256]
+            far = np.bitwise_count(bits[own, None] ^ bits[None, cols])
+            small, large = np.minimum(n[own, None], n[None, cols]), np.maximum(n[own, None], n[None, cols])
+            fit = (far <= np.where(small < SHORT, FAR_SHORT, FAR)) & (root[own, None] != root[None, cols]) & (small >= self.similarity * large - 1e-9)
+            if self.wide:
+                i, j = np.nonzero(fit)
+                differ = far[i, j].astype(np.int64)
+                for part in self.wide:
+                    differ += np.bitwise_count(part[own[i]] ^ part[cols[j]])
+                fit[i, j] = differ <= np.where(small[i, j] < SHORT, WIDE_SHORT, WIDE)
+            if maps.sizes[0]:
+                for at_once in np.array_split(np.flatnonzero(fit), -(-fit.sum() // (1 << 15)) or 1):
+                    i, j = np.unravel_index(at_once, fit.shape)
+                    p, q = own[i], cols[j]
+                    less_p, less_q = maps.lacking(p - lo, q - lo)
+                    common = np.minimum(n[p] - less_p, n[q] - less_q)
+                    fit[i, j] = common * (1 + self.similarity) >= self.similarity * (n[p].astype(np.int64) + n[q]) - 1e-6
+            yield own, cols, far, fit
+
+
 def _candidates(similarity: float, nearest: bool):
-    """Pairs ``a, b`` of buckets, and their roots ``p, q``: of members with unlike roots, sizes that allow the similarity, fingerprints
-    within ``FAR`` bits (``FAR_SHORT`` if one is short) and bitmaps that don't rule it out; with ``nearest``, of each
-    member and the one nearest to it. A member on side 0 meets those of side 1, if its bucket has two."""
+    """Pairs ``a, b`` of buckets that fit, and their roots ``p, q``; with ``nearest``, of each member and the one nearest
+    to it."""
     @alone
     def run(batches):
         for batch in batches:
             out = [[np.zeros(0, np.int64)] for _ in range(4)]
-            column = batch.column("all")
-            flat, at = column.values, column.offsets.to_numpy()
-            node, n, fp, root, side = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
-            own_bits = flat.field(5)
-            bits = fp.view(np.uint64)
-            for lo, hi in zip(at, at[1:]):
-                two = side[lo:hi].any()
-                rows = lo + np.flatnonzero(side[lo:hi] == 0)
-                cols = lo + np.flatnonzero(side[lo:hi] == 1) if two else rows
-                maps = Bitmaps(own_bits.slice(lo, hi - lo).to_pylist())
-                for k in range(0, len(rows), 256):
-                    own = rows[k:k + 256]
-                    far = np.bitwise_count(bits[own, None] ^ bits[None, cols])
-                    small, large = np.minimum(n[own, None], n[None, cols]), np.maximum(n[own, None], n[None, cols])
-                    fit = (far <= np.where(small < SHORT, FAR_SHORT, FAR)) & (root[own, None] != root[None, cols]) & (small >= similarity * large - 1e-9)
-                    if maps.sizes[0]:
-                        for at_once in np.array_split(np.flatnonzero(fit), -(-fit.sum() // (1 << 15)) or 1):
-                            i, j = np.unravel_index(at_once, fit.shape)
-                            p, q = own[i], cols[j]
-                            less_p, less_q = maps.lacking(p - lo, q - lo)
-                            common = np.minimum(n[p] - less_p, n[q] - less_q)
-                            fit[i, j] = common * (1 + similarity) >= similarity * (n[p].astype(np.int64) + n[q]) - 1e-6
+            m = Members(batch.column("all"), similarity)
+            for lo, hi in zip(m.borders, m.borders[1:]):
+                for own, cols, far, fit in m.chunks(lo, hi):
                     if nearest:
                         best = np.where(fit, far, 255).argmin(axis=1)
                         i = np.flatnonzero(fit[np.arange(len(own)), best])
@@ -346,27 +402,129 @@ def _candidates(similarity: float, nearest: bool):
                     else:
                         i, j = np.nonzero(fit)
                     x, y = own[i], cols[j]
-                    x, y = np.where(node[x] < node[y], (x, y), (y, x))
-                    for found, column in zip(out, (node[x], node[y], root[x], root[y])):
+                    x, y = np.where(m.node[x] < m.node[y], (x, y), (y, x))
+                    for found, column in zip(out, (m.node[x], m.node[y], m.root[x], m.root[y])):
                         found.append(column)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], [*"abpq"])
 
     return run
 
 
+def _neighbours(similarity: float):
+    """``a, b, pairs`` of buckets: a row for each member that fits another one, with one member of its group in the
+    bucket, the same for the whole group, and the pairs it is the first of. The pairs themselves are not listed."""
+    @alone
+    def run(batches):
+        for batch in batches:
+            out = [[np.zeros(0, np.int64)] for _ in range(3)]
+            m = Members(batch.column("all"), similarity)
+            for lo, hi in zip(m.borders, m.borders[1:]):
+                star, every, pairs = np.arange(hi - lo), np.arange(hi - lo), np.zeros(hi - lo, np.int64)
+                met = np.zeros(hi - lo, bool)
+                for own, cols, _, fit in m.chunks(lo, hi):
+                    i, j = np.nonzero(fit)
+                    x, y = own[i] - lo, cols[j] - lo
+                    if not m.side[lo:hi].any():
+                        x, y = x[x < y], y[x < y]
+                    pairs += np.bincount(x, minlength=hi - lo)
+                    met[x] = met[y] = True
+                    star = local_roots(hi - lo, np.concatenate((every, x)), np.concatenate((star, y)))
+                at = lo + np.flatnonzero(met)
+                for found, column in zip(out, (m.node[at], m.node[lo + star[met]], pairs[met])):
+                    found.append(column)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["a", "b", "pairs"])
+
+    return run
+
+
+def _decided(similarity: float):
+    """``a, b, pairs`` of tiles: links that join all roots with similar members, as a star for each group of roots, and in a
+    row without a link the number of pairs whose whole sets were compared."""
+    @alone
+    def run(batches):
+        for batch in batches:
+            out = [[np.zeros(0, np.int64)] for _ in range(3)]
+            m = Members(batch.column("all"), similarity)
+            for lo, hi in zip(m.borders, m.borders[1:]):
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in m.own.slice(lo, hi - lo)]
+                names, of = np.unique(m.root[lo:hi], return_inverse=True)
+                star, every, pairs, decided = np.arange(len(names)), np.arange(len(names)), 0, m.decided(lo, hi)
+                for own, cols, _, fit in m.chunks(lo, hi):
+                    i, j = np.nonzero(fit)
+                    x, y = own[i] - lo, cols[j] - lo
+                    new = (star[of[x]] != star[of[y]]) & ~np.isin(x * (hi - lo) + y, decided)
+                    if not m.side[lo:hi].any():
+                        new &= x < y
+                    x, y = x[new], y[new]
+                    pairs += len(x)
+                    both = _common(sets, x, y)
+                    union = m.n[lo + x].astype(np.int64) + m.n[lo + y] - both
+                    near = both >= np.ceil(similarity * union - 1e-9)
+                    star = local_roots(len(names), np.concatenate((every, of[x[near]])), np.concatenate((star, of[y[near]])))
+                moved = star != every
+                for found, column in zip(out, (names[moved], names[star[moved]], np.zeros(moved.sum(), np.int64))):
+                    found.append(column)
+                for found, one in zip(out, (names[0], names[0], pairs)):
+                    found.append(np.array([one], np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], ["a", "b", "pairs"])
+
+    return run
+
+
 def _buckets(entries: DataFrame, turn: int, whole: bool) -> DataFrame:
     """``all``: members of each bucket in parts of about ``BUCKET``, dealt anew each turn; if ``whole``, large
-    buckets also give all pairs of their parts."""
-    parts = F.ceil(F.col("many") / BUCKET)
+    buckets also give all pairs of their parts. Wide fingerprints that ``entries`` have go with them."""
+    more = [f for f in FIELDS if f in entries.columns]
+    parts = F.ceil(F.col("many") / BUCKET).cast("int")
     part = F.pmod(F.xxhash64("node", F.lit(turn)), parts).cast("int")
-    dealt = entries.select("key", "node", "n", "fp", "bits", "root", parts.cast("int").alias("parts"), part.alias("part"))
-    if whole:
-        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-        dealt = dealt.select("*", other.alias("other")).select(
-            "key", "node", "n", "fp", "bits", "root", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") > F.col("other")).cast("int").alias("side"))
-    else:
-        dealt = dealt.select("key", "node", "n", "fp", "bits", "root", F.col("part").alias("p"), F.col("part").alias("q"), F.lit(0).alias("side"))
-    return dealt.groupBy("key", "p", "q").agg(F.collect_list(F.struct("node", "n", "fp", "root", "side", "bits")).alias("all"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("all")
+    dealt = _dealt(entries.select("key", "node", "n", "fp", "bits", "root", *more, parts.alias("parts"), part.alias("part")), whole)
+    return dealt.groupBy("key", "p", "q").agg(F.collect_list(F.struct("node", "n", "fp", "root", "side", "bits", *more)).alias("all"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("all")
+
+
+def _dealt(members: DataFrame, whole: bool) -> DataFrame:
+    """``members`` in tiles ``p, q`` of their ``part`` of ``parts``: if ``whole``, of all pairs of parts."""
+    kept = [c for c in members.columns if c not in ("parts", "part")]
+    if not whole:
+        return members.select(*kept, F.col("part").alias("p"), F.col("part").alias("q"), F.lit(0).alias("side"))
+    dealt = members.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return dealt.select(*kept, F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), (F.col("part") > F.col("other")).cast("int").alias("side"))
+
+
+def _last_links(placed: DataFrame, wide: DataFrame, sets: DataFrame, roots: DataFrame, decided: DataFrame, similarity: float, turn: int) -> tuple[DataFrame, int]:
+    """Settled links ``a, b`` of roots that join all components with similar members (and of some with themselves), and
+    the number of pairs compared, which are not ``decided`` yet.
+
+    Members that fit another one in a bucket form groups, which are compared tile by tile: a whole set moves once
+    a tile, each two members meet in one tile, and a tile gives a star for each of its groups, so that no row stands for a
+    pair, however large a group. Only where a group is so large and loose that this would move more sets than its pairs
+    do, they are listed and compared one by one.
+    """
+    placed = placed.join(wide.select("node", *FIELDS), "node")
+    met = settled(_buckets(placed, turn, True).mapInArrow(_neighbours(similarity), "a long, b long, pairs long").groupBy("a", "b").agg(F.sum("pairs").alias("pairs")))
+    groups = connected_components(met.select("a", "b"))
+    members = met.groupBy(F.col("a").alias("node")).agg(F.sum("pairs").alias("pairs")).join(groups.withColumnRenamed("root", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
+    members = settled(members.join(wide, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    released(met, groups)
+    parts = F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_ELEMENTS)).cast("int")
+    sizes = members.groupBy("group").agg(parts.alias("parts"), F.count("*").alias("size"), F.sum("pairs").alias("pairs"))
+    sizes = settled(sizes.select("group", "parts", ((F.col("parts") == 1) | (F.col("size") * F.col("parts") <= 2 * F.col("pairs"))).alias("tiled")))
+    tiled = members.drop("pairs").join(sizes, "group").where("tiled").drop("tiled").withColumn("part", F.pmod(F.xxhash64("node", F.lit(turn)), "parts").cast("int"))
+    held = _held(sets, sets.sparkSession.sparkContext.broadcast(_bitmap(members, "node")))
+    known = decided.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("known"))
+    tiled = tiled.join(known, "node", "left").withColumn("known", F.coalesce("known", F.array().cast("array<long>")))
+    tiles = _dealt(tiled, True).join(held, "node").groupBy("group", "p", "q").agg(
+        F.collect_list(F.struct("node", "n", "fp", "root", "side", F.lit(b"").alias("bits"), *FIELDS, "own", "known")).alias("all"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("all")
+    links = settled(tiles.mapInArrow(_decided(similarity), "a long, b long, pairs long"))
+    pairs = links.agg(F.coalesce(F.sum("pairs"), F.lit(0))).first()[0]
+    loose = members.join(sizes.where("not tiled"), "group", "left_semi").select("node")
+    if not sizes.where("not tiled").isEmpty():
+        found = settled(_buckets(placed.join(loose, "node", "left_semi"), turn, True).mapInArrow(_candidates(similarity, False), "a long, b long, p long, q long").dropDuplicates(["a", "b"]).join(decided, ["a", "b"], "left_anti"))
+        told = settled(_verified(found, sets, similarity))
+        pairs += told.count()
+        tiled, links = links, settled(links.select("a", "b").unionByName(told.where("near").select(F.col("p").alias("a"), F.col("q").alias("b"))))
+        released(found, told, tiled)
+    released(members, sizes)
+    return links, pairs
 
 
 @contextmanager
@@ -384,12 +542,19 @@ def frugal(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, value)
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after ``links`` of them; the former ones are released."""
+    after = connected_components(roots.toDF("a", "b").unionByName(links))
+    released(roots)
+    return after
+
+
 def components(noded: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """``(node, root)`` as ``connected_components`` gives them, of all nodes of ``noded`` with at least ``similarity``.
 
     Rounds first compare each member of a bucket with the one nearest to it, so that large groups become one
-    component by few comparisons; then every candidate that is still in two components is compared. A round's links
-    join the roots of the one before, so that components are never worked out anew.
+    component by few comparisons; then every candidate that is still in two components is compared, tile by tile. A
+    round's links join the roots of the one before, so that components are never worked out anew.
     """
     sets = settled(_sets(noded, shingle))
     last = sets.sparkSession.sparkContext.broadcast(_often(sets))
@@ -405,25 +570,27 @@ def components(noded: DataFrame, shingle: int, similarity: float) -> DataFrame:
     proposed = settled(proposed.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().select("*", F.col("a").alias("p"), F.col("b").alias("q")))
     told = [settled(_verified(proposed, sets, similarity))]
     roots = connected_components(told[0].where("near").select("a", "b"))
-    final = False
     for turn in range(ROUNDS + 1):
         placed = entries.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        found = _buckets(placed.join(apart, "key", "left_semi"), turn, final).mapInArrow(_candidates(similarity, not final), "a long, b long, p long, q long").dropDuplicates(["a", "b"])
-        released(proposed)
+        placed = placed.join(apart, "key", "left_semi")
         decided = reduce(DataFrame.unionByName, told).where("not near").select("a", "b")  # the others have one root
+        if turn and (turn == ROUNDS or near <= FRUITFUL * many):
+            break
+        found = _buckets(placed, turn, False).mapInArrow(_candidates(similarity, True), "a long, b long, p long, q long").dropDuplicates(["a", "b"])
+        released(proposed)
         proposed = settled(_sieved(found.join(decided, ["a", "b"], "left_anti"), wide))
         told.append(settled(_verified(proposed, sets, similarity)))
         near, many = told[-1].agg(F.coalesce(F.sum(F.col("near").cast("long")), F.lit(0)), F.count("*")).first()
         LOG.info("round %d: %d of %d pairs similar", turn, near, many)
         if near:
-            joined = told[-1].where("near").select(F.col("p").alias("a"), F.col("q").alias("b"))
-            before, roots = roots, connected_components(roots.toDF("a", "b").unionByName(joined))
-            released(before)
-        if final:
-            break
-        final = turn + 1 == ROUNDS or near <= FRUITFUL * many
-    released(sets, wide, entries, proposed, *told)
+            roots = _joined(roots, told[-1].where("near").select(F.col("p").alias("a"), F.col("q").alias("b")))
+    links, many = _last_links(placed, wide, sets, roots, decided, similarity, turn)
+    near = links.where("a <> b").count()
+    LOG.info("round %d: %d links of components from %d pairs", turn, near, many)
+    if near:
+        roots = _joined(roots, links.select("a", "b"))
+    released(sets, wide, entries, proposed, links, *told)
     return roots
 
 

@@ -118,3 +118,63 @@ def test_stars_are_joined_by_few_tasks(spark):
     told = context.statusTracker()
     stages = {s for j in told.getJobIdsForGroup("stars") for s in told.getJobInfo(j).stageIds}
     assert sum(info.numCompletedTasks for info in map(told.getStageInfo, stages) if info) <= 120
+
+
+def near_copies(n, edits, seed=1):
+    """Copies of a text of 150 words, each with words of its own in other places: most pairs are just not similar."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10 ** 6)}" for _ in range(150)]
+    rows = []
+    for k in range(n):
+        own = list(base)
+        for c in range(edits(k)):
+            own[rng.randrange(150)] = f"own{k}x{c}"
+        rows.append((k, " ".join(own)))
+    return rows
+
+
+def rows_of_pairs(monkeypatch):
+    """Rows of the tables that ``_verified`` is given, one a pair."""
+    own, seen = similar._verified, []
+
+    def verified(pairs, sets, similarity):
+        seen.append(pairs.count())
+        return own(pairs, sets, similarity)
+
+    monkeypatch.setattr(similar, "_verified", verified)
+    return seen
+
+
+def test_near_copies_just_below_the_threshold_make_no_rows_of_pairs(spark, monkeypatch):
+    """As many pairs are compared, but rows grow with the copies."""
+    rows = near_copies(200, lambda k: 2 + k % 3)
+    seen = rows_of_pairs(monkeypatch)
+    got = similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted(map(tuple, got.collect()), key=repr) == brute_groups(rows)
+    assert sum(seen) <= 4 * len(rows)  # with a row a pair, several thousand
+
+
+def test_tiles_and_listed_pairs_give_the_same_groups(spark, monkeypatch):
+    """Groups in one tile, in tiles of pairs of parts, and listed pair by pair."""
+    rows = near_copies(60, lambda k: 1 + k % 4) + [(1000 + k, t.replace("w", "v")) for k, t in near_copies(7, lambda k: 2 + k % 2, 2)]
+    want = brute_groups(rows)
+    assert 1 < len({c for _, c in want}) < len(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for tile, elements in ((512, 1 << 19), (16, 1 << 19), (512, 1 << 11), (1, 1)):
+        monkeypatch.setattr(similar, "TILE", tile)
+        monkeypatch.setattr(similar, "TILE_ELEMENTS", elements)
+        monkeypatch.setattr(similar, "ROUNDS", 1)
+        assert sorted(map(tuple, similar.similar_groups(docs).collect()), key=repr) == want
+
+
+def test_common_elements_of_pairs_in_parts(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 500, k).astype(np.uint64) << np.uint64(50)) for k in (0, 1, 30, 200, 400, 400)]
+    x, y = np.triu_indices(6, 1)
+    for columns in (64, 128, 1 << 13):
+        monkeypatch.setattr(similar, "COLUMNS", columns)
+        monkeypatch.setattr(similar, "PAIRED", 100)
+        assert similar._common(sets, x, y).tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(x, y)]
+    assert similar._common([], x[:0], y[:0]).tolist() == []
