@@ -80,6 +80,67 @@ def test_nearest_and_their_graph(blocks, k):
             assert dims[m] is None if np.isnan(want) else np.isclose(dims[m], want)
 
 
+@pytest.fixture
+def moved(monkeypatch):
+    """A function that gives the bytes written to shuffle files since it was last asked, by collect and checkpoint."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    plans = []
+    for name in ("collect", "checkpoint"):
+        def noted(self, *args, f=getattr(DataFrame, name), **more):
+            plans.append(self._jdf.queryExecution())
+            return f(self, *args, **more)
+        monkeypatch.setattr(DataFrame, name, noted)
+
+    def written(plan):
+        kind = plan.nodeName()
+        if kind.startswith("AdaptiveSparkPlan"):
+            return written(plan.executedPlan())
+        if "QueryStage" in kind:
+            return written(plan.plan())
+        own = plan.metrics().apply("shuffleBytesWritten").value() if kind == "Exchange" else 0
+        return own + sum(written(plan.children().apply(k)) for k in range(plan.children().size()))
+
+    def since():
+        total = sum(written(p.executedPlan()) for p in plans)
+        plans.clear()
+        return total
+    return since
+
+
+@pytest.fixture
+def many(spark, monkeypatch):
+    """40 blocks of one candidate and the bytes of its vectors."""
+    monkeypatch.setattr(tiles, "ROWS", 8)
+    x = np.random.default_rng(7).normal(size=(320, 64))
+    df = spark.createDataFrame([("a", "t", 1, k, v.tolist()) for k, v in enumerate(x)], "model_alias string, task string, layer int, item_id long, vec array<double>")
+    return x, tiles.item_blocks(df), x.nbytes
+
+
+def test_bandwidth_moves_no_vectors(many, moved):
+    x, blocks, size = many
+    moved()
+    (row,) = tiles.bandwidth(blocks).collect()
+    assert np.isclose(row.tau2, plain_tau(x), rtol=1e-12)
+    assert moved() < 2 * size  # counts by bucket; all vectors to all blocks are 40 times their size
+
+
+def test_bandwidth_lists_or_counts_to_the_last_bit(many, monkeypatch):
+    x, blocks, _ = many
+    for few in (1, 100, 1 << 18):
+        monkeypatch.setattr(tiles, "FEW", few)
+        assert np.isclose(tiles.bandwidth(blocks).collect()[0].tau2, plain_tau(x), rtol=1e-12)
+
+
+def test_bandwidth_of_floats_and_odd_numbers(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "ROWS", 4)
+    x = np.random.default_rng(8).normal(size=(30, 3)).astype(np.float32)
+    rows = [(m, "t", 1, k, v.tolist()) for m in "ab" for k, v in enumerate(x)] + [("b", "t", 1, 30, [float("nan")] * 3), ("c", "t", 1, 0, [float("inf"), 0.0, 0.0]), ("c", "t", 1, 1, [0.0, 0.0, 0.0])]
+    blocks = tiles.item_blocks(spark.createDataFrame(rows, "model_alias string, task string, layer int, item_id long, vec array<float>"))
+    got = {r.model_alias: r.tau2 for r in tiles.bandwidth(blocks).collect()}
+    assert np.isclose(got["a"], plain_tau(x.astype(np.float64)), rtol=1e-12) and got["b"] == got["a"]
+
+
 def test_lanczos_finds_close_and_repeated_values():
     rng = np.random.default_rng(4)
     turn = np.linalg.qr(rng.normal(size=(400, 400)))[0]
