@@ -141,6 +141,26 @@ def test_bandwidth_of_floats_and_odd_numbers(spark, monkeypatch):
     assert np.isclose(got["a"], plain_tau(x.astype(np.float64)), rtol=1e-12) and got["b"] == got["a"]
 
 
+def test_degrees_move_no_vectors(many, moved):
+    x, blocks, size = many
+    tau = tiles.bandwidth(blocks)
+    moved()
+    got = {r.item_id: r.degree for r in tiles.degrees(blocks, tau).collect()}
+    w = np.exp(-distances(x) / (2 * plain_tau(x) + 1e-12))
+    np.fill_diagonal(w, 0)
+    assert np.allclose([got[k] for k in range(len(x))], w.sum(1), rtol=1e-9)
+    assert moved() < size
+
+
+def test_parts_of_a_block_are_joined(many, monkeypatch):
+    x, blocks, _ = many
+    tau, kept = tiles.bandwidth(blocks), {}
+    for held in (1, 256):  # folds handed out after each pair of blocks, or at the end
+        monkeypatch.setattr(tiles, "HELD", held)
+        kept[held] = {r.item_id: r.degree for r in tiles.degrees(blocks, tau).collect()}
+    assert kept[1].keys() == kept[256].keys() == set(range(len(x))) and all(np.isclose(kept[1][k], kept[256][k], rtol=1e-12) for k in kept[1])
+
+
 def test_lanczos_finds_close_and_repeated_values():
     rng = np.random.default_rng(4)
     turn = np.linalg.qr(rng.normal(size=(400, 400)))[0]
