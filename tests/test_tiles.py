@@ -161,6 +161,30 @@ def test_parts_of_a_block_are_joined(many, monkeypatch):
     assert kept[1].keys() == kept[256].keys() == set(range(len(x))) and all(np.isclose(kept[1][k], kept[256][k], rtol=1e-12) for k in kept[1])
 
 
+@pytest.mark.parametrize("k", [2, 10])
+def test_nearest_move_no_vectors(many, moved, k):
+    x, blocks, size = many
+    moved()
+    near = tiles.nearest(blocks, k)
+    rows = near.collect()
+    assert moved() < size
+    d = distances(x)
+    np.fill_diagonal(d, np.inf)
+    assert sorted((r.item_id, r.place, r.other) for r in rows) == [(i, p + 1, j) for i in range(len(x)) for p, j in enumerate(sorted(range(len(x)), key=lambda j: (d[i, j], j))[:k])]
+
+
+def test_copies_tie_as_in_sql(spark, monkeypatch):
+    """Copies of a vector are equally far from any other, wherever they stand in a tile: the smaller ids come first."""
+    monkeypatch.setattr(tiles, "ROWS", 64)
+    rng = np.random.default_rng(9)
+    x = np.concatenate([np.repeat(rng.normal(size=(5, 33)), 37, axis=0), rng.normal(size=(100, 33))])[rng.permutation(285)]
+    blocks = tiles.item_blocks(spark.createDataFrame([("a", "t", 1, k, v.tolist()) for k, v in enumerate(x)], "model_alias string, task string, layer int, item_id long, vec array<double>"))
+    got = sorted((r.item_id, r.place, r.other) for r in tiles.nearest(blocks, 10).collect())
+    d = np.add.accumulate((x[:, None] - x[None]) ** 2, axis=2)[:, :, -1]
+    np.fill_diagonal(d, np.inf)
+    assert got == [(i, p + 1, j) for i in range(len(x)) for p, j in enumerate(sorted(range(len(x)), key=lambda j: (d[i, j], j))[:10])]
+
+
 def test_lanczos_finds_close_and_repeated_values():
     rng = np.random.default_rng(4)
     turn = np.linalg.qr(rng.normal(size=(400, 400)))[0]
