@@ -185,6 +185,13 @@ def test_copies_tie_as_in_sql(spark, monkeypatch):
     assert got == [(i, p + 1, j) for i in range(len(x)) for p, j in enumerate(sorted(range(len(x)), key=lambda j: (d[i, j], j))[:10])]
 
 
+def test_two_nn_moves_no_vectors(many, moved):
+    x, blocks, size = many
+    moved()
+    (row,) = tiles.two_nn(tiles.nearest(blocks, 2)).collect()
+    assert np.isclose(row.dimension, vectors.two_nn(x)["dimension"]) and moved() < size
+
+
 def test_lanczos_finds_close_and_repeated_values():
     rng = np.random.default_rng(4)
     turn = np.linalg.qr(rng.normal(size=(400, 400)))[0]
