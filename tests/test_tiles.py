@@ -192,6 +192,13 @@ def test_two_nn_moves_no_vectors(many, moved):
     assert np.isclose(row.dimension, vectors.two_nn(x)["dimension"]) and moved() < size
 
 
+def test_mean_abs_cosine_moves_no_vectors(many, moved):
+    x, blocks, size = many
+    moved()
+    (row,) = tiles.mean_abs_cosine(blocks).collect()
+    assert np.isclose(row.mean_abs_cosine, vectors.abs_cosine(x)["mean_abs_cosine"]) and moved() < size
+
+
 def test_lanczos_finds_close_and_repeated_values():
     rng = np.random.default_rng(4)
     turn = np.linalg.qr(rng.normal(size=(400, 400)))[0]
